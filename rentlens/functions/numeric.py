@@ -23,18 +23,18 @@ def null_outside(c: Column, lo: float | None = None, hi: float | None = None) ->
     return F.when(bad, F.lit(None)).otherwise(c)
 
 
-def clip(c: Column, lo=None, hi=None) -> Column:
-    """Clamp to ``[lo, hi]``; null stays null, unlike ``greatest`` and ``least``."""
-    out = c
-    if lo is not None:
-        out = F.when(out < lo, lo).otherwise(out)
+def within(c: Column, lo=None, hi=None) -> Column:
+    """Clamp a value that is never null to ``[lo, hi]``; evaluates ``c`` once."""
     if hi is not None:
-        out = F.when(out > hi, hi).otherwise(out)
-    return out
+        c = F.least(c, hi if isinstance(hi, Column) else F.lit(hi))
+    if lo is not None:
+        c = F.greatest(c, lo if isinstance(lo, Column) else F.lit(lo))
+    return c
 
 
-def floor_at(c: Column, lo: float) -> Column:
-    return clip(c, lo=F.lit(lo))
+def clip(c: Column, lo=None, hi=None) -> Column:
+    """Clamp to ``[lo, hi]``; null stays null, which ``greatest`` and ``least`` alone do not give."""
+    return F.when(c.isNotNull(), within(c, lo, hi))
 
 
 def safe_ratio(numerator: Column, denominator: Column, otherwise: Column | None = None) -> Column:

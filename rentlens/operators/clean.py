@@ -11,7 +11,7 @@ from rentlens import vocab
 from rentlens.functions import text as T
 from rentlens.functions.numeric import finite
 from rentlens.operators.lookup import lookup_join
-from rentlens.operators.quantiles import measures, one_row, quantile_table, quantiles_long
+from rentlens.operators.quantiles import one_row, quantile_table, quantiles_long, scoped_measures
 from rentlens.session import stage
 
 
@@ -82,15 +82,11 @@ def impute_median(df: DataFrame, columns: Sequence[str], by: str | None, closed:
     if by is None:
         overall = one_row(quantile_table(df, [], {c: (c, 0.5) for c in columns}))
         return df.withColumns({c: F.coalesce(F.col(c), overall[c]) for c in columns})
-    scoped = df.select(
-        F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("g")),
-                          F.struct(F.lit(False).alias("whole"), F.col(by).alias("g")))).alias("s"), *columns
-    ).select("s.whole", "s.g", *columns)
-    long = measures(scoped, ["whole", "g"], {c: c for c in columns})
-    long = stage(quantiles_long(long, ["whole", "g", "measure"], [0.5]), "medians")
+    parts = [("all", F.lit(None), c, F.col(c)) for c in columns] + [("group", F.col(by), c, F.col(c)) for c in columns]
+    long = stage(quantiles_long(scoped_measures(df, parts), ["scope", "key", "measure"], [0.5]), "medians")
     pick = lambda c: F.max(F.when(F.col("measure") == c, F.col("quantile")))
-    overall = one_row(long.where("whole").agg(*[pick(c).alias(c) for c in columns]))
-    groups = long.where(~F.col("whole")).groupBy(F.col("g").alias(by)).agg(
+    overall = one_row(long.where(F.col("scope") == "all").agg(*[pick(c).alias(c) for c in columns]))
+    groups = long.where(F.col("scope") == "group").groupBy(F.col("key").alias(by)).agg(
         *[pick(c).alias(f"{c}_median") for c in columns]
     )
     out = lookup_join(df, groups, [by], small=True if closed else None)

@@ -125,6 +125,27 @@ def measures(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column |
     )
 
 
+def scoped_measures(df: DataFrame, parts: Sequence[tuple[str, Column, str, Column]]) -> DataFrame:
+    """Long form ``scope, key, measure, v`` of ``(scope, key, measure, value)`` parts, without nulls.
+
+    Several groupings of the same rows become one table, so that one pass serves all of them.
+    """
+    cells = [
+        F.struct(F.lit(scope).alias("scope"), key.cast("string").alias("key"), F.lit(measure).alias("measure"),
+                 v.cast("double").alias("v"))
+        for scope, key, measure, v in parts
+    ]
+    return df.select(F.explode(F.array(*cells)).alias("m")).select("m.*").where(F.col("v").isNotNull())
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], spec: Mapping[str, float]) -> DataFrame:
+    """One row per column of ``df``, with a quantile per entry of ``spec``: name -> probability."""
+    long = quantiles_long(measures(df, [], {c: c for c in columns}), ["measure"], sorted(set(spec.values())))
+    return long.groupBy("measure").agg(
+        *[F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(name) for name, p in spec.items()]
+    )
+
+
 def quantile_table(
     df: DataFrame,
     keys: Sequence[str],

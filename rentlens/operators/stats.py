@@ -12,7 +12,7 @@ from rentlens import vocab
 from rentlens.functions.numeric import round_even
 from rentlens.functions.special import t_pvalue
 from rentlens.operators.lookup import lookup_join
-from rentlens.operators.quantiles import measures, one_row, quantile_table, quantiles_long
+from rentlens.operators.quantiles import column_quantiles, measures, one_row, quantile_table, quantiles_long
 
 
 def _rows(df: DataFrame, rows: Sequence[Column]) -> DataFrame:
@@ -78,10 +78,13 @@ def value_shares(df: DataFrame, key: str | Column, digits: int | None = 2) -> Da
     return counts.withColumn("pct", round_even(F.col("n") * 100.0 / total, digits))
 
 
-def frequency_encode(df: DataFrame, key: str | Column, name: str = "freq") -> DataFrame:
-    """Attach the share of rows that have the row's key."""
+def frequency_encode(
+    df: DataFrame, key: str | Column, name: str = "freq", of: DataFrame | None = None
+) -> DataFrame:
+    """Attach the share of rows, of ``df`` or of the table ``of``, that have the row's key."""
     key = F.col(key) if isinstance(key, str) else key
-    shares = value_shares(df, key, digits=None).select(F.col("key").alias("freq_key"), F.col("share").alias(name))
+    counted = df if of is None else of
+    shares = value_shares(counted, key, digits=None).select(F.col("key").alias("freq_key"), F.col("share").alias(name))
     return lookup_join(df.withColumn("freq_key", key), shares, ["freq_key"]).drop("freq_key")
 
 
@@ -100,7 +103,8 @@ def _corrected_kurtosis(n: Column, g2: Column) -> Column:
     return F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
 
 
-def _basic(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def basic_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Everything of ``moments`` that needs no quantile, in one aggregate."""
     n = F.count("v").cast("double")
     return measures(df, [], {c: c for c in columns}).groupBy("measure").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("std"),
@@ -115,19 +119,13 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     ``log_needed`` flags a skewness above 1.
     """
-    medians = quantile_table(
-        measures(df, [], {c: c for c in columns}), ["measure"], {"median": ("v", 0.5)}
-    )
-    out = _basic(df, columns).join(medians, "measure", "left")
+    out = basic_moments(df, columns).join(column_quantiles(df, columns, {"median": 0.5}), "measure", "left")
     return out.withColumn("log_needed", F.col("skewness") > 1)
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    quartiles = quantile_table(
-        measures(df, [], {c: c for c in columns}), ["measure"],
-        {"p25": ("v", 0.25), "p50": ("v", 0.5), "p75": ("v", 0.75)},
-    )
-    basic = _basic(df, columns).select("measure", "n", "mean", "std", "min", "max")
+    quartiles = column_quantiles(df, columns, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    basic = basic_moments(df, columns).select("measure", "n", "mean", "std", "min", "max")
     return basic.join(quartiles, "measure", "left")
 
 

@@ -220,11 +220,13 @@ def curve_variants(sizes: Sequence[float] = tuple(vocab.CURVE_SIZES)) -> Column:
 def score_variants(df: DataFrame, predict: Predictor, ctx: MarketContext, variants: Column) -> DataFrame:
     """Score changed copies of each request in one batch: ``request, variant, price, ...``.
 
-    ``df`` comes from ``attach_market``.
+    ``df`` comes from ``attach_market``. Requests are spread by id before they are multiplied: the work
+    is even, and folding the copies of a request back needs no further shuffle.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     profile = [c for c in ctx.tables["type"].columns if c not in ("kind", "n")]
     carried = [c for c in df.columns if c not in ("kind", "size_sqm", "bedrooms", "bathrooms")]
-    asked = attach_type(df, ctx).withColumn("variant", F.explode(variants))
+    asked = attach_type(df.repartition(tasks, "request_id"), ctx).withColumn("variant", F.explode(variants))
     rows = asked.select(
         F.struct(F.col("kind").alias("kind"), "size_sqm", "bedrooms", "bathrooms").alias("asked"), *carried,
         F.col("variant.role").alias("role"), F.col("variant.label").alias("label"), F.col("variant.weight").alias("weight"),
@@ -243,7 +245,7 @@ def _is_base() -> Column:
 def room_monotone(df: DataFrame, predict: Predictor, ctx: MarketContext) -> DataFrame:
     """Price that never falls when rooms are added: ``request_id, price, monotone_price``.
 
-    The layouts of a request stay in one task, so only one row per request is shuffled.
+    The layouts of a request stay in one task.
     """
     cells = score_variants(df, predict, ctx, layout_variants())
     return cells.groupBy("request_id").agg(
@@ -252,14 +254,14 @@ def room_monotone(df: DataFrame, predict: Predictor, ctx: MarketContext) -> Data
     )
 
 
-def _impacts() -> Column:
-    """Share of each single-field change in the sum of changes, largest first."""
+def _impacts(digits: int) -> tuple[Column, Column]:
+    """Sum of the single-field changes, and the share of each in it, largest first."""
     total = F.aggregate("changes", F.lit(0.0), lambda acc, x: acc + x["gap"])
     shares = F.transform(
         F.array_sort(F.transform(
             "changes", lambda x: F.struct((-x["gap"]).alias("order"), x["position"].alias("position"), x["label"].alias("label"))
         )),
-        lambda x: F.struct(x["label"].alias("feature"), round_even(-x["order"] / F.col("total") * 100.0, 1).alias("weight")),
+        lambda x: F.struct(x["label"].alias("feature"), round_even(-x["order"] / F.col("total") * 100.0, digits).alias("weight")),
     )
     fixed = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(w).alias("weight")) for n, w in vocab.DEFAULT_IMPACTS])
     return total, F.when(F.col("total") > 0, shares).otherwise(fixed)
@@ -267,7 +269,7 @@ def _impacts() -> Column:
 
 def score_requests(
     df: DataFrame, predict: Predictor, ctx: MarketContext, impacts: bool = True, curve: bool = True,
-    sizes: Sequence[float] = tuple(vocab.CURVE_SIZES),
+    sizes: Sequence[float] = tuple(vocab.CURVE_SIZES), impact_digits: int = 1,
 ) -> DataFrame:
     """Final price of each request with feature impacts and size curve.
 
@@ -284,19 +286,24 @@ def score_requests(
     change = F.struct(F.array_position(labels, F.col("label")).alias("position"), "label", F.col("price").alias("alt"))
     point = F.struct(F.col("size_sqm").alias("size"), round_even(F.col("price"), 2).alias("price"))
     base = lambda c: F.max(F.when(_is_base(), F.col(c))).alias(c)
-    out = rows.groupBy("request_id").agg(
+    folded = [
         F.any_value("asked").alias("asked"), F.any_value("district_key").alias("district_key"),
         F.max(F.when(F.col("role") == "layout", F.col("price") * F.col("weight"))).alias("price"),
         base("market_price"), base("coherence"),
-        F.array_sort(F.collect_list(F.when(F.col("role") == "impact", change))).alias("changes"),
-        F.array_sort(F.collect_list(F.when(F.col("role") == "curve", point))).alias("size_curve"),
-    )
+    ]
+    if impacts:
+        folded.append(F.array_sort(F.collect_list(F.when(F.col("role") == "impact", change))).alias("changes"))
+    if curve:
+        folded.append(F.array_sort(F.collect_list(F.when(F.col("role") == "curve", point))).alias("size_curve"))
+    out = rows.groupBy("request_id").agg(*folded)
+    if not impacts:
+        return out
     gaps = F.transform("changes", lambda x: F.struct(
         x["position"].alias("position"), x["label"].alias("label"), F.abs(F.col("price") - x["alt"]).alias("gap")
     ))
-    out = out.withColumn("changes", gaps)
-    total, shares = _impacts()
-    return out.withColumn("total", total).withColumn("impacts", shares).drop("total", "changes")
+    total, shares = _impacts(impact_digits)
+    out = out.withColumn("changes", gaps).withColumn("total", total)
+    return out.withColumn("impacts", shares).drop("total", "changes")
 
 
 def respond(df: DataFrame, ctx: MarketContext, model_name: str = "model") -> DataFrame:

@@ -1,2 +1,210 @@
+"""Queries of model training, evaluation, model scoring and streams."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import functions as F
+
+from rentlens import vocab
+from rentlens.catalog import shared as B
+from rentlens.catalog import sql as Q
+from rentlens.functions import text as T
+from rentlens.operators import clean as C
+from rentlens.operators import ml as M
+from rentlens.operators import scoring as S
+from rentlens.plans.training import split, train_models
+from rentlens.session import new_folder
+from rentlens.sources.shared_tables import listings_from, table
+from rentlens.streaming import jobs
+
 QUERIES = {}
 ORACLES = {}
+
+SMALL = {"trees": 5, "depth": 4, "rounds": 5}
+WITH_FEATURES = f"WITH {Q.FEATURES} "
+NAMES = vocab.MODEL_FEATURES
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(WITH_FEATURES + """, p AS (SELECT rent_price_usd AS y, 8 * size_sqm + 150 * bedrooms + 120 * bathrooms AS prediction FROM features)
+  SELECT round(avg(abs(y - prediction)), 6) AS mae, round(sqrt(avg(pow(y - prediction, 2))), 6) AS rmse,
+    round(1 - sum(pow(y - prediction, 2)) / (var_pop(y) * count(*)), 6) AS r2,
+    round(100 * avg(abs(y - prediction) / abs(y)), 6) AS mape FROM p""")
+def regression_metrics(spark, sf_dir):
+    predictions = B.stand_in(B.features(spark, sf_dir)).withColumnRenamed("raw_price", "prediction")
+    return B.rounded(M.regression_metrics(predictions))
+
+
+@query(WITH_FEATURES + """SELECT listing_id, round(coalesce(CASE WHEN size_sqm > 100 THEN size_sqm END,
+    (SELECT median(size_sqm) FROM features WHERE size_sqm > 100)), 6) AS size_sqm,
+  round(coalesce(CASE WHEN bedrooms < 5 THEN bedrooms END, (SELECT median(bedrooms) FROM features WHERE bedrooms < 5)), 6) AS bedrooms
+  FROM features""")
+def impute_features(spark, sf_dir):
+    """Gaps made of small sizes and large bedroom counts, filled by the median of the rest."""
+    rows = B.features(spark, sf_dir).select(
+        "listing_id", F.when(F.col("size_sqm") > 100, F.col("size_sqm")).alias("size_sqm"),
+        F.when(F.col("bedrooms") < 5, F.col("bedrooms")).alias("bedrooms"),
+    )
+    return B.rounded(M.fit_imputer(rows, ["size_sqm", "bedrooms"]).transform(rows))
+
+
+_SCALED = ["size_sqm", "bedrooms", "type_Villa", "type_Room"]
+
+
+@query(WITH_FEATURES + "SELECT listing_id, " + ", ".join(
+    f'round(coalesce(("{c}" - avg("{c}") OVER ()) / nullif(stddev_samp("{c}") OVER (), 0), 0), 6) AS "{c}"' for c in _SCALED
+) + " FROM features")
+def scale_features(spark, sf_dir):
+    """Centred and scaled columns; a type that does not occur stays 0."""
+
+
+    rows = VectorAssembler(inputCols=_SCALED, outputCol="assembled").transform(B.features(spark, sf_dir))
+    scaled = M.scaler().fit(rows).transform(rows)
+    values = vector_to_array("features")
+    return B.rounded(scaled.select("listing_id", *[values[i].alias(c) for i, c in enumerate(_SCALED)]))
+
+
+@query(WITH_FEATURES + f"""SELECT round(regr_slope(ln(1 + rent_price_usd), size_sqm), 6) AS slope,
+  round(regr_intercept(ln(1 + rent_price_usd), size_sqm), 6) AS intercept FROM features""")
+def linear_regression(spark, sf_dir):
+    """Fit of the log price on one feature, in the units of the feature."""
+    rows = M.with_label(B.features(spark, sf_dir))
+    model = M.pipeline(["size_sqm"], LinearRegression()).fit(rows)
+    line, scale = model.stages[-2], model.stages[-3]
+    slope = line.coefficients[0] / scale.std[0]
+    figures = rows.agg(F.lit(slope).alias("slope"), F.lit(line.intercept - slope * scale.mean[0]).alias("intercept"))
+    return B.rounded(figures)
+
+
+@query()
+def compare_models(spark, sf_dir):
+    """All eight regressors, small, on the same split."""
+    return train_models(B.features(spark, sf_dir), folds=1, **SMALL).table.drop("fit_seconds")
+
+
+@query()
+def forced_best_model(spark, sf_dir):
+    only = ["Linear Regression", "Random Forest"]
+    return train_models(B.features(spark, sf_dir), only=only, best="Random Forest", folds=2, **SMALL).table.drop("fit_seconds")
+
+
+@query()
+def cross_validate(spark, sf_dir):
+    """Five contiguous folds of a ridge regression."""
+    train, _ = split(B.features(spark, sf_dir))
+    n, sigma = M.label_figures(train)
+    return M.cross_validate(train, M.pipeline(NAMES, M.ridge(n, sigma)), 5)
+
+
+@query()
+def random_search(spark, sf_dir):
+    """Mean RMSE of random settings of a boosted model."""
+    train, _ = split(B.features(spark, sf_dir))
+    space = {"maxIter": [2, 4], "stepSize": [0.05, 0.1], "maxDepth": [2, 3]}
+    search = M.random_search(train, NAMES, GBTRegressor(seed=42), space, n_iter=3, folds=2)
+    tried = [(str(sorted((p.name, v) for p, v in m.items())), float(r)) for m, r in
+             zip(search.getEstimatorParamMaps(), search.avgMetrics, strict=True)]
+    return spark.createDataFrame(tried, "setting string, rmse double")
+
+
+@query()
+def feature_importances(spark, sf_dir):
+    rows = M.with_label(B.features(spark, sf_dir))
+    model = M.pipeline(NAMES, RandomForestRegressor(numTrees=5, maxDepth=4, seed=42)).fit(rows)
+    return spark.createDataFrame(M.importances(model, NAMES), "feature string, importance double")
+
+
+@query()
+def actual_vs_predicted(spark, sf_dir):
+    result = train_models(B.features(spark, sf_dir), only=["Ridge Regression"], folds=1)
+    return M.actual_vs_predicted(result.models[result.best].transform(result.test))
+
+
+@query()
+def compare_feature_sets(spark, sf_dir):
+    """Baseline against engineered features, cross-validated."""
+    rows = B.features(spark, sf_dir)
+    n, sigma = M.label_figures(rows)
+    models = {
+        "Ridge": M.ridge(n, sigma),
+        "RandomForest": RandomForestRegressor(numTrees=5, maxDepth=4, minInstancesPerNode=2, seed=42),
+    }
+    sets = {"baseline": vocab.BASELINE_FEATURES, "engineered": vocab.COMPARISON_FEATURES}
+    return M.compare_feature_sets(rows, sets, models, k=3)
+
+
+def _model(spark, sf_dir):
+    rows = M.with_label(B.features(spark, sf_dir))
+    return M.pipeline(NAMES, RandomForestRegressor(numTrees=5, maxDepth=5, seed=42)).fit(rows)
+
+
+@query()
+def score_with_model(spark, sf_dir):
+    """Full response of every valid request by a fitted forest."""
+    ctx = B.context(spark, sf_dir)
+    predict = S.model_predictor(_model(spark, sf_dir), ctx)
+    return S.respond(S.score_requests(B.market_requests(spark, sf_dir), predict, ctx), ctx, "Random Forest")
+
+
+# Streams
+
+
+def _source(spark, sf_dir, name):
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _finish(query):
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_new_rows(spark, sf_dir):
+    """First event of each user and type."""
+    rows = jobs.new_rows(_source(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "3650 days")
+    path = new_folder(spark, "stream")
+    _finish(jobs.write_table(rows.select("user_id", "event_type"), f"{path}/rows", f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/rows")
+
+
+_PARSED = f"""WITH {Q.CLEAN} SELECT listing_id, property_type, rent_price_usd, size_sqm, bedrooms, bathrooms, furnished FROM parsed"""
+
+
+@query(_PARSED)
+def stream_ingest(spark, sf_dir):
+    """Raw listings as a stream of orders, new addresses only, parsed row by row."""
+    raw = listings_from(_source(spark, sf_dir, "orders"), spark, sf_dir, ["cast(o_orderdate as timestamp) as fetched_at"])
+    rows = jobs.ingest_listings(raw, delay="36500 days")
+    columns = ["listing_id", "property_type", vocab.TARGET, *vocab.STRUCTURAL, "furnished"]
+    path = new_folder(spark, "stream")
+    _finish(jobs.write_table(rows.select(*columns), f"{path}/rows", f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/rows")
+
+
+@query()
+def stream_scores(spark, sf_dir):
+    """Requests as a stream, scored in batches with the stand-in formula."""
+    raw = listings_from(_source(spark, sf_dir, "orders"), spark, sf_dir)
+    asked = raw.select(
+        F.col("listing_id").alias("request_id"),
+        *[T.first_number(F.col(c)).alias(c) for c in vocab.STRUCTURAL],
+        "property_type", F.col("furnished").alias("furnishing"), "district", "location", "city",
+    )
+    accepted, _ = C.validate_requests(asked)
+    path = new_folder(spark, "stream")
+    _finish(jobs.score_stream(accepted, B.stand_in, B.context(spark, sf_dir), f"{path}/scores", f"{path}/checkpoint",
+                              "stand-in", cutoff=None))
+    return spark.read.parquet(f"{path}/scores").drop("batch")

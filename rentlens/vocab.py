@@ -231,3 +231,36 @@ DEFAULT_IMPACTS = [
 ]
 SAMPLE_REGIONS = [("Sample A", 1.10), ("Sample B", 1.00), ("Sample C", 0.90), ("Sample D", 0.80)]
 FORM_MIN_SIZE = 6.0
+
+# --- fixed values: search spaces of tuned models ---
+TUNE_SPACES = {
+    "Random Forest": {
+        "numTrees": [300, 500, 700],
+        "maxDepth": [30, 10, 14, 18],
+        "minInstancesPerNode": [1, 2, 4],
+        "featureSubsetStrategy": ["sqrt", "log2", "0.8"],
+    },
+    "Forest without bootstrap": {
+        "numTrees": [400, 600, 800],
+        "maxDepth": [30, 12, 18, 24],
+        "minInstancesPerNode": [1, 2, 4],
+        "featureSubsetStrategy": ["sqrt", "log2", "0.8"],
+    },
+    "Gradient Boosting": {
+        "maxIter": [300, 500, 700],
+        "stepSize": [0.03, 0.05, 0.08],
+        "maxDepth": [3, 4, 5],
+        "subsamplingRate": [0.7, 0.85, 1.0],
+        "minInstancesPerNode": [1, 3, 5],
+    },
+    "Binned Gradient Boosting": {
+        "stepSize": [0.03, 0.05, 0.08],
+        "maxDepth": [5, 6, 8, 12],
+        "maxIter": [300, 500, 700],
+    },
+    "Kernel Feature Regression": {
+        "regParam": [1 / 30, 1 / 60, 1 / 100, 1 / 150],
+        "epsilon": [1.03, 1.05, 1.08, 1.12],
+    },
+}
+LOW_FIT = 0.5

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from rentlens import vocab
 from rentlens.operators.quantiles import (
     digest_bucket,
-    double_bucket,
     measures,
     one_row,
     order_statistics,
@@ -24,8 +23,11 @@ def row_digest(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def _id_bucket(v: Column) -> Column:
-    return double_bucket(v.cast("double"))
+def _id_bucket(df: DataFrame, key: str):
+    """Equal-width buckets between the smallest and the largest id."""
+    edge = one_row(df.agg(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi")))
+    width = (edge["hi"] - edge["lo"]) / 65536 + 1
+    return lambda v: F.floor((v.cast("double") - edge["lo"]) / width)
 
 
 def _first_of_each_fold(k: int) -> Column:
@@ -47,7 +49,7 @@ def fold_column(
         found = order_statistics(ordered, [], _first_of_each_fold(k), digest_bucket, "order_value", unique=True)
     else:
         ordered = df.withColumn("order_value", F.col(key))
-        found = order_statistics(ordered, [], _first_of_each_fold(k), _id_bucket, "order_value", unique=True)
+        found = order_statistics(ordered, [], _first_of_each_fold(k), _id_bucket(df, key), "order_value", unique=True)
     starts = one_row(found.agg(*[F.max(F.when(F.col("label") == j, F.col("v"))).alias(f"s{j}") for j in range(1, k)]))
     passed = sum((_as_int(starts[f"s{j}"] <= F.col("order_value")) for j in range(1, k)), F.lit(0))
     return ordered.withColumn(name, passed).drop("order_value")

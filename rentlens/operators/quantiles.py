@@ -26,8 +26,8 @@ def double_bucket(v: Column) -> Column:
 
 
 def digest_bucket(v: Column) -> Column:
-    """Bucket of a hexadecimal digest: its first three digits."""
-    return F.substring(v, 1, 3)
+    """Bucket of a hexadecimal digest: its first four digits."""
+    return F.substring(v, 1, 4)
 
 
 def order_statistics(

@@ -164,37 +164,19 @@ def reference_type(ctx: MarketContext) -> Column:
     return F.when(F.col("kind") != dominant, F.lit(dominant)).otherwise(F.coalesce(F.lit(ctx.contrast), F.col("kind")))
 
 
-def _variant(role: str, label, weight=None, kind=None, size=None, bed=None, bath=None) -> Column:
-    """One changed copy of a request."""
-    current = {"kind": F.col("kind"), "size_sqm": F.col("size_sqm").cast("double"),
-               "bedrooms": F.col("bedrooms").cast("int"), "bathrooms": F.col("bathrooms").cast("int")}
+def _variant(role: str, label: str, kind=None, size=None, bed=None, bath=None) -> Column:
+    """One changed copy of a request; a layout copy gets its bathrooms later."""
+    current = {"kind": F.col("kind"), "size_sqm": F.col("size_sqm"), "bedrooms": F.col("bedrooms"),
+               "bathrooms": F.col("bathrooms")}
     changed = {"kind": kind, "size_sqm": size, "bedrooms": bed, "bathrooms": bath}
     return F.struct(
-        F.lit(role).alias("role"), (label if isinstance(label, Column) else F.lit(label)).cast("string").alias("label"),
-        (F.lit(1.0) if weight is None else weight).alias("weight"),
+        F.lit(role).alias("role"), F.lit(label).alias("label"),
         *[(current[c] if v is None else v).cast("string" if c == "kind" else "double").alias(c)
           for c, v in changed.items()],
     )
 
 
-def layout_variants() -> Column:
-    """Every layout with at most the rooms of the request.
-
-    A layout lifts the price of the request by 1 % per bedroom and 0.5 % per bathroom it has less, so
-    the largest lifted price is what stepping through all layouts would give.
-    """
-    bed, bath = within(F.col("bedrooms"), lo=0).cast("int"), within(F.col("bathrooms"), lo=1).cast("int")
-
-    def cells(b):
-        return F.transform(
-            F.sequence(F.lit(1), bath),
-            lambda t: _variant("layout", "", F.pow(F.lit(1.01), bed - b) * F.pow(F.lit(1.005), bath - t), bed=b, bath=t),
-        )
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), bed), cells))
-
-
-def impact_variants(ctx: MarketContext) -> Column:
+def impact_variants(ctx: MarketContext) -> list[Column]:
     """The request with one field replaced by a reference value. Needs the type's profile columns."""
     size, bed, bath = _request()
     want_size, want_bed, want_bath = _profile(ctx)
@@ -205,33 +187,56 @@ def impact_variants(ctx: MarketContext) -> Column:
     ref_bed = F.when(ref_bed == bed, step(bed, 0.0)).otherwise(ref_bed)
     ref_bath = F.when(ref_bath == bath, step(bath, 1.0)).otherwise(ref_bath)
     kind_label, size_label, bed_label, bath_label = vocab.IMPACT_LABELS
-    return F.array(
+    return [
         _variant("impact", kind_label, kind=reference_type(ctx)),
         _variant("impact", size_label, size=ref_size),
         _variant("impact", bed_label, bed=ref_bed),
         _variant("impact", bath_label, bath=ref_bath),
-    )
+    ]
 
 
-def curve_variants(sizes: Sequence[float] = tuple(vocab.CURVE_SIZES)) -> Column:
-    return F.array(*[_variant("curve", str(s), size=F.lit(float(s))) for s in sizes])
+def curve_variants(sizes: Sequence[float] = tuple(vocab.CURVE_SIZES)) -> list[Column]:
+    return [_variant("curve", str(s), size=F.lit(float(s))) for s in sizes]
 
 
-def score_variants(df: DataFrame, predict: Predictor, ctx: MarketContext, variants: Column) -> DataFrame:
-    """Score changed copies of each request in one batch: ``request, variant, price, ...``.
+def score_variants(
+    df: DataFrame, predict: Predictor, ctx: MarketContext, others: Sequence[Column] = (), layouts: bool = False,
+    large: int = 10_000,
+) -> DataFrame:
+    """Score changed copies of each request in one batch: ``request_id, asked, role, label, price, ...``.
+
+    ``df`` comes from ``attach_market``. ``layouts`` adds every layout with at most the rooms of the
+    request: a layout lifts the price by 1 % per bedroom and 0.5 % per bathroom it has less, so the
+    largest lifted price is what stepping through all layouts would give.
 
-    ``df`` comes from ``attach_market``. Requests are spread by id before they are multiplied: the work
-    is even, and folding the copies of a request back needs no further shuffle.
+    Requests are spread by id before they are multiplied, which makes the work even. A request with
+    more than ``large`` layouts is first cut into one slice per bedroom count.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bed, bath = within(F.col("bedrooms").cast("int"), lo=0), within(F.col("bathrooms").cast("int"), lo=1)
+    asked = attach_type(df, ctx)
     profile = [c for c in ctx.tables["type"].columns if c not in ("kind", "n")]
     carried = [c for c in df.columns if c not in ("kind", "size_sqm", "bedrooms", "bathrooms")]
-    asked = attach_type(df.repartition(tasks, "request_id"), ctx).withColumn("variant", F.explode(variants))
-    rows = asked.select(
-        F.struct(F.col("kind").alias("kind"), "size_sqm", "bedrooms", "bathrooms").alias("asked"), *carried,
-        F.col("variant.role").alias("role"), F.col("variant.label").alias("label"), F.col("variant.weight").alias("weight"),
-        "variant.kind", "variant.size_sqm", "variant.bedrooms", "variant.bathrooms",
+
+    is_large = F.lit(layouts) & ((bed + 1).cast("long") * bath > large)
+    slices = F.when(is_large, F.sequence(F.lit(0), bed)).otherwise(F.array(F.lit(-1)))
+    asked = asked.withColumn("slice", F.explode(slices)).repartition(tasks, "request_id", "slice")
+    copies = [F.slice(F.array(*others), F.lit(1), F.when(F.col("slice") <= 0, len(others)).otherwise(0))] if others else []
+    if layouts:
+        beds = F.when(F.col("slice") >= 0, F.array("slice")).otherwise(F.sequence(F.lit(0), bed))
+        copies.append(F.transform(beds, lambda b: _variant("layout", "", bed=b)))
+    asked = asked.withColumn("variant", F.explode(F.concat(*copies)))
+    is_layout = F.col("variant.role") == "layout"
+    baths = F.when(is_layout, F.sequence(F.lit(1), bath).cast("array<double>")).otherwise(F.array("variant.bathrooms"))
+    rows = asked.withColumn("variant_baths", F.explode(baths)).select(
+        F.struct("kind", "size_sqm", "bedrooms", "bathrooms").alias("asked"), *carried,
+        F.col("variant.role").alias("role"), F.col("variant.label").alias("label"),
+        "variant.kind", "variant.size_sqm", "variant.bedrooms", F.col("variant_baths").alias("bathrooms"),
     ).drop(*profile)
+    lift = F.pow(F.lit(1.01), F.col("asked.bedrooms") - F.col("bedrooms")) * F.pow(
+        F.lit(1.005), F.col("asked.bathrooms") - F.col("bathrooms")
+    )
+    rows = rows.withColumn("weight", F.when(F.col("role") == "layout", lift).otherwise(1.0))
     return score(rows, predict, ctx)
 
 
@@ -243,11 +248,8 @@ def _is_base() -> Column:
 
 
 def room_monotone(df: DataFrame, predict: Predictor, ctx: MarketContext) -> DataFrame:
-    """Price that never falls when rooms are added: ``request_id, price, monotone_price``.
-
-    The layouts of a request stay in one task.
-    """
-    cells = score_variants(df, predict, ctx, layout_variants())
+    """Price that never falls when rooms are added: ``request_id, price, monotone_price``."""
+    cells = score_variants(df, predict, ctx, layouts=True)
     return cells.groupBy("request_id").agg(
         F.max(F.when(_is_base(), F.col("price"))).alias("price"),
         F.max(F.col("price") * F.col("weight")).alias("monotone_price"),
@@ -276,12 +278,8 @@ def score_requests(
     All copies of a request (layouts, single-field changes, curve sizes) are scored in one batch and
     folded back by one aggregation. ``df`` comes from ``attach_market`` and has a ``request_id``.
     """
-    parts = [layout_variants()]
-    if impacts:
-        parts.append(impact_variants(ctx))
-    if curve:
-        parts.append(curve_variants(sizes))
-    rows = score_variants(df, predict, ctx, F.concat(*parts))
+    others = (impact_variants(ctx) if impacts else []) + (curve_variants(sizes) if curve else [])
+    rows = score_variants(df, predict, ctx, others, layouts=True)
     labels = F.array(*[F.lit(x) for x in vocab.IMPACT_LABELS])
     change = F.struct(F.array_position(labels, F.col("label")).alias("position"), "label", F.col("price").alias("alt"))
     point = F.struct(F.col("size_sqm").alias("size"), round_even(F.col("price"), 2).alias("price"))

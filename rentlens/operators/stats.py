@@ -233,14 +233,10 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, k: float = 1.5) ->
     keys = list(keys)
     df = df.where(F.col(value).isNotNull())
     quartiles = quantile_table(df, keys, {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)})
-    right = quartiles.withColumnsRenamed({c: f"at_{c}" for c in keys})
     counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"at_{c}"))
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("v").between(F.col("q1") - k * iqr, F.col("q3") + k * iqr)
-    return counts.join(right, same).groupBy(*keys, "q1", "median", "q3").agg(
+    return lookup_join(counts, quartiles, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
         F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("outliers"),

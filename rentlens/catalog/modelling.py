@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from rentlens import vocab
 from rentlens.catalog import shared as B
 from rentlens.catalog import sql as Q
-from rentlens.functions import text as T
 from rentlens.operators import clean as C
 from rentlens.operators import ml as M
 from rentlens.operators import scoring as S
@@ -199,11 +198,10 @@ def stream_scores(spark, sf_dir):
     """Requests as a stream, scored in batches with the stand-in formula."""
     raw = listings_from(_source(spark, sf_dir, "orders"), spark, sf_dir)
     asked = raw.select(
-        F.col("listing_id").alias("request_id"),
-        *[T.first_number(F.col(c)).alias(c) for c in vocab.STRUCTURAL],
-        "property_type", F.col("furnished").alias("furnishing"), "district", "location", "city",
+        F.col("listing_id").alias("request_id"), *vocab.STRUCTURAL, "property_type",
+        F.col("furnished").alias("furnishing"), "district", "location", "city",
     )
-    accepted, _ = C.validate_requests(asked)
+    accepted, _ = C.validate_requests(B.parsed_requests(asked))
     path = new_folder(spark, "stream")
     _finish(jobs.score_stream(accepted, B.stand_in, B.context(spark, sf_dir), f"{path}/scores", f"{path}/checkpoint",
                               "stand-in", cutoff=None))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rentlens import vocab
 from rentlens.functions import text as T
 from rentlens.operators import clean as C
 from rentlens.operators.context import MarketContext, build_context, load_context, save_context
@@ -58,11 +59,15 @@ def context(spark: SparkSession, sf_dir: str) -> MarketContext:
 
 def all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every raw listing as a score request; some lack a number or a type."""
-    return listings_raw(spark, sf_dir).select(
-        F.col("listing_id").alias("request_id"),
-        *[T.first_number(F.col(c)).alias(c) for c in ("size_sqm", "bedrooms", "bathrooms")],
-        "property_type", F.col("furnished").alias("furnishing"), "district", "location", "city",
+    asked = listings_raw(spark, sf_dir).select(
+        F.col("listing_id").alias("request_id"), "size_sqm", "bedrooms", "bathrooms", "property_type",
+        F.col("furnished").alias("furnishing"), "district", "location", "city",
     )
+    return parsed_requests(asked)
+
+
+def parsed_requests(asked: DataFrame) -> DataFrame:
+    return C.evaluate_once(asked, {c: T.number_in(F.col(c)) for c in vocab.STRUCTURAL})
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

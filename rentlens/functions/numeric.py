@@ -44,8 +44,8 @@ def safe_ratio(numerator: Column, denominator: Column, otherwise: Column | None
 
 
 def round_even(c: Column, digits: int = 0) -> Column:
-    """Round half to even."""
-    return F.bround(c, digits)
+    """Round half to even; whole numbers by ``rint``, which needs no decimal arithmetic."""
+    return F.rint(c) if digits == 0 else F.bround(c, digits)
 
 
 def weighted_mean(parts: Sequence[tuple[float, Column]]) -> Column:

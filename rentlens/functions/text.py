@@ -29,25 +29,35 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, KHMER_DIGITS, ASCII_DIGITS)
 
 
+def decimal_text(c: Column) -> Column:
+    """Decimal number of a whole text, or null; a number too large for a double is infinite."""
+    return F.regexp_extract(c.cast("string"), NUMBER, 1).try_cast("double")
+
+
 def to_double(c: Column) -> Column:
     """Lenient numeric cast: what is not a finite decimal number becomes null."""
-    return finite(F.regexp_extract(c.cast("string"), NUMBER, 1).try_cast("double"))
+    return finite(decimal_text(c))
+
+
+def money_text(c: Column, mode: str = "class") -> Column:
+    """Rent text without its decoration. ``class`` removes every character of the set ``$ , / m o n t h``
+    and blanks; ``tokens`` removes ``$``, ``,`` and the words ``/month`` and ``permonth``."""
+    patterns = {"class": r"[\$,/month\s]", "tokens": r"[\$,]|/month|permonth"}
+    return F.regexp_replace(c.cast("string"), patterns[mode], "")
 
 
 def parse_money(c: Column, mode: str = "class") -> Column:
-    """Rent text to a number.
+    """Rent text to a number, see ``money_text``."""
+    return to_double(money_text(c, mode))
 
-    ``class`` removes every character of the set ``$ , / m o n t h`` and blanks; ``tokens`` removes
-    ``$``, ``,`` and the words ``/month`` and ``permonth``.
-    """
-    patterns = {"class": r"[\$,/month\s]", "tokens": r"[\$,]|/month|permonth"}
-    return to_double(F.regexp_replace(c.cast("string"), patterns[mode], ""))
+
+def number_in(c: Column) -> Column:
+    """First unsigned decimal number in a text, infinite if too large."""
+    return F.regexp_extract(ascii_digits(c.cast("string")), r"(\d+\.?\d*)", 1).try_cast("double")
 
 
 def first_number(c: Column) -> Column:
-    """First unsigned decimal number in a text."""
-    found = F.regexp_extract(ascii_digits(c.cast("string")), r"(\d+\.?\d*)", 1)
-    return finite(found.try_cast("double"))
+    return finite(number_in(c))
 
 
 def title_case(c: Column) -> Column:
@@ -87,8 +97,8 @@ def serve_type(c: Column) -> Column:
 
 
 def normalize_furnished(c: Column, default: str = vocab.FURNISHED_DEFAULT) -> Column:
-    text = title_case(strip(c))
-    return F.when(text.isNull() | text.isin("", "Nan", "None"), default).otherwise(text)
+    text = strip(c)
+    return F.when(c.isNull() | F.lower(text).isin("", "nan", "none"), default).otherwise(title_case(text))
 
 
 def furnished_from_text(c: Column, keywords=None, default: str = vocab.FURNISHED_DEFAULT) -> Column:

@@ -27,19 +27,27 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
     return df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
 
 
+def evaluate_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add or replace columns, each computed once per row.
+
+    A filter or a second use of an ordinary computed column makes the optimizer repeat its expression,
+    which is dear for text patterns. Columns that come out of a generator are not repeated.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    order = [*df.columns, *[c for c in columns if c not in df.columns]]
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(row))).select(*order)
+
+
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*columns)
 
 
 def numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Lenient cast to double; a column that is numeric already only loses NaN and infinities."""
-    types = dict(df.dtypes)
-    return df.withColumns(
-        {
-            c: T.to_double(F.col(c)) if types[c] == "string" else finite(F.col(c).cast("double"))
-            for c in columns
-        }
-    )
+    texts = {c: T.decimal_text(F.col(c)) for c in columns if dict(df.dtypes)[c] == "string"}
+    df = evaluate_once(df, texts) if texts else df
+    return df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
 
 
 def filter_range(df: DataFrame, column: str, lo: float, hi: float, keep_null: bool = False) -> DataFrame:
@@ -126,21 +134,16 @@ def fill_attributes(df: DataFrame, defaults=None, other=vocab.OTHER_TYPE_DEFAULT
     defaults = defaults or vocab.TYPE_DEFAULTS
     title = F.coalesce(F.col("title"), F.lit(""))
     kind = F.coalesce(T.strip(F.col("property_type")), F.lit("Other"))
-    from_title = {name: T.to_double(T.first_match(title, p)) for name, p in vocab.TITLE_PATTERNS.items()}
     by_type = {
         name: F.coalesce(T.lookup(kind, {t: float(v[i]) for t, v in defaults.items()}), F.lit(float(other[i])))
         for name, i in (("bedrooms", 0), ("bathrooms", 1), ("size_sqm", 2))
     }
-    df = numeric_columns(df, vocab.STRUCTURAL)
-    return df.withColumns(
-        {
-            "bedrooms": F.coalesce(F.col("bedrooms"), from_title["bedrooms"], by_type["bedrooms"]),
-            "bathrooms": F.coalesce(F.col("bathrooms"), from_title["bathrooms"], by_type["bathrooms"]),
-            "size_sqm": F.coalesce(
-                F.col("size_sqm"), from_title["size_sqm"], T.dimension_product(title), by_type["size_sqm"]
-            ),
-        }
-    )
+    found = {f"{n}_title": T.decimal_text(T.first_match(title, p)) for n, p in vocab.TITLE_PATTERNS.items()}
+    found["dimensions"] = T.dimension_product(title)
+    df = evaluate_once(numeric_columns(df, vocab.STRUCTURAL), found)
+    parts = {n: [F.col(n), finite(F.col(f"{n}_title"))] for n in by_type}
+    parts["size_sqm"].append(finite(F.col("dimensions")))
+    return df.withColumns({n: F.coalesce(*parts[n], by_type[n]) for n in by_type}).drop(*found)
 
 
 def _invalid(form_min_size: float | None) -> Column:

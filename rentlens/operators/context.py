@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rentlens import vocab
 from rentlens.functions import text as T
-from rentlens.functions.numeric import clip, date_parts, round_even
+from rentlens.functions.numeric import clip, date_parts, round_even, within
 from rentlens.operators import clean as C
 from rentlens.operators.lookup import fits_broadcast
 from rentlens.operators.quantiles import one_row, quantile_table, quantiles_long, scoped_measures
@@ -41,8 +41,8 @@ def nearest_bucket(c: Column, buckets: Sequence[tuple[int, float]], lowest: int)
     buckets = sorted(buckets)
     top = buckets[-1][0]
     nearest = [min(buckets, key=lambda b: (abs(b[0] - t), b[0]))[1] for t in range(top + 1)]
-    target = clip(round_even(c), F.lit(float(lowest)), F.lit(float(top))).cast("int")
-    return F.get(F.array(*[F.lit(float(p)) for p in nearest]), target)
+    target = within(F.rint(c), float(lowest), float(top)).cast("int")
+    return F.when(c.isNotNull(), F.get(F.array(*[F.lit(float(p)) for p in nearest]), target))
 
 
 def market_rows(

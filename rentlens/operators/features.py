@@ -28,7 +28,9 @@ def training_rows(df: DataFrame, rent_range=vocab.MODEL_RENT_RANGE, key: str = "
                             "district": F.lit("unknown"), "posted_date": none})
     df = C.with_defaults(df, {f"{c}_was_missing": F.col(c).isNull().cast("double") for c in vocab.STRUCTURAL})
     df = C.numeric_columns(df, vocab.STRUCTURAL)
-    df = df.withColumn(vocab.TARGET, T.parse_money(F.col(vocab.TARGET), "tokens"))
+    rent = F.col(vocab.TARGET)
+    text = dict(df.dtypes)[vocab.TARGET] == "string"
+    df = C.evaluate_once(df, {vocab.TARGET: T.decimal_text(T.money_text(rent, "tokens")) if text else rent.cast("double")})
     df = C.filter_range(df, vocab.TARGET, *rent_range).withColumn("kind", T.model_type(F.col("property_type")))
     df = df.select(key, vocab.TARGET, *vocab.STRUCTURAL, *[f"{c}_was_missing" for c in vocab.STRUCTURAL],
                    "kind", "district", "furnished", "posted_date")

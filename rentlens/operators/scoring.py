@@ -75,15 +75,22 @@ def market_price(ctx: MarketContext) -> Column:
     return F.coalesce("district_price", "type_price", F.lit(float(ctx.overall["overall_price"])))
 
 
-def relation_anchor(ctx: MarketContext) -> Column:
-    size, bed, bath = _request()
+def relation_anchor() -> Column:
+    """Weighted mean of the market price and the prices that size, bedrooms and bathrooms suggest."""
     w = vocab.ANCHOR_WEIGHTS
-    return weighted_mean([
-        (w["market"], market_price(ctx)),
-        (w["type"], within(size, lo=1.0) * F.col("type_pps")),
-        (w["bedrooms"], nearest_bucket(bed, ctx.buckets["bedrooms"], 0)),
-        (w["bathrooms"], nearest_bucket(bath, ctx.buckets["bathrooms"], 1)),
-    ])
+    return weighted_mean([(w["market"], F.col("market_price")), (w["type"], F.col("size_price")),
+                          (w["bedrooms"], F.col("bedroom_price")), (w["bathrooms"], F.col("bathroom_price"))])
+
+
+def suggested_prices(df: DataFrame, ctx: MarketContext) -> DataFrame:
+    """Add the parts of the relation anchor."""
+    size, bed, bath = _request()
+    return df.withColumns({
+        "market_price": market_price(ctx),
+        "size_price": within(size, lo=1.0) * F.col("type_pps"),
+        "bedroom_price": nearest_bucket(bed, ctx.buckets["bedrooms"], 0),
+        "bathroom_price": nearest_bucket(bath, ctx.buckets["bathrooms"], 1),
+    })
 
 
 def _profile(ctx: MarketContext) -> tuple[Column, Column, Column]:
@@ -136,8 +143,9 @@ def calibrate(df: DataFrame, ctx: MarketContext) -> DataFrame:
     size, bed, bath = _request()
     size = within(size, lo=1.0)
     low, high = pps_limits(ctx)
-    df = df.withColumns({"market_price": market_price(ctx), "relation_anchor": relation_anchor(ctx),
-                         "coherence": coherence(ctx), "expected_pps": expected_pps(ctx)})
+    df = suggested_prices(df, ctx).withColumns({
+        "relation_anchor": relation_anchor(), "coherence": coherence(ctx), "expected_pps": expected_pps(ctx),
+    })
     blended = F.col("coherence") * F.col("raw_price") + (1.0 - F.col("coherence")) * F.col("relation_anchor")
     floor, roof = within(F.col("expected_pps") * 0.72, lo=low), within(F.col("expected_pps") * 1.35, hi=high)
     wide = roof > floor
@@ -148,7 +156,9 @@ def calibrate(df: DataFrame, ctx: MarketContext) -> DataFrame:
     most = F.greatest(least + 50.0, size * high)
     df = df.withColumn("steady_pps", within(steady, floor, roof))
     price = within(F.col("steady_pps") * size * premium, least, most)
-    return df.withColumn("price", F.when(F.col("raw_price").isNotNull(), price)).drop("steady_pps")
+    return df.withColumn("price", F.when(F.col("raw_price").isNotNull(), price)).drop(
+        "steady_pps", "size_price", "bedroom_price", "bathroom_price"
+    )
 
 
 def score(df: DataFrame, predict: Predictor, ctx: MarketContext) -> DataFrame:
@@ -256,17 +266,19 @@ def room_monotone(df: DataFrame, predict: Predictor, ctx: MarketContext) -> Data
     )
 
 
-def _impacts(digits: int) -> tuple[Column, Column]:
-    """Sum of the single-field changes, and the share of each in it, largest first."""
-    total = F.aggregate("changes", F.lit(0.0), lambda acc, x: acc + x["gap"])
-    shares = F.transform(
-        F.array_sort(F.transform(
-            "changes", lambda x: F.struct((-x["gap"]).alias("order"), x["position"].alias("position"), x["label"].alias("label"))
-        )),
-        lambda x: F.struct(x["label"].alias("feature"), round_even(-x["order"] / F.col("total") * 100.0, digits).alias("weight")),
-    )
+def _impacts(digits: int) -> Column:
+    """Share of each single-field change in the sum of the changes, largest first."""
+    gaps = [F.abs(F.col("price") - F.col(f"impact_{i}")) for i in range(len(vocab.IMPACT_LABELS))]
+    total = sum(gaps[1:], gaps[0])
+    ordered = F.array_sort(F.array(*[
+        F.struct((-gap).alias("order"), F.lit(i).alias("position"), F.lit(label).alias("label"))
+        for i, (gap, label) in enumerate(zip(gaps, vocab.IMPACT_LABELS, strict=True))
+    ]))
+    shares = F.transform(ordered, lambda x: F.struct(
+        x["label"].alias("feature"), round_even(-x["order"] / total * 100.0, digits).alias("weight")
+    ))
     fixed = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(w).alias("weight")) for n, w in vocab.DEFAULT_IMPACTS])
-    return total, F.when(F.col("total") > 0, shares).otherwise(fixed)
+    return F.when(total > 0, shares).otherwise(fixed)
 
 
 def score_requests(
@@ -276,32 +288,31 @@ def score_requests(
     """Final price of each request with feature impacts and size curve.
 
     All copies of a request (layouts, single-field changes, curve sizes) are scored in one batch and
-    folded back by one aggregation. ``df`` comes from ``attach_market`` and has a ``request_id``.
+    folded back by one aggregation of numbers. ``df`` comes from ``attach_market`` and has a
+    ``request_id``.
     """
     others = (impact_variants(ctx) if impacts else []) + (curve_variants(sizes) if curve else [])
     rows = score_variants(df, predict, ctx, others, layouts=True)
-    labels = F.array(*[F.lit(x) for x in vocab.IMPACT_LABELS])
-    change = F.struct(F.array_position(labels, F.col("label")).alias("position"), "label", F.col("price").alias("alt"))
-    point = F.struct(F.col("size_sqm").alias("size"), round_even(F.col("price"), 2).alias("price"))
-    base = lambda c: F.max(F.when(_is_base(), F.col(c))).alias(c)
+    pick = lambda test, c, name: F.max(F.when(test, F.col(c))).alias(name)
+    role = F.col("role")
     folded = [
-        F.any_value("asked").alias("asked"), F.any_value("district_key").alias("district_key"),
-        F.max(F.when(F.col("role") == "layout", F.col("price") * F.col("weight"))).alias("price"),
-        base("market_price"), base("coherence"),
+        F.max(F.when(role == "layout", F.col("price") * F.col("weight"))).alias("price"),
+        pick(_is_base(), "market_price", "market_price"), pick(_is_base(), "coherence", "coherence"),
     ]
     if impacts:
-        folded.append(F.array_sort(F.collect_list(F.when(F.col("role") == "impact", change))).alias("changes"))
+        folded += [pick((role == "impact") & (F.col("label") == label), "price", f"impact_{i}")
+                   for i, label in enumerate(vocab.IMPACT_LABELS)]
     if curve:
-        folded.append(F.array_sort(F.collect_list(F.when(F.col("role") == "curve", point))).alias("size_curve"))
+        folded += [pick((role == "curve") & (F.col("label") == str(size)), "price", f"curve_{i}")
+                   for i, size in enumerate(sizes)]
     out = rows.groupBy("request_id").agg(*folded)
-    if not impacts:
-        return out
-    gaps = F.transform("changes", lambda x: F.struct(
-        x["position"].alias("position"), x["label"].alias("label"), F.abs(F.col("price") - x["alt"]).alias("gap")
-    ))
-    total, shares = _impacts(impact_digits)
-    out = out.withColumn("changes", gaps).withColumn("total", total)
-    return out.withColumn("impacts", shares).drop("total", "changes")
+    if impacts:
+        out = out.withColumn("impacts", _impacts(impact_digits))
+    if curve:
+        points = [F.struct(F.lit(float(size)).alias("size"), round_even(F.col(f"curve_{i}"), 2).alias("price"))
+                  for i, size in enumerate(sizes)]
+        out = out.withColumn("size_curve", F.array(*points))
+    return out.drop(*[c for c in out.columns if c.startswith(("impact_", "curve_"))])
 
 
 def respond(df: DataFrame, ctx: MarketContext, model_name: str = "model") -> DataFrame:

@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from rentlens import vocab
 from rentlens.functions import text as T
-from rentlens.functions.numeric import clip, null_outside
+from rentlens.functions.numeric import clip, finite, null_outside
 from rentlens.operators import clean as C
 from rentlens.session import stage
 
 
 def parse_listings(df: DataFrame, money: str = "class") -> DataFrame:
     """Row-local part of cleaning: numbers, impossible values, vocabularies."""
-    numbers = {c: null_outside(T.first_number(F.col(c)), *vocab.POSSIBLE[c]) for c in vocab.STRUCTURAL}
-    df = df.withColumns(
+    parsed = {c: T.number_in(F.col(c)) for c in vocab.STRUCTURAL}
+    parsed[vocab.TARGET] = T.decimal_text(T.money_text(F.col(vocab.TARGET), money))
+    parsed["property_type"] = T.clean_type(F.col("property_type"))
+    if "furnished" in df.columns:
+        parsed["furnished"] = T.normalize_furnished(F.col("furnished"))
+    df = C.evaluate_once(df, parsed)
+    return df.withColumns(
         {
-            vocab.TARGET: T.parse_money(F.col(vocab.TARGET), money),
-            **numbers,
-            "property_type": T.clean_type(F.col("property_type")),
+            vocab.TARGET: finite(F.col(vocab.TARGET)),
+            **{c: null_outside(finite(F.col(c)), *vocab.POSSIBLE[c]) for c in vocab.STRUCTURAL},
         }
     )
-    if "furnished" in df.columns:
-        df = df.withColumn("furnished", T.normalize_furnished(F.col("furnished")))
-    return df
 
 
 def usable_listings(df: DataFrame, rent_range=vocab.CLEAN_RENT_RANGE) -> DataFrame:
@@ -59,7 +60,8 @@ def auto_clean(df: DataFrame) -> DataFrame:
     """Fallback cleaning of raw listings that lack structural columns: text, then type defaults."""
     C.require_columns(df, ["listing_id", "city", "district", "location", "property_type", vocab.TARGET])
     df = C.with_defaults(df, {c: F.lit(None).cast("string") for c in [*vocab.STRUCTURAL, "title"]})
-    df = C.fill_attributes(df).withColumn(vocab.TARGET, T.parse_money(F.col(vocab.TARGET), "tokens"))
+    df = C.evaluate_once(df, {vocab.TARGET: T.decimal_text(T.money_text(F.col(vocab.TARGET), "tokens"))})
+    df = C.fill_attributes(df).withColumn(vocab.TARGET, finite(F.col(vocab.TARGET)))
     df = C.drop_missing(df, [vocab.TARGET])
     df = df.withColumns({c: clip(F.col(c), *vocab.BOUNDS[c]) for c in vocab.STRUCTURAL})
     kind = F.coalesce(T.strip(F.col("property_type")), F.lit("Other"))

@@ -11,8 +11,11 @@ from rentlens.functions import numeric as N
 from rentlens.functions import text as T
 from rentlens.operators import clean as C
 from rentlens.plans import cleaning as plans
+from rentlens.session import new_folder
 from rentlens.sources import pages as P
+from rentlens.sources.csv_files import read_listings_csv as read_csv
 from rentlens.sources.shared_tables import LISTINGS_SQL, listings_raw, listings_repeated, table
+from rentlens.sources.tables import save_table
 
 QUERIES = {}
 ORACLES = {}
@@ -360,6 +363,17 @@ def page_titles(spark, sf_dir):
     return P.page_titles(table(spark, sf_dir, "pages"))
 
 
+_FILE = ["listing_id", "district", "location", "property_type", "rent_price_usd", "size_sqm", "bedrooms", "title"]
+
+
+@query(RAW + "SELECT listing_id::VARCHAR AS listing_id, " + ", ".join(_FILE[1:]) + ", NULL::VARCHAR AS agent FROM raw")
+def read_listings_csv(spark, sf_dir):
+    """Raw listings written as CSV files and read back as text, from the first path that exists."""
+    path = new_folder(spark, "csv")
+    save_table(listings_raw(spark, sf_dir).select(*_FILE), path, "csv")
+    return read_csv(spark, [f"{path}-missing", path], ["district", "agent"])
+
+
 _PAGE_RULES = {
     "title": {"tag": "h1"},
     "description": {"tag": "article"},

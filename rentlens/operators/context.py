@@ -14,7 +14,7 @@ from rentlens.functions import text as T
 from rentlens.functions.numeric import clip, date_parts, round_even, within
 from rentlens.operators import clean as C
 from rentlens.operators.lookup import fits_broadcast
-from rentlens.operators.quantiles import one_row, quantile_table, quantiles_long, scoped_measures
+from rentlens.operators.quantiles import quantile_table, quantiles_long, scoped_measures
 from rentlens.session import stage
 
 MAX_BUCKET = 12  # room counts above share one bucket
@@ -64,7 +64,10 @@ def market_rows(
 
 
 def trim_tails(df: DataFrame, column: str = "rent", low: float = 0.01, high: float = 0.99) -> DataFrame:
-    cut = one_row(quantile_table(df, [], {"low": (column, low), "high": (column, high)}))
+    """Rows between two quantiles. The two numbers are read first, so that the filter reaches the scan."""
+    cut = quantile_table(df, [], {"low": (column, low), "high": (column, high)}).first()
+    if cut["low"] is None:
+        return df.where(F.lit(False))
     return df.where(F.col(column).between(cut["low"], cut["high"]))
 
 

@@ -90,15 +90,17 @@ def key_texts(districts: DataFrame) -> DataFrame:
 def match_texts(texts: DataFrame, keys: DataFrame, cutoff: float | None = vocab.FUZZY_CUTOFF) -> DataFrame:
     """District key of each distinct cleaned text: equal, else contained either way, else similar."""
     found = texts.join(keys.withColumnRenamed("key_text", "text"), "text", "left").select("text", "district_key")
+    found = stage(found, "found")
     exact = found.where(F.col("district_key").isNotNull())
-    rest = stage(found.where(F.col("district_key").isNull()).select("text"), "unmatched")
+    rest = found.where(F.col("district_key").isNull()).select("text")
+    if rest.isEmpty():
+        return exact
     both = _contained(rest, "text", keys, "key_text").unionByName(_contained(keys, "key_text", rest, "text"))
     partial = _first_key(both)
-    out = exact.unionByName(partial)
-    if cutoff is not None:
-        left_over = rest.join(partial, "text", "left_anti")
-        out = out.unionByName(_similar(left_over, keys, cutoff))
-    return out
+    if cutoff is None:
+        return exact.unionByName(partial)
+    partial = stage(partial, "partial")
+    return exact.unionByName(partial).unionByName(_similar(rest.join(partial, "text", "left_anti"), keys, cutoff))
 
 
 def resolve_district(

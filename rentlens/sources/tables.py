@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from rentlens.sources.csv_files import path_exists
 
 
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def save_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace the table at ``path``. The new files are complete before the old ones are removed, so a
     failed job leaves the old table, and ``df`` may itself read from ``path``."""
     spark = df.sparkSession
     fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    writer = df.write.format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(fresh)
+    df.write.format(fmt).options(**(CSV_OPTIONS if fmt == "csv" else {})).save(fresh)
     jvm = spark.sparkContext._jvm
     new, old = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
     files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -17,12 +17,12 @@ KEYS_PER_BLOCK = 4
 
 
 def page_bits(keys: int) -> int:
-    """Power of two of pages for so many keys."""
-    return min(MAX_PAGE_BITS, max(0, (max(keys, 1) // (KEYS_PER_BLOCK * PAGE)).bit_length()))
+    """Power of two of pages for so many keys, two at least."""
+    return min(MAX_PAGE_BITS, max(1, (max(keys, 1) // (KEYS_PER_BLOCK * PAGE)).bit_length()))
 
 
 def page(digest: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(digest, 64 - bits).cast("int") if bits else F.lit(0)
+    return F.shiftrightunsigned(digest, 64 - bits).cast("int")
 
 
 def block(digest: Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import exact_dedup, quality, toxicity, url_filter
+from rentlens.llm import decontaminate, exact_dedup, forest, pieces, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,11 +39,21 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(documents, quality.train(documents, table(spark, folder, "labels")))
 
 
+@query()
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
+@query()
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.join(table(spark, folder, "documents"))
+
+
 @query()
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = toxicity.train(documents, table(spark, folder, "labels"))
-    scored = toxicity.score(documents.select("doc_id", toxicity.held_out().alias("held_out"), "text"), model)
+    scored = toxicity.score(documents.select("doc_id", toxicity.held_out().alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
@@ -84,3 +94,8 @@ FROM known k LEFT JOIN best b ON k.host = b.host AND k.path = b.path LEFT JOIN l
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return url_filter.judge(pages, RULES, url_filter.repeated_addresses(pages))
+
+
+@query()
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -149,8 +149,8 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = 4000, unlabelled
     return LinearModel(kept[use], w, b)
 
 
-def score(documents: DataFrame, model: LinearModel, threshold: float = 0.5) -> DataFrame:
-    """All columns of the documents, then ``toxic_score`` and ``toxic_predicted`` of the whole text.
+def score(documents: DataFrame, model: LinearModel, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """All columns of the documents, or those in ``keep``, then ``toxic_score`` and ``toxic_predicted`` of the whole text.
 
     Columns that already have one of these two names are replaced.
     """
@@ -161,7 +161,7 @@ def score(documents: DataFrame, model: LinearModel, threshold: float = 0.5) -> D
             scores = pa.array(model.scores(batch.column(batch.num_columns - 1), slots))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "toxic_score"])
 
-    names = [c for c in documents.columns if c not in ("toxic_score", "toxic_predicted")]
+    names = [c for c in (documents.columns if keep is None else keep) if c not in ("toxic_score", "toxic_predicted")]
     plain = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.lower(F.col("text")).alias("lowered"))
     shape = T.StructType([T.StructField(f"c{i}", documents.schema[c].dataType) for i, c in enumerate(names)] + [T.StructField("toxic_score", T.DoubleType())])
     scored = plain.mapInArrow(rows, shape)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import decontaminate, exact_dedup, forest, pieces, quality, toxicity, url_filter
+from rentlens.llm import chat, decontaminate, exact_dedup, forest, page_diff, pieces, quality, surrogates, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,6 +96,37 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(pages, RULES, url_filter.repeated_addresses(pages))
 
 
+@query()
+def op7_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_diff.main_text(table(spark, folder, "pages"))
+
+
+@query()
+def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(documents, "2026-training-data")
+
+
 @query()
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("""
+WITH said AS (
+  SELECT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), shown AS (
+  SELECT *, '<|' || replace(role, '<|', '< |') || '|>\n' || replace(text, '<|', '< |') || '\n<|end|>\n' AS line FROM said
+), turns AS (
+  SELECT conv_id, turn, string_agg(turn || chr(31) || role || chr(31) || text || chr(30), '' ORDER BY role, text) AS raw,
+    string_agg(line, '' ORDER BY role, text) AS lines, count(*) AS n FROM shown GROUP BY conv_id, turn
+), prefixes AS (
+  SELECT conv_id, turn, string_agg(raw, '') OVER w AS p, string_agg(lines, '') OVER w AS chat, CAST(sum(n) OVER w AS BIGINT) AS n,
+    max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), whole AS (
+  SELECT p, chat, n, min(conv_id) AS conv_id FROM prefixes WHERE turn = last_turn GROUP BY p, chat, n
+)
+SELECT conv_id, n AS n_turns, chat FROM whole WHERE p NOT IN (SELECT p FROM prefixes WHERE turn < last_turn)
+""")
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render(table(spark, folder, "conversations"))

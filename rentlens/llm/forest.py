@@ -33,6 +33,8 @@ from rentlens.session import stage
 SHINGLE = 5
 TREES, DEPTH = 24, 8
 FEW = 24
+LOOKUP_ROWS = 200_000
+SMALL_GRAPH = 500_000
 _BLOCK = 2048
 
 
@@ -93,52 +95,49 @@ def _nodes(classes: DataFrame, trees: int, depth: int, used: int) -> DataFrame:
     return classes.select(F.explode(F.array(*[label(t) for t in range(trees)])).alias("node"), "class_key")
 
 
-def _shared_nodes(classes: DataFrame, trees: int, depth: int, used: int) -> DataFrame:
-    """Rows of :func:`_nodes` below nodes with several classes."""
-    rows = _nodes(classes, trees, depth, used)
-    several = stage(rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"), "forest-several")
-    # a lookup of measured size: 12 bytes a node
-    several = F.broadcast(several) if several.count() <= 200_000 else several
-    return rows.join(several, "node")
+def _lookup(table: DataFrame) -> DataFrame:
+    """A stored table for a join: broadcast if it was measured to be small, else shuffled."""
+    return F.broadcast(table) if table.count() <= LOOKUP_ROWS else table
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows with ``group``: the class's group, by default itself."""
     held = groups.select(F.col("class_key").alias("_class"), F.col("group").alias("_group"))
-    return rows.join(held, F.col("class_key") == F.col("_class"), "left").withColumn("group", F.coalesce("_group", "class_key")).drop("_class", "_group")
+    return rows.join(_lookup(held), F.col("class_key") == F.col("_class"), "left").withColumn("group", F.coalesce("_group", "class_key")).drop("_class", "_group")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows below nodes that hold several groups, with ``members``, the number of classes there."""
+    """Rows below nodes that hold several groups, with the number of ``members``."""
     state = rows.groupBy("node").agg(F.count("*").alias("members"), F.min("group").alias("low"), F.max("group").alias("high"))
-    state = state.where("low <> high").select(F.col("node").alias("_node"), "members")
-    return rows.drop("members").join(stage(state, "forest-mixed"), F.col("node") == F.col("_node")).drop("_node")
+    state = stage(state.where("low <> high").select(F.col("node").alias("_node"), "members"), "forest-state")
+    return rows.drop("members").join(_lookup(state), F.col("node") == F.col("_node")).drop("_node")
 
 
-def _candidates(rows: DataFrame, seed: int, few: int) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of different groups: all below small nodes, with the leader below others."""
-    small = rows.where(F.col("members") <= few)
+def _candidates(mixed: DataFrame, few: int, leaders: int, seed: int) -> DataFrame:
+    """Distinct pairs ``a`` < ``b`` of different groups: all below small nodes, once, with leaders below others.
+
+    Members draw one of as many lots as leaders are wanted; the first of each lot leads.
+    """
+    small = mixed.where(F.col("members") <= (few if leaders == 1 else 0))
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.class_key") < F.col("y.class_key")) & (F.col("x.group") != F.col("y.group")))
     pairs = pairs.select(F.col("x.class_key").alias("a"), F.col("y.class_key").alias("b"))
-    large = rows.where(F.col("members") > few)
-    drawn = F.struct(F.xxhash64(F.lit(seed), "node", "class_key").alias("draw"), F.col("class_key"), F.col("group"))
-    leaders = large.groupBy("node").agg(F.min(drawn).alias("leader"))
-    leaders = stage(leaders.select(F.col("node").alias("_node"), F.col("leader.class_key").alias("leader"), F.col("leader.group").alias("leader_group")), "forest-leaders")
-    led = large.join(leaders, F.col("node") == F.col("_node")).where(F.col("group") != F.col("leader_group"))
-    led = led.select(F.least("class_key", "leader").alias("a"), F.greatest("class_key", "leader").alias("b"))
-    return pairs.unionByName(led).distinct()
+    large = mixed.where(F.col("members") > few)
+    drawn = F.xxhash64(F.lit(seed), "node", "class_key")
+    lot = F.pmod(drawn, F.lit(leaders)).alias("lot")
+    first = large.groupBy("node", lot).agg(F.min(F.struct(drawn.alias("drawn"), "class_key", "group")).alias("first"))
+    first = first.select(F.col("node").alias("_node"), F.col("first.class_key").alias("leader"), F.col("first.group").alias("leader_group"))
+    led = large.join(first, (F.col("node") == F.col("_node")) & (F.col("group") != F.col("leader_group")))
+    return pairs.unionByName(led.select(F.least("class_key", "leader").alias("a"), F.greatest("class_key", "leader").alias("b"))).distinct()
 
 
-def _possible(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _possible(rows: DataFrame, keys: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``text_key`` may be among the keys, and those where it is not: only the first need to shuffle."""
-    digests = stage(keys.select(F.xxhash64(keys.columns[0]).alias("digest")).distinct(), "forest-keys")
-    bits = bloom.page_bits(digests.count())
-    pages = stage(bloom.build(digests, "digest", bits), "forest-filter")
+    pages = bloom.build(keys.select(F.xxhash64(keys.columns[0]).alias("digest")), "digest", bits)
     asked = bloom.ask(rows.withColumn("_digest", F.xxhash64("text_key")), "_digest", pages, bits, "_maybe").drop("_digest")
     return asked.where("_maybe").drop("_maybe"), asked.where("not _maybe").drop("_maybe")
 
 
-def _shingles_of(documents: DataFrame, members: DataFrame) -> DataFrame:
+def _shingles_of(documents: DataFrame, members: DataFrame, bits: int) -> DataFrame:
     """``class_key``, ``shingles`` of the texts named in ``members`` (``class_key``, ``doc_id``, ``text_key``)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +146,7 @@ def _shingles_of(documents: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["class_key", "shingles"])
 
     wanted = members.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "class_key")
-    keyed = _possible(documents.select("doc_id", _identity().alias("text_key"), F.lower("text").alias("text")), wanted.select("_key"))[0]
+    keyed = _possible(documents.select("doc_id", _identity().alias("text_key"), F.lower("text").alias("text")), wanted.select("_key"), bits)[0]
     found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     return found.select("class_key", "text").dropDuplicates(["class_key"]).mapInArrow(rows, "class_key binary, shingles array<long>")
 
@@ -161,22 +160,43 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return found.where(F.col("similarity") >= threshold)
 
 
-def merged(links: DataFrame, label: str = "forest-groups") -> DataFrame:
-    """``class_key``, ``group`` (smallest key) of all keys in links ``a``, ``b``: alternating star steps.
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest key of each key's component, for the edges of one task."""
+    top: dict[bytes, bytes] = {}
+
+    def root(key: bytes) -> bytes:
+        while top.setdefault(key, key) != key:
+            top[key] = top[top[key]]
+            key = top[key]
+        return key
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            top[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.binary()), pa.array([root(k) for k in top], pa.binary())], ["class_key", "group"])
 
-    Each step hangs a key's larger neighbours on its smallest one, then its smaller neighbours on the
-    smallest; every step is stored, and the number of steps grows with the logarithm of the longest chain.
+
+def merged(links: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """``class_key``, ``group`` (smallest key) of all keys in links ``a``, ``b``.
+
+    Up to ``small`` edges fit one task, which joins them directly. Larger graphs take alternating star steps:
+    each key's larger neighbours hang on its smallest one, then its smaller neighbours do; every step is
+    stored, and their number grows with the logarithm of the longest chain. Both give the same groups.
     """
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if links.count() <= small:
+        return stage(edges.coalesce(1).mapInArrow(_roots, "class_key binary, group binary"), "forest-groups")
+    edges = stage(edges.where("u <> v").distinct(), "forest-edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        wide = both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(wide.where("u <> v").distinct(), label)
+        wide = both.join(stage(least, "forest-least"), F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage(wide.where("u <> v").distinct(), "forest-edges")
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
-        narrow = large.join(down, F.col("u") == F.col("_u")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stage(narrow.where("u <> v").distinct(), label)
+        narrow = large.join(stage(down, "forest-least"), F.col("u") == F.col("_u")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = stage(narrow.where("u <> v").distinct(), "forest-edges")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
@@ -218,33 +238,40 @@ def join(documents: DataFrame, threshold: float = 0.8, target: float = 0.995, tr
 
 
 def _linked(documents: DataFrame, classes: DataFrame, threshold: float, target: float, trees: int, depth: int, few: int) -> tuple[DataFrame, DataFrame]:
-    """All verified links between classes, and the groups they make."""
+    """All verified links between classes, and the groups they make.
+
+    The first round takes one leader a node. Later ones, with few rows left, take up to 16 times more each,
+    as long as the pairs of a round stay linear in the classes; rounds end when one links nothing.
+    """
     spark = documents.sparkSession
     links = spark.createDataFrame([], "a binary, b binary, similarity double")
     groups = spark.createDataFrame([], "class_key binary, group binary")
-    done = shingles = fetched = None
+    shingles = None
+    total = classes.count()
+    bits = bloom.page_bits(total)
     used, seed = depth, 0
     while True:
-        rows = stage(_shared_nodes(classes, trees, depth, used), "forest-nodes")
-        members = rows.select("class_key").distinct()
-        missing = members if fetched is None else members.join(fetched, "class_key", "left_anti")
-        new = stage(_shingles_of(documents, classes.join(missing, "class_key")), "forest-shingles")
-        shingles = new if shingles is None else shingles.unionByName(new)
-        fetched = shingles.select("class_key")
+        rows, leaders = _nodes(classes, trees, depth, used), 1
         while True:
             mixed = stage(_mixed(_with_groups(rows.select("node", "class_key"), groups)), "forest-round")
-            pairs = _candidates(mixed, seed, few)
-            if done is not None:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-            pairs = stage(pairs, "forest-pairs")
+            if leaders == 1:
+                members = mixed.select("class_key").distinct()
+                missing = members if shingles is None else members.join(shingles.select("class_key"), "class_key", "left_anti")
+                new = stage(_shingles_of(documents, classes.join(missing, "class_key"), bits), "forest-shingles")
+                shingles = new if shingles is None else shingles.unionByName(new)
+            pairs = stage(_candidates(mixed, few, leaders, seed), "forest-pairs")
             found = stage(_verified(pairs, shingles, threshold), "forest-links")
-            done = pairs if done is None else done.unionByName(pairs)
             seed += 1
-            if found.isEmpty():
+            linked = not found.isEmpty()
+            if linked:
+                links = links.unionByName(found)
+                groups = merged(links)
+            rows = mixed.where(F.col("members") > few)  # all pairs below the others are verified
+            left = rows.count()
+            affordable = max(1, total * trees // max(1, left))
+            if not left or (not linked and (leaders > 1 or affordable == 1)):
                 break
-            links = links.unionByName(found)
-            groups = merged(links)
-            rows = mixed
+            leaders = min(leaders * 16, affordable)
         if used <= 2 or _recall(links, trees, used) >= target:
             return links, groups
         used -= 1
@@ -273,7 +300,7 @@ def one_of_each_group(documents: DataFrame, **settings) -> DataFrame:
     touched = decided.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept")
     touched = stage(touched.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept"), "forest-touched")
     whole = documents.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("whole"), "doc_id", _identity().alias("text_key"))
-    possible, through = _possible(whole, touched.select("_key"))
+    possible, through = _possible(whole, touched.select("_key"), bloom.page_bits(touched.count()))
     looked = possible.join(touched, same, "left")
     once = looked.where("kept").dropDuplicates(["doc_id", "text_key"])
     out = through.select("whole").unionByName(looked.where("kept is null").select("whole")).unionByName(once.select("whole"))

@@ -10,26 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens import vocab
-from rentlens.operators.quantiles import (
-    digest_bucket,
-    measures,
-    one_row,
-    order_statistics,
-    quantiles_long,
-)
+from rentlens.operators.quantiles import measures, one_row, order_statistics, quantiles_long
 
 
 def row_digest(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def _id_bucket(df: DataFrame, key: str):
-    """Equal-width buckets between the smallest and the largest id."""
-    edge = one_row(df.agg(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi")))
-    width = (edge["hi"] - edge["lo"]) / 65536 + 1
-    return lambda v: F.floor((v.cast("double") - edge["lo"]) / width)
-
-
 def _first_of_each_fold(k: int) -> Column:
     """Ranks at which folds 1 .. k-1 begin; the first ``n % k`` folds have one row more."""
     n = F.col("group_n")
@@ -43,13 +30,12 @@ def _first_of_each_fold(k: int) -> Column:
 def fold_column(
     df: DataFrame, k: int, key: str = "listing_id", shuffle: bool = False, seed: int = 42, name: str = "fold"
 ) -> DataFrame:
-    """Fold number 0 .. k-1 of each row: contiguous in id order, or in digest order if shuffled."""
-    if shuffle:
-        ordered = df.withColumn("order_value", row_digest(key, seed))
-        found = order_statistics(ordered, [], _first_of_each_fold(k), digest_bucket, "order_value", unique=True)
-    else:
-        ordered = df.withColumn("order_value", F.col(key))
-        found = order_statistics(ordered, [], _first_of_each_fold(k), _id_bucket(df, key), "order_value", unique=True)
+    """Fold number 0 .. k-1 of each row: contiguous in id order, or in digest order if shuffled.
+
+    Ids may be whole numbers or texts; rows without an id are in fold 0, repeated ids in one fold.
+    """
+    ordered = df.withColumn("order_value", row_digest(key, seed) if shuffle else F.col(key))
+    found = order_statistics(ordered, [], _first_of_each_fold(k), "order_value")
     starts = one_row(found.agg(*[F.max(F.when(F.col("label") == j, F.col("v"))).alias(f"s{j}") for j in range(1, k)]))
     passed = sum((_as_int(starts[f"s{j}"] <= F.col("order_value")) for j in range(1, k)), F.lit(0))
     return ordered.withColumn(name, passed).drop("order_value")
@@ -81,7 +67,7 @@ def stratified_split(
     marked = marked.withColumn("order_value", row_digest(key, seed))
     size = F.round(F.col("group_n") * test_share).cast("long")
     last = F.filter(F.array(F.struct(F.lit(0).alias("label"), (size - 1).alias("rank"))), lambda w: w["rank"] >= 0)
-    found = order_statistics(marked, ["stratum"], last, digest_bucket, "order_value", unique=True)
+    found = order_statistics(marked, ["stratum"], last, "order_value")
     cuts = found.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "v"))).alias("cuts")).scalar()
     is_test = F.col("order_value") <= F.element_at(cuts, F.col("stratum"))
     return marked.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("order_value")

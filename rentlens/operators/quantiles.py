@@ -1,9 +1,11 @@
 """Exact order statistics and quantiles of large, skewed groups.
 
-The built-in ``percentile`` holds all distinct values of a group in one task. Here the values of a
-group are counted first and put into narrow buckets that keep their order. Bucket counts locate the
-few buckets that hold the wanted ranks, and only the values of those buckets are sorted, each bucket
-on its own. No task sees a whole group, and equal values travel as one row with a count.
+The built-in ``percentile`` holds all distinct values of a group in one task. Here a histogram of narrow
+buckets that keep the order of the values comes first: counts and bounds only, added up before the shuffle.
+The counts locate the few buckets that hold the wanted ranks. A located bucket with more rows than a limit
+gets a histogram of its own between its bounds, until it is small or all its values are equal. Only then
+are the values of the located buckets fetched, counted where equal, and sorted, each bucket on its own. No
+task sees a whole group, and values elsewhere never move.
 """
 
 from __future__ import annotations
@@ -13,74 +15,118 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rentlens.session import stage
+
+BUCKET_ROWS = 100_000
+RANGES_BROADCAST = 100_000
+_PARTS = 4096
 # Buckets per doubling of a value; the offset keeps bucket numbers of all doubles positive.
 _PER_OCTAVE = 1024
 _OFFSET = 1075 * _PER_OCTAVE + 1
+_WIDE = "decimal(38,0)"
 
 
-def double_bucket(v: Column) -> Column:
-    """Bucket number that never decreases as the double ``v`` grows."""
+def _double_bucket(v: Column) -> Column:
     size = F.floor(F.log2(F.abs(v)) * _PER_OCTAVE) + F.lit(_OFFSET)
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size).cast("long")
 
 
-def digest_bucket(v: Column) -> Column:
-    """Bucket of a hexadecimal digest: its first four digits."""
-    return F.substring(v, 1, 4)
+def _common_prefix(a: Column, b: Column) -> Column:
+    return F.length(F.regexp_extract(F.concat(a, F.lit("\x00"), b), r"(?s)^(.*).*\x00\1", 1))
 
 
-def order_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    wanted: Column,
-    bucket=double_bucket,
-    value: str = "v",
-    unique: bool = False,
-) -> DataFrame:
+def _first_bucket(kind: T.DataType, v: Column) -> Column:
+    """Bucket that never decreases as ``v`` grows, without knowledge of the data."""
+    if isinstance(kind, T.StringType):
+        return F.substring(v, 1, 2)
+    if isinstance(kind, T.IntegralType):
+        return F.shiftright(v.cast("long"), 40)
+    return _double_bucket(v)
+
+
+def _inner_bucket(kind: T.DataType, v: Column, low: Column, high: Column) -> Column:
+    """Bucket of ``v`` between two bounds: equal widths, or the next characters after the common beginning."""
+    if isinstance(kind, T.StringType):
+        return F.substring(v, _common_prefix(low, high) + 1, F.lit(2))
+    if isinstance(kind, T.IntegralType):
+        width = F.floor((high.cast(_WIDE) - low.cast(_WIDE)) / _PARTS) + 1
+        return F.floor((v.cast(_WIDE) - low.cast(_WIDE)) / width).cast("long")
+    return F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * _PARTS).cast("long")
+
+
+def _same(names: Sequence[str], prefix: str) -> Column:
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"{prefix}{name}"))
+    return same
+
+
+def _in_ranges(values: DataFrame, located: DataFrame, keys: list[str]) -> DataFrame:
+    """Values inside located ranges, with the range's bounds ``low`` and ``high``."""
+    ranges = located.select(*[F.col(k).alias(f"at_{k}") for k in [*keys, "bucket"]], "low", "high").distinct()
+    small = located.count() <= RANGES_BROADCAST
+    inside = _same([*keys, "bucket"], "at_") & F.col("v").between(F.col("low"), F.col("high"))
+    joined = values.join(F.broadcast(ranges) if small else ranges, inside)
+    return joined.drop(*[f"at_{k}" for k in [*keys, "bucket"]])
+
+
+def _upto(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Rows with ``upto``, the running sum of ``n`` in the group."""
+    window = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
+    return rows.withColumn("upto", F.sum("n").over(window.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _located(values: DataFrame, keys: list[str], wanted: Column, kind: T.DataType) -> DataFrame:
+    """``keys, bucket, low, high, n, group_n, label, rank, before``: the range that holds each wanted rank."""
+    found = values.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    group = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    found = _upto(found.withColumn("group_n", F.sum("n").over(group)), keys, "bucket")
+    names = [*keys, "bucket", "low", "high", "n", "group_n"]
+    found = found.withColumn("want", F.explode(wanted)).select(
+        *names, "want.label", F.col("want.rank").cast("long").alias("rank"), (F.col("upto") - F.col("n")).alias("before"), "upto")
+    return found.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto"))).drop("upto")
+
+
+def _refined(values: DataFrame, located: DataFrame, keys: list[str], kind: T.DataType, limit: int) -> DataFrame:
+    """Ranges with more than ``limit`` rows replaced by the narrower ones that hold the ranks."""
+    is_large = (F.col("n") > limit) & (F.col("low") < F.col("high"))
+    large, rest = located.where(is_large), located.where(~is_large)
+    inside = _in_ranges(values, large, keys).withColumn("part", _inner_bucket(kind, F.col("v"), F.col("low"), F.col("high")))
+    group = [*keys, "bucket", "low", "high"]
+    parts = inside.groupBy(*group, "part").agg(F.count("*").alias("n"), F.min("v").alias("new_low"), F.max("v").alias("new_high"))
+    parts = _upto(parts, group, "part").drop("part").withColumnsRenamed({k: f"in_{k}" for k in group} | {"n": "new_n"})
+    asked = large.drop("n").join(parts, _same(group, "in_"))
+    start = F.col("before") + F.col("upto") - F.col("new_n")
+    hit = (start <= F.col("rank")) & (F.col("rank") < start + F.col("new_n"))
+    narrow = asked.where(hit).select(
+        *keys, "bucket", F.col("new_low").alias("low"), F.col("new_high").alias("high"), F.col("new_n").alias("n"), "group_n", "label", "rank", start.alias("before"))
+    return rest.unionByName(narrow)
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], wanted: Column, value: str = "v", limit: int = BUCKET_ROWS) -> DataFrame:
     """Values at the wanted ranks of each group of ``keys``; null values are left out.
 
-    ``wanted`` is an array of ``struct(label, rank)`` over the keys and ``group_n``, the number of
-    values in the group; ranks start at 0. Equal values are counted before anything else, and the
-    joins are left to run-time sizes. ``unique`` is for values that do not repeat, such as ids and
-    digests, in a number of groups fixed by the caller: counting would shuffle them all, so the table
-    is read twice instead, and the located buckets, at most one per wanted rank, are broadcast.
+    ``wanted`` is an array of ``struct(label, rank)`` over the keys and ``group_n``, the number of values in
+    the group; ranks start at 0. The values may be numbers or texts. The histograms are computed when this
+    is called, so ``df`` is read once for them and once for the values.
 
     Gives ``keys, label, rank, group_n, v``.
     """
     keys = list(keys)
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
-    values = values.withColumn("bucket", bucket(F.col("v")))
-    if unique:
-        values = values.withColumn("n", F.lit(1).cast("long"))
-    else:
-        values = values.groupBy(*keys, "bucket", "v").agg(F.count("*").alias("n"))
-
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    running = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    located = (
-        values.groupBy(*keys, "bucket")
-        .agg(F.sum("n").alias("bucket_n"))
-        .withColumn("upto", F.sum("bucket_n").over(running))
-        .withColumn("group_n", F.sum("bucket_n").over(whole))
-        .withColumn("want", F.explode(wanted))
-        .select(*keys, "bucket", "group_n", "want.label", F.col("want.rank").cast("long").alias("rank"),
-                (F.col("upto") - F.col("bucket_n")).alias("before"), "upto")
-        .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-        .drop("upto")
-    )
-    spots = located.withColumnsRenamed({name: f"at_{name}" for name in [*keys, "bucket"]})
-    same = F.lit(True)
-    for name in [*keys, "bucket"]:
-        same = same & F.col(name).eqNullSafe(F.col(f"at_{name}"))
-    inside = values.join(F.broadcast(spots) if unique else spots, same)
-    spot = W.partitionBy(*keys, "bucket", "label", "rank").orderBy("v")
-    last = F.sum("n").over(spot.rowsBetween(W.unboundedPreceding, 0))
+    kind = df.select(value).schema[0].dataType
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v")).withColumn("bucket", _first_bucket(kind, F.col("v")))
+    located = stage(_located(values, keys, wanted, kind), "ranks")
+    while not located.where((F.col("n") > limit) & (F.col("low") < F.col("high"))).isEmpty():
+        located = stage(_refined(values, located, keys, kind, limit), "ranks")
+    group = [*keys, "bucket", "low", "high"]
+    counted = _in_ranges(values, located, keys).groupBy(*group, "v").agg(F.count("*").alias("n"))
+    counted = _upto(counted, group, "v").withColumnsRenamed({k: f"in_{k}" for k in group} | {"n": "equal"})
     hit = F.col("rank") - F.col("before")
     return (
-        inside.withColumn("last", last)
-        .where((hit >= F.col("last") - F.col("n")) & (hit < F.col("last")))
+        located.join(counted, _same(group, "in_"))
+        .where((hit >= F.col("upto") - F.col("equal")) & (hit < F.col("upto")))
         .select(*keys, "label", "rank", "group_n", "v")
     )
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from rentlens.operators import clean as C
 from rentlens.operators import folds as D
 from rentlens.operators import stats as S
 from rentlens.operators.lookup import lookup_join
-from rentlens.operators.quantiles import measures, quantile_table, quantiles_long
+from rentlens.operators.quantiles import measures, order_statistics, quantile_table, quantiles_long
 
 numbers = st.one_of(st.none(), st.floats(-1e9, 1e9), st.integers(-3, 3).map(float), st.sampled_from([0.0, -0.0, 1e-300, 1e300]))
 
@@ -102,3 +103,30 @@ def test_corrected_moments(spark):
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     row = S.moments(df, ["x"]).first()
     assert np.isclose(row["skewness"], x.skew()) and np.isclose(row["kurtosis"], x.kurt()) and row["log_needed"]
+
+
+@pytest.mark.parametrize("kind", ["clustered", "integers", "texts", "far"])
+def test_ranks_in_crowded_buckets(spark, kind):
+    """Values that share a first bucket, so that histograms are refined several times."""
+    value = {
+        "clustered": F.lit(1.7e9) + F.col("id") * 7919 % 20011 / 1000.0,
+        "integers": F.lit(9_000_000_000_000_000_000) + F.col("id") * 7919 % 20011,
+        "texts": F.concat(F.lit("listing-2024-"), F.lpad((F.col("id") * 7919 % 20011).cast("string"), 6, "0")),
+        "far": F.when(F.col("id") == 3, F.lit(-(2**62))).otherwise(F.col("id") * 7919 % 20011),
+    }[kind]
+    df = spark.range(20000).select(value.alias("x"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("label"), F.lit(r).alias("rank")) for i, r in enumerate((0, 1, 777, 10000, 19999))])
+    got = {r["rank"]: r["v"] for r in order_statistics(df, [], wanted, "x", limit=50).collect()}
+    want = sorted(r.x for r in df.collect())
+    assert got == {r: want[r] for r in (0, 1, 777, 10000, 19999)}
+
+
+@pytest.mark.parametrize("key", ["listing_id", "text", "digest"])
+def test_contiguous_folds_of_any_id(spark, key):
+    df = spark.range(1189).select(
+        F.when(F.col("id") == 9, F.lit(10**17)).otherwise(F.col("id")).alias("listing_id"), F.concat(F.lit("site:"), F.col("id")).alias("text"),
+        F.md5(F.col("id").cast("string").cast("binary")).alias("digest"))
+    rows = D.fold_column(df, 5, key).select(key, "fold").collect()
+    ordered = [r.fold for r in sorted(rows, key=lambda r: r[0])]
+    assert ordered == sorted(ordered)
+    assert [ordered.count(f) for f in range(5)] == [238, 238, 238, 238, 237]

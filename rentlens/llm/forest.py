@@ -95,22 +95,28 @@ def _nodes(classes: DataFrame, trees: int, depth: int, used: int) -> DataFrame:
     return classes.select(F.explode(F.array(*[label(t) for t in range(trees)])).alias("node"), "class_key")
 
 
-def _lookup(table: DataFrame) -> DataFrame:
-    """A stored table for a join: broadcast if it was measured to be small, else shuffled."""
-    return F.broadcast(table) if table.count() <= LOOKUP_ROWS else table
-
-
 def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows with ``group``: the class's group, by default itself."""
     held = groups.select(F.col("class_key").alias("_class"), F.col("group").alias("_group"))
-    return rows.join(_lookup(held), F.col("class_key") == F.col("_class"), "left").withColumn("group", F.coalesce("_group", "class_key")).drop("_class", "_group")
+    held = F.broadcast(held) if held.count() <= LOOKUP_ROWS else held
+    return rows.join(held, F.col("class_key") == F.col("_class"), "left").withColumn("group", F.coalesce("_group", "class_key")).drop("_class", "_group")
+
+
+def _only(rows: DataFrame, column: str, digests: DataFrame, count: int) -> DataFrame:
+    """Rows whose 64-bit ``column`` may be among ``digest``: a bounded filter that spares most others a shuffle."""
+    bits = bloom.page_bits(count)
+    return bloom.ask(rows, column, bloom.build(digests, "digest", bits), bits, "_maybe").where("_maybe").drop("_maybe")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows below nodes that hold several groups, with the number of ``members``."""
-    state = rows.groupBy("node").agg(F.count("*").alias("members"), F.min("group").alias("low"), F.max("group").alias("high"))
+    group = F.xxhash64("group")
+    state = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(group).alias("low"), F.max(group).alias("high"))
     state = stage(state.where("low <> high").select(F.col("node").alias("_node"), "members"), "forest-state")
-    return rows.drop("members").join(_lookup(state), F.col("node") == F.col("_node")).drop("_node")
+    count = state.count()
+    few = count <= LOOKUP_ROWS
+    rows = rows.drop("members") if few else _only(rows.drop("members"), "node", state.select(F.col("_node").alias("digest")), count)
+    return rows.join(F.broadcast(state) if few else state, F.col("node") == F.col("_node")).drop("_node")
 
 
 def _candidates(mixed: DataFrame, few: int, leaders: int, seed: int) -> DataFrame:
@@ -153,6 +159,9 @@ def _shingles_of(documents: DataFrame, members: DataFrame, bits: int) -> DataFra
 
 def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
     """``a``, ``b``, ``similarity`` of the pairs that reach the threshold on exact shingle sets."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class_key")).distinct().select(F.xxhash64("class_key").alias("digest"))
+    asked = stage(asked, "forest-asked")
+    shingles = _only(shingles.withColumn("digest", F.xxhash64("class_key")), "digest", asked, asked.count())
     left = shingles.select(F.col("class_key").alias("a"), F.col("shingles").alias("sa"))
     right = shingles.select(F.col("class_key").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))

@@ -323,6 +323,19 @@ def validate_requests(spark, sf_dir):
     return accepted.select("request_id", *vocab.STRUCTURAL)
 
 
+@query(f"""WITH {Q.REQUESTS} SELECT request_id, CASE WHEN property_type IS NULL THEN 'missing property type' WHEN request_id % 3 = 0 THEN 'size is not finite'
+    WHEN request_id % 3 = 1 THEN 'too many rooms' ELSE {_REASON} END AS reason
+  FROM all_requests WHERE size_sqm IS NOT NULL AND bedrooms IS NOT NULL AND bathrooms IS NOT NULL AND (request_id % 3 < 2 OR {_REASON} IS NOT NULL)""")
+def rejected_huge_requests(spark, sf_dir):
+    """Infinite sizes and room counts past every whole number type."""
+    kind = F.pmod("request_id", F.lit(3))
+    rows = B.all_requests(spark, sf_dir).where("size_sqm is not null and bedrooms is not null and bathrooms is not null").withColumns({
+        "size_sqm": F.when(kind == 0, F.lit(float("inf"))).otherwise(F.col("size_sqm")),
+        "bedrooms": F.when(kind == 1, F.lit(99999999999.0)).otherwise(F.col("bedrooms")),
+    })
+    return C.validate_requests(rows, form_min_size=100.0)[1].select("request_id", "reason")
+
+
 @query(f"WITH {Q.REQUESTS} SELECT request_id, {_REASON} AS reason FROM all_requests WHERE {_REASON} IS NOT NULL")
 def rejected_requests(spark, sf_dir):
     _, rejected = C.validate_requests(B.all_requests(spark, sf_dir), form_min_size=100.0)
@@ -350,15 +363,28 @@ def unify_sources(spark, sf_dir):
     return P.unify_sources([first, second])
 
 
-@query("""SELECT DISTINCT page_id, CASE WHEN h LIKE '/%' THEN 'https://example.com' || h ELSE h END AS link
-  FROM (SELECT page_id, regexp_extract(unnest(regexp_extract_all(html, '(?i)<a\\b([^>]*)>', 1)),
-    '(?i)\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS h FROM pages)
-  WHERE h LIKE '/%' OR h LIKE 'http%'""")
+def _decoded(text: str) -> str:
+    """SQL of a text with the references the pages use decoded, ``&amp;`` last."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "\'\'"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+_HREF = "split_part(part, '\"', 1)"
+
+
+@query(f"""SELECT DISTINCT page_id, CASE WHEN starts_with(h, '/') THEN 'https://example.com' || h ELSE h END AS link
+  FROM (SELECT page_id, {_decoded(_HREF)} AS h
+    FROM (SELECT page_id, unnest(string_split(html, '<a href="')[2:]) AS part FROM pages))
+  WHERE starts_with(h, '/') OR starts_with(h, 'http')""")
 def extract_links(spark, sf_dir):
     return P.extract_links(table(spark, sf_dir, "pages"), "https://example.com")
 
 
-@query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
+_TITLE = "split_part(split_part(html, '<title>', 2), '</title>', 1)"
+
+
+@query(f"SELECT page_id, nullif(trim({_decoded(_TITLE)}), '') AS title FROM pages")
 def page_titles(spark, sf_dir):
     return P.page_titles(table(spark, sf_dir, "pages"))
 

@@ -242,6 +242,14 @@ _GRID = f"""grid AS (
 _MONOTONE = f"WITH {Q.REQUESTS}, {Q.DENSE}, {_GRID}, {Q.scored('grid', 'v.request_id, v.weight, v.is_base')}"
 
 
+@query(_MONOTONE + """, one AS (SELECT request_id, round(max(price) FILTER (is_base), 6) AS price,
+  round(max(price * weight), 6) AS monotone_price FROM scored GROUP BY 1) SELECT * FROM one UNION ALL SELECT * FROM one""")
+def score_repeated_requests(spark, sf_dir):
+    """Every request twice under one id: no row is lost."""
+    asked = B.market_requests(spark, sf_dir)
+    return B.rounded(S.room_monotone(asked.unionByName(asked), B.stand_in, B.context(spark, sf_dir)))
+
+
 @query(_MONOTONE + """SELECT request_id, round(max(price) FILTER (is_base), 6) AS price,
   round(max(price * weight), 6) AS monotone_price FROM scored GROUP BY 1""")
 def room_monotone(spark, sf_dir):

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from rentlens import vocab
 from rentlens.functions.numeric import finite
 
-BLANKS = " \t\n\r\f\x0b"
-NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+# --- fixed values: white space as Python's strip and \s take it, no-break space included ---
+BLANKS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NUMBER = rf"^{BLANK}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?){BLANK}*$"
 KHMER_DIGITS = "០១២៣៤៥៦៧៨៩"
 ASCII_DIGITS = "0123456789"
 
@@ -22,7 +24,7 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, f"{BLANK}+", " "))
 
 
 def ascii_digits(c: Column) -> Column:
@@ -42,7 +44,7 @@ def to_double(c: Column) -> Column:
 def money_text(c: Column, mode: str = "class") -> Column:
     """Rent text without its decoration. ``class`` removes every character of the set ``$ , / m o n t h``
     and blanks; ``tokens`` removes ``$``, ``,`` and the words ``/month`` and ``permonth``."""
-    patterns = {"class": r"[\$,/month\s]", "tokens": r"[\$,]|/month|permonth"}
+    patterns = {"class": rf"[\$,/month]|{BLANK}", "tokens": r"[\$,]|/month|permonth"}
     return F.regexp_replace(c.cast("string"), patterns[mode], "")
 
 

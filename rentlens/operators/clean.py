@@ -150,6 +150,8 @@ def _invalid(form_min_size: float | None) -> Column:
     checks = [
         (F.col("size_sqm").isNull() | F.col("bedrooms").isNull() | F.col("bathrooms").isNull(), "missing number"),
         (F.col("property_type").isNull(), "missing property type"),
+        (finite(F.col("size_sqm")).isNull(), "size is not finite"),
+        ((F.col("bedrooms") > vocab.MAX_ROOMS) | (F.col("bathrooms") > vocab.MAX_ROOMS), "too many rooms"),
         (F.col("size_sqm") <= 0, "size must be above 0"),
     ]
     if form_min_size is not None:
@@ -164,7 +166,7 @@ def _invalid(form_min_size: float | None) -> Column:
 def checked_requests(df: DataFrame, form_min_size: float | None = None) -> DataFrame:
     """Add ``reason``, null for a valid request, and truncate room counts to whole numbers."""
     return df.withColumn("reason", _invalid(form_min_size)).withColumns(
-        {c: F.col(c).cast("int") for c in ("bedrooms", "bathrooms")}
+        {c: F.col(c).try_cast("int") for c in ("bedrooms", "bathrooms")}
     )
 
 

@@ -209,6 +209,16 @@ def curve_variants(sizes: Sequence[float] = tuple(vocab.CURVE_SIZES)) -> list[Co
     return [_variant("curve", str(s), size=F.lit(float(s))) for s in sizes]
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Requests with ``row_key``, a digest of all their columns: ids may repeat, and equal rows fold together."""
+    return df.withColumn("row_key", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "row_key"])).cast("binary")))
+
+
+def _each_row(folded: DataFrame) -> DataFrame:
+    """One row for each request again: ``rows`` equal ones were folded together."""
+    return folded.withColumn("row", F.explode(F.sequence(F.lit(1), F.greatest("rows", F.lit(1).cast("long"))))).drop("row", "rows", "row_key")
+
+
 def score_variants(
     df: DataFrame, predict: Predictor, ctx: MarketContext, others: Sequence[Column] = (), layouts: bool = False,
     large: int = 10_000,
@@ -224,9 +234,9 @@ def score_variants(
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bed, bath = within(F.col("bedrooms").cast("int"), lo=0), within(F.col("bathrooms").cast("int"), lo=1)
-    asked = attach_type(df, ctx)
+    asked = attach_type(with_row_key(df), ctx)
     profile = [c for c in ctx.tables["type"].columns if c not in ("kind", "n")]
-    carried = [c for c in df.columns if c not in ("kind", "size_sqm", "bedrooms", "bathrooms")]
+    carried = ["row_key", *[c for c in df.columns if c not in ("kind", "size_sqm", "bedrooms", "bathrooms", "row_key")]]
 
     is_large = F.lit(layouts) & ((bed + 1).cast("long") * bath > large)
     slices = F.when(is_large, F.sequence(F.lit(0), bed)).otherwise(F.array(F.lit(-1)))
@@ -260,10 +270,11 @@ def _is_base() -> Column:
 def room_monotone(df: DataFrame, predict: Predictor, ctx: MarketContext) -> DataFrame:
     """Price that never falls when rooms are added: ``request_id, price, monotone_price``."""
     cells = score_variants(df, predict, ctx, layouts=True)
-    return cells.groupBy("request_id").agg(
+    return _each_row(cells.groupBy("request_id", "row_key").agg(
         F.max(F.when(_is_base(), F.col("price"))).alias("price"),
         F.max(F.col("price") * F.col("weight")).alias("monotone_price"),
-    )
+        F.count_if(_is_base()).alias("rows"),
+    ))
 
 
 def _impacts(digits: int) -> Column:
@@ -298,6 +309,7 @@ def score_requests(
     folded = [
         F.max(F.when(role == "layout", F.col("price") * F.col("weight"))).alias("price"),
         pick(_is_base(), "market_price", "market_price"), pick(_is_base(), "coherence", "coherence"),
+        F.count_if(_is_base()).alias("rows"),
     ]
     if impacts:
         folded += [pick((role == "impact") & (F.col("label") == label), "price", f"impact_{i}")
@@ -305,7 +317,7 @@ def score_requests(
     if curve:
         folded += [pick((role == "curve") & (F.col("label") == str(size)), "price", f"curve_{i}")
                    for i, size in enumerate(sizes)]
-    out = rows.groupBy("request_id").agg(*folded)
+    out = _each_row(rows.groupBy("request_id", "row_key").agg(*folded))
     if impacts:
         out = out.withColumn("impacts", _impacts(impact_digits))
     if curve:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +36,36 @@ def _utf8(c: Column) -> Column:
     return F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the first file, from its first line."""
-    line = spark.read.option("encoding", "ISO-8859-1").csv(path).withColumn("file", F.input_file_name())
-    names = [c for c in line.first()[:-1] if c is not None]
-    decoded = [n.encode("latin-1").decode("utf-8", errors="replace").lstrip("﻿").strip() for n in names]
-    return decoded
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a path by their header. Only the first line of each file is read."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    system = target.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out: dict[tuple[str, ...], list[str]] = {}
+    for status in system.listStatus(target):
+        file = status.getPath()
+        if status.isDirectory() or file.getName()[0] in "._":
+            continue
+        stream, codec = system.open(file), codecs.getCodec(file)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "ISO-8859-1"))
+        line = reader.readLine()
+        reader.close()
+        if line:
+            decoded = line.encode("latin-1").decode("utf-8", errors="replace").lstrip("\ufeff")
+            names = tuple(n.strip() for n in next(csv.reader([decoded])))
+            out.setdefault(names, []).append(file.toString())
+    return out
 
 
 def read_listings_csv(
     spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """All-string table of the first existing path, a file or a folder of files with one header.
+    """All-string table of the first existing path, a file or a folder of files.
+
+    Each file is read by its own header; files with other columns or another order are united by name. Quoted
+    values may hold line breaks, so a file is one task: large tables should come as many files.
 
     Each file is taken as UTF-8, else Windows-1252, else ISO-8859-1, whichever its bytes allow first.
     The bytes are read once, as ISO-8859-1, which loses nothing; one aggregate per file finds what the
@@ -53,9 +73,17 @@ def read_listings_csv(
     skipped, short rows are filled with nulls. Missing ``columns`` are added as nulls.
     """
     path = first_existing(spark, [paths] if isinstance(paths, str) else paths)
-    names = _header(spark, path)
+    parts = [_read_group(spark, list(names), files) for names, files in _headers(spark, path).items()]
+    if not parts:
+        raise ValueError(f"no header in {path}")
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    absent = [c for c in columns or [] if c not in out.columns]
+    return out.withColumns({c: F.lit(None).cast("string") for c in absent})
+
+
+def _read_group(spark: SparkSession, names: list[str], files: list[str]) -> DataFrame:
     schema = StructType([StructField(n, StringType()) for n in [*names, "too_long"]])
-    raw = spark.read.schema(schema).csv(path, header=True, encoding="ISO-8859-1", quote='"', escape='"')
+    raw = spark.read.schema(schema).csv(files, header=True, encoding="ISO-8859-1", quote='"', escape='"', multiLine=True, enforceSchema=True)
     raw = raw.withColumn("file", F.input_file_name())
 
     text = F.concat_ws(" ", *[F.col(f"`{n}`") for n in [*names, "too_long"]])
@@ -70,6 +98,4 @@ def read_listings_csv(
         decoded[n] = F.when(F.col("is_utf8"), _utf8(c)).when(
             F.col("is_cp1252"), F.translate(c, CP1252_BYTES, CP1252_CHARS)
         ).otherwise(c)
-    out = rows.select(*[c.alias(n) for n, c in decoded.items()])
-    absent = [c for c in columns or [] if c not in out.columns]
-    return out.withColumns({c: F.lit(None).cast("string") for c in absent})
+    return rows.select(*[c.alias(n) for n, c in decoded.items()])

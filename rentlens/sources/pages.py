@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from rentlens import vocab
 from rentlens.functions import text as T
 
-# --- fixed values: page layouts; classes name an element, ``labels`` maps label text to a field ---
+# --- fixed values: page layouts; classes name an element, ``labels`` maps label text to a field:
+# words as written, then words in any case ---
 STATIC_SITE = {
     "title": {"classes": "font-semibold text-3xl"},
     "price": {"classes": "text-error-500 text-2xl"},
@@ -31,11 +33,12 @@ RENDERED_SITE = {
     "pairs": {"label": {"tag": "dt", "inside": "grid gap-x-6 gap-y-4 grid-cols-4"},
               "value": {"tag": "dd", "inside": "grid gap-x-6 gap-y-4 grid-cols-4"}},
     "labels": [
-        ("bedrooms", ["បន្ទប់គេង"]),
-        ("bathrooms", ["បន្ទប់ទឹក"]),
-        ("size", ["ទំហំ", "size", "Size", "SIZE"]),
-        ("type", ["ប្រភេទ", "type", "Type"]),
+        ("bedrooms", ["បន្ទប់គេង"], []),
+        ("bathrooms", ["បន្ទប់ទឹក"], []),
+        ("size", ["ទំហំ"], ["size"]),
+        ("type", ["ប្រភេទ", "type", "Type"], []),
     ],
+    "furnished": vocab.FURNISHED_KEYWORDS,
 }
 PORTAL_SITE = {
     "title": {"classes": "heading"},
@@ -44,20 +47,29 @@ PORTAL_SITE = {
     "pairs": {"label": {"tag": "span", "classes": "text", "inside": "css-r7o7s2"},
               "value": {"tag": "span", "classes": "value", "inside": "css-r7o7s2"}, "value_first": True},
     "labels": [
-        ("bedrooms", ["Bedroom"]),
-        ("bathrooms", ["Bathroom"]),
-        ("size", ["Floor Area", "floor area"]),
-        ("land_area", ["Land Area", "land area"]),
+        ("bedrooms", ["Bedroom"], []),
+        ("bathrooms", ["Bathroom"], []),
+        ("size", [], ["floor area"]),
+        ("land_area", [], ["land area"]),
     ],
+    "furnished": vocab.PORTAL_FURNISHED_KEYWORDS,
 }
 FIELDS = ["title", "price", "location", "address", "description"]
 LABELLED = ["bedrooms", "bathrooms", "size", "type", "land_area"]
 VOID_TAGS = {"br", "hr", "img", "input", "link", "meta", "source", "wbr"}
 
 
-def tag_attribute(tag: Column, name: str) -> Column:
-    """Value of a quoted attribute of a start tag, '' if absent."""
-    return F.regexp_extract(tag, rf"""(?i)\b{name}\s*=\s*["']([^"']*)["']""", 1)
+class _Anchors(HTMLParser):
+    """Address and classes of each anchor. Comments and scripts hold none."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, list[str]]] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            held = dict(reversed(attrs))  # of a repeated attribute the first counts
+            self.found.append(((held.get("href") or "").strip(), (held.get("class") or "").split()))
 
 
 def extract_links(pages: DataFrame, base_url: str, link_class: str | None = None) -> DataFrame:
@@ -65,21 +77,34 @@ def extract_links(pages: DataFrame, base_url: str, link_class: str | None = None
 
     ``/x`` is completed with the base address, ``http*`` is kept, anything else is dropped.
     """
-    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<a\b([^>]*)>"), F.lit(1))
-    anchors = pages.select("page_id", F.explode(tags).alias("tag"))
-    if link_class is not None:
-        names = F.split(tag_attribute(F.col("tag"), "class"), r"\s+")
-        anchors = anchors.where(F.array_contains(names, link_class))
-    href = tag_attribute(F.col("tag"), "href")
+    schema = StructType([pages.schema["page_id"], StructField("href", StringType())])
+
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
+                parser = _Anchors()
+                parser.feed(html or "")
+                parser.close()
+                rows += [(page_id, href) for href, classes in parser.found if link_class is None or link_class in classes]
+            yield pd.DataFrame(rows, columns=["page_id", "href"])
+
+    hrefs = pages.select("page_id", "html").mapInPandas(anchors, schema)
+    href = F.col("href")
     link = F.when(F.startswith(href, F.lit("/")), F.concat(F.lit(base_url), href)).when(
         F.startswith(href, F.lit("http")), href
     )
-    return anchors.select("page_id", link.alias("link")).where(F.col("link").isNotNull()).dropDuplicates()
+    return hrefs.select("page_id", link.alias("link")).where(F.col("link").isNotNull()).dropDuplicates()
+
+
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(unescape, na_action="ignore")
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
-    """Text of the title tag, null if there is none."""
-    found = T.strip(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    """Text of the title tag, character references decoded, null if there is none."""
+    found = T.strip(_unescaped(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
     return pages.select("page_id", F.nullif(found, F.lit("")).alias("title"))
 
 
@@ -147,9 +172,9 @@ def parse_page(html: str, rules: Mapping) -> dict[str, str | None]:
             pending = "".join(texts)
         elif pending is not None:
             label, value = ("".join(texts), pending) if value_first else (pending, "".join(texts))
-            for field, words in rules["labels"]:
-                if any(w in label for w in words):
-                    out[field] = value if out[field] is None else out[field]
+            for field, words, any_case in rules["labels"]:
+                if any(w in label for w in words) or any(w in label.lower() for w in any_case):
+                    out[field] = value  # the last of equal labels counts
                     break
             pending = None
     return out
@@ -174,15 +199,19 @@ def extract_fields(pages: DataFrame, rules: Mapping) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(parse, schema)
 
 
-def listing_rows(fields: DataFrame) -> DataFrame:
-    """Extracted fields as raw listings: attributes missing from the page come from its description."""
+def listing_rows(fields: DataFrame, rules: Mapping | None = None) -> DataFrame:
+    """Extracted fields as raw listings: attributes missing from the page come from its description.
+
+    ``rules`` is the layout the fields come from; its furnishing keywords are used.
+    """
+    keywords = (rules or {}).get("furnished", vocab.FURNISHED_KEYWORDS)
     text = F.coalesce("description", F.lit(""))
     pick = lambda name, column: F.coalesce(F.col(column), T.first_match(text, vocab.DESCRIPTION_PATTERNS[name]))
     return fields.select(
         F.col("price").alias("rent_price_usd"), T.last_token(F.col("location")).alias("city"),
         F.col("location").alias("district"), F.col("type").alias("property_type"),
         pick("size_sqm", "size").alias("size_sqm"), pick("bedrooms", "bedrooms").alias("bedrooms"),
-        pick("bathrooms", "bathrooms").alias("bathrooms"), T.furnished_from_text(F.col("description")).alias("furnished"),
+        pick("bathrooms", "bathrooms").alias("bathrooms"), T.furnished_from_text(F.col("description"), keywords).alias("furnished"),
         "title", "address", "land_area", F.col("url").alias("source_url"),
     )
 

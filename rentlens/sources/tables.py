@@ -14,18 +14,23 @@ CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace the table at ``path``. The new files are complete before the old ones are removed, so a
-    failed job leaves the old table, and ``df`` may itself read from ``path``."""
+    """Replace the table at ``path``. The new files are complete before the old ones make way, and the old
+    ones are removed only once the new ones are in place: a failed job or rename leaves the old table, and
+    ``df`` may itself read from ``path``."""
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    fresh, aside = (f"{path.rstrip('/')}-{uuid.uuid4().hex}" for _ in range(2))
     df.write.format(fmt).options(**(CSV_OPTIONS if fmt == "csv" else {})).save(fresh)
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
+    new, old, kept = map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, (fresh, path, aside))
     files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if path_exists(spark, path):
-        files.delete(old, True)
+    replaces = path_exists(spark, path)
+    if replaces and not files.rename(old, kept):
+        raise OSError(f"could not move the old table at {path}")
     if not files.rename(new, old):
+        if replaces:
+            files.rename(kept, old)
         raise OSError(f"could not publish {fresh} as {path}")
+    if replaces:
+        files.delete(kept, True)
 
 
 def save_model(model: PipelineModel, path: str, version: str) -> None:

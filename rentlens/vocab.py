@@ -79,7 +79,7 @@ OTHER_TYPE_DEFAULTS = (2, 2, 90)
 FURNISHED_KEYWORDS = [
     ("Fully Furnished", [
         "មានសម្ភារៈស្រាប់", "មានគ្រឿងសង្ហារឹម",
-        "fully furnished", "Fully Furnished", "Fully furnished",
+        "fully furnished", "Fully Furnished",
     ]),
     ("Partly Furnished", [
         "មានសម្ភារៈខ្លះ", "partly furnished", "Partly Furnished",
@@ -87,6 +87,12 @@ FURNISHED_KEYWORDS = [
     ]),
     ("Unfurnished", ["គ្មានសម្ភារៈ", "unfurnished", "Unfurnished", "un-furnished"]),
 ]
+# --- fixed values: the same for the portal site ---
+PORTAL_FURNISHED_KEYWORDS = [
+    ("Fully Furnished", ["Fully Furnished", "fully furnished", "Fully furnished"]),
+    ("Partly Furnished", ["Partly Furnished", "Semi Furnished", "partly furnished"]),
+    ("Unfurnished", ["Unfurnished", "unfurnished"]),
+]
 FURNISHED_DEFAULT = "Unknown"
 FURNISHED_YES = ["furnished", "fully furnished"]
 
@@ -264,3 +270,4 @@ TUNE_SPACES = {
     },
 }
 LOW_FIT = 0.5
+MAX_ROOMS = 10_000  # a request with more bedrooms or bathrooms is rejected: every layout of it would be scored

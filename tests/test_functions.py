@@ -60,6 +60,15 @@ def test_types(spark):
         "Villa", "Villa", "Twin Villa", "Flat", "Link  House", "House", "Other", "Unclassified", "Castle"]
 
 
+def test_no_break_spaces_are_blank(spark):
+    nb = "\u00a0"
+    assert values(spark, T.parse_money(F.col("x")), [f"$500{nb}/month", f"{nb}1{nb}200{nb}"]) == [500.0, 1200.0]
+    assert values(spark, T.to_double(F.col("x")), [f"{nb}7.5\u3000"]) == [7.5]
+    assert values(spark, T.clean_type(F.col("x")), [f"Villa{nb}"]) == ["Villa"]
+    assert values(spark, T.model_type(F.col("x")), [f"{nb}twin{nb}villa"]) == ["Twin Villa"]
+    assert values(spark, T.normalize_furnished(F.col("x")), [f"{nb}furnished\u2003"]) == ["Furnished"]
+
+
 def test_title_case_starts_words_after_any_other_character(spark):
     assert values(spark, T.title_case(F.col("x")), ["link-house", "o'neil", "2bed", "A  b", ""]) == [
         "Link-House", "O'Neil", "2Bed", "A  B", ""]

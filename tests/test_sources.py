@@ -31,6 +31,14 @@ def test_csv_encodings_and_bad_rows(spark, tmp_path):
         ("8", "9", None, None)]
 
 
+def test_quoted_line_breaks_and_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b,c\n1,"two\nlines",3\n')
+    (tmp_path / "b.csv").write_text("c,a\n6,4\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = read_listings_csv(spark, str(tmp_path)).select("a", "b", "c").collect()
+    assert sorted(rows) == [("1", "two\nlines", "3"), ("4", None, "6")]
+
+
 def test_no_source(spark):
     with pytest.raises(FileNotFoundError):
         first_existing(spark, ["/no/such/a", "/no/such/b"])
@@ -63,6 +71,28 @@ def test_links_of_a_class(spark):
     assert P.extract_links(pages, "https://s").count() == 3
 
 
+def test_links_as_browsers_read_them(spark):
+    html = """<!-- <a href="/gone">x</a> --><a data-href="/no">n</a><a href=/bare>b</a><a title=">" href='/q?a=1&amp;b=2'>q</a>
+    <script>var s = '<a href="/js">';</script><a href="/first" href="/second">f</a><a>none</a>"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    assert sorted(r["link"] for r in P.extract_links(pages, "https://s").collect()) == ["https://s/bare", "https://s/first", "https://s/q?a=1&b=2"]
+    titles = spark.createDataFrame([(1, "<title> A &amp; B </title>"), (2, None), (3, "<title></title>")], "page_id long, html string")
+    assert [r["title"] for r in P.page_titles(titles).sort("page_id").collect()] == ["A & B", None, None]
+
+
+def test_last_label_counts():
+    cells = "<dl><dt>SIZE</dt><dd>1</dd></dl><dl><dt>Floor size</dt><dd>2</dd></dl><dl><dt>TYPE</dt><dd>x</dd></dl>"
+    page = P.parse_page(f'<div class="grid gap-x-6 gap-y-4 grid-cols-4">{cells}</div>', P.RENDERED_SITE)
+    assert page["size"] == "2" and page["type"] is None
+
+
+def test_keywords_of_each_site(spark):
+    fields = spark.createDataFrame([("semi furnished",)], "description string").selectExpr(
+        *[f"cast(null as string) as {c}" for c in [*P.FIELDS, *P.LABELLED, "url"] if c != "description"], "description")
+    assert P.listing_rows(fields, P.RENDERED_SITE).first()["furnished"] == "Partly Furnished"
+    assert P.listing_rows(fields, P.PORTAL_SITE).first()["furnished"] == "Unknown"
+
+
 def test_save_table_may_read_its_own_target(spark, tmp_path):
     path = str(tmp_path / "t")
     save_table(spark.range(3).toDF("x"), path)

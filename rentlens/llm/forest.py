@@ -85,7 +85,7 @@ def signatures(documents: DataFrame, trees: int = TREES, depth: int = DEPTH) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "text_key", "class_key", "n", "signature"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", _identity().alias("text_key"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(
+    return words.bounded_batches(documents).select("doc_id", _identity().alias("text_key"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(
         rows, f"doc_id {kind}, text_key string, class_key binary, n long, signature binary")
 
 

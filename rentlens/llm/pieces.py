@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rentlens.llm.words import bounded_batches
+
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 250_000
 LONG = 64
 _PART = 1 << 20
 _NEVER = np.iinfo(np.int32).max
@@ -67,7 +69,6 @@ class Vocabulary:
         probe = "Ａﬁ  é\t\n½"
         self.as_is = lib.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, str] = {}
 
     def words(self, text: str) -> list[str]:
         """Parts of the normalised text that no piece crosses."""
@@ -170,11 +171,10 @@ class Vocabulary:
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE:
             for w in list(islice(self.cache, len(self.cache) // 2)):
-                del self.cache[w], self.shown[w]
+                del self.cache[w]
             new = [w for w in words if w not in self.cache]
         for w, ids in zip(new, self._as_library(new, self.encode_words(new))):
             self.cache[w] = ids
-            self.shown[w] = ",".join(map(self.digits.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
         words = self.words(text)
@@ -221,7 +221,7 @@ def _mapped(documents: DataFrame, function, extra: list[T.StructField], keep: li
             made = function(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *new])
 
-    plain = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce("text", F.lit("")).alias("whole"))
+    plain = bounded_batches(documents).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce("text", F.lit("")).alias("whole"))
     shape = T.StructType([T.StructField(f"c{i}", documents.schema[c].dataType) for i, c in enumerate(names)] + extra)
     return plain.mapInArrow(rows, shape).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *new)
 
@@ -252,7 +252,7 @@ def digests(documents: DataFrame, model_path: str, keep: list[str] | None = None
             v.learn(set(chain.from_iterable(split)))
             ids = [list(chain.from_iterable(map(v.cache.__getitem__, words))) for words in split]
             counts += map(len, ids)
-            of_ids += [hashlib.sha256(",".join(map(v.shown.__getitem__, words)).encode()).hexdigest() for words in split]
+            of_ids += [hashlib.sha256(",".join(map(v.digits.__getitem__, made)).encode()).hexdigest() for made in ids]
             of_text += [hashlib.sha256(t.encode()).hexdigest() for t in v.library.decode(ids, num_threads=1)]
         return [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
 

@@ -98,7 +98,7 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = 4000, unlabelled
     prior = min(max(float(prior), 1e-4), 0.9)
     chosen = sampled_ids(marked.where("toxic = 1").select("doc_id"), limit).withColumn("positive", F.lit(True)).unionByName(
         sampled_ids(documents.select("doc_id"), unlabelled).withColumn("positive", F.lit(False)))
-    sample = stage(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", F.lower("text").alias("text")), "toxic-sample")
+    sample = stage(words.bounded_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", F.lower("text").alias("text")), "toxic-sample")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +162,7 @@ def score(documents: DataFrame, model: LinearModel, threshold: float = 0.5, keep
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "toxic_score"])
 
     names = [c for c in (documents.columns if keep is None else keep) if c not in ("toxic_score", "toxic_predicted")]
-    plain = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.lower(F.col("text")).alias("lowered"))
+    plain = words.bounded_batches(documents).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.lower(F.col("text")).alias("lowered"))
     shape = T.StructType([T.StructField(f"c{i}", documents.schema[c].dataType) for i, c in enumerate(names)] + [T.StructField("toxic_score", T.DoubleType())])
     scored = plain.mapInArrow(rows, shape)
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "toxic_score", (F.col("toxic_score") >= threshold).cast("int").alias("toxic_predicted"))

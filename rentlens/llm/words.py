@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+BATCH_ROWS = 1000
 SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -19,6 +21,14 @@ _WORD_BYTE = np.array([b > 127 or chr(b).isalnum() or b == 95 for b in range(256
 _powers: dict[str, np.ndarray] = {}
 
 
+def bounded_batches(documents: DataFrame) -> DataFrame:
+    """The documents, with the session's Arrow batches held to ``BATCH_ROWS`` rows: whole texts are long."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", documents.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return documents
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over 64 bits."""
     h = h ^ (h >> np.uint64(30))

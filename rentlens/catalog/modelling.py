@@ -13,9 +13,11 @@ from rentlens.catalog import sql as Q
 from rentlens.operators import clean as C
 from rentlens.operators import ml as M
 from rentlens.operators import scoring as S
+from rentlens.operators.folds import fold_column
 from rentlens.plans.training import split, train_models
-from rentlens.session import new_folder
+from rentlens.session import new_folder, stage
 from rentlens.sources.shared_tables import listings_from, table
+from rentlens.sources.tables import load_model, save_model
 from rentlens.streaming import jobs
 
 QUERIES = {}
@@ -86,9 +88,78 @@ def linear_regression(spark, sf_dir):
     return B.rounded(figures)
 
 
+def _one_feature(spark, sf_dir, regressor):
+    """Slope and intercept of the log price on size, in the units of the size."""
+    rows = M.with_label(B.features(spark, sf_dir))
+    model = M.pipeline(["size_sqm"], regressor(rows)).fit(rows)
+    line, scale = model.stages[-2], model.stages[-3]
+    slope = line.coefficients[0] / scale.std[0]
+    figures = rows.agg(F.lit(slope).alias("slope"), F.lit(line.intercept - slope * scale.mean[0]).alias("intercept"))
+    return B.rounded(figures, 4)
+
+
+_MOMENTS = WITH_FEATURES + """, f AS (SELECT size_sqm AS x, ln(1 + rent_price_usd) AS y FROM features),
+  m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_samp(x) AS sx, covar_samp(x, y) * (count(*) - 1) / stddev_samp(x) AS zy FROM f)"""
+
+
+@query(_MOMENTS + """, w AS (SELECT *, zy / (n - 1 + 3.0) / sx AS slope FROM m)
+  SELECT round(slope, 4) AS slope, round(my - slope * mx, 4) AS intercept FROM w""")
+def ridge_regression(spark, sf_dir):
+    """Penalised sum of squares, in closed form for one feature."""
+    return _one_feature(spark, sf_dir, lambda rows: M.ridge(*M.label_figures(rows)))
+
+
+@query(_MOMENTS + """, w AS (SELECT *, sign(zy) * greatest(abs(zy) / n - 0.03 * 0.2, 0) / ((n - 1) / n + 0.03 * 0.8) / sx AS slope FROM m)
+  SELECT round(slope, 4) AS slope, round(my - slope * mx, 4) AS intercept FROM w""")
+def elastic_net(spark, sf_dir):
+    """Soft threshold and shrinkage, in closed form for one feature."""
+    return _one_feature(spark, sf_dir, lambda rows: M.elastic_net(M.label_figures(rows)[1]))
+
+
+_FOLDS = WITH_FEATURES + """, f AS (SELECT listing_id, size_sqm AS x, rent_price_usd AS t, ln(1 + rent_price_usd) AS y, ntile(5) OVER (ORDER BY listing_id) - 1 AS fold FROM features),
+  fits AS (SELECT k, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM f, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE fold <> k GROUP BY k),
+  p AS (SELECT f.*, exp(i + s * x) - 1 AS prediction FROM f JOIN fits ON fold = k)"""
+
+
+@query(_FOLDS + """ SELECT fold::INT AS fold, round(avg(abs(t - prediction)), 4) AS mae, round(sqrt(avg(pow(t - prediction, 2))), 4) AS rmse,
+    round(1 - sum(pow(t - prediction, 2)) / (var_pop(t) * count(*)), 4) AS r2, round(100 * avg(abs(t - prediction) / abs(t)), 4) AS mape FROM p GROUP BY fold""")
+def cross_validate_line(spark, sf_dir):
+    """Five contiguous folds of a line."""
+    rows = stage(M.with_label(fold_column(B.features(spark, sf_dir), 5)), "folds")
+    return B.rounded(M.cross_validate(rows, M.pipeline(["size_sqm"], LinearRegression()), 5), 4)
+
+
+@query(WITH_FEATURES + """, f AS (SELECT listing_id, size_sqm AS x, rent_price_usd AS t, ln(1 + rent_price_usd) AS y FROM features),
+  p AS (SELECT listing_id, t AS actual, exp((SELECT regr_intercept(y, x) FROM f) + (SELECT regr_slope(y, x) FROM f) * x) - 1 AS predicted FROM f)
+  SELECT listing_id, round(actual, 4) AS actual, round(predicted, 4) AS predicted,
+    round(least(min(actual) OVER (), min(predicted) OVER ()), 4) AS axis_low, round(greatest(max(actual) OVER (), max(predicted) OVER ()), 4) AS axis_high FROM p""")
+def actual_vs_line(spark, sf_dir):
+    """Pairs for a chart from the line, with the common limits of both axes."""
+    rows = M.with_label(B.features(spark, sf_dir))
+    scored = M.pipeline(["size_sqm"], LinearRegression()).fit(rows).transform(rows)
+    return B.rounded(M.actual_vs_predicted(scored), 4)
+
+
+@query()
+def compare_linear_models(spark, sf_dir):
+    """The linear models as published, with five folds."""
+    only = ["Linear Regression", "Ridge Regression", "ElasticNet", "Kernel Feature Regression"]
+    return train_models(B.features(spark, sf_dir), only=only).table.drop("fit_seconds")
+
+
+@query(WITH_FEATURES + "SELECT listing_id, round(exp((SELECT regr_intercept(ln(1 + rent_price_usd), size_sqm) FROM features) + "
+       "(SELECT regr_slope(ln(1 + rent_price_usd), size_sqm) FROM features) * size_sqm) - 1, 4) AS prediction FROM features")
+def stored_model(spark, sf_dir):
+    """A line saved under a version, loaded and applied."""
+    rows = M.with_label(B.features(spark, sf_dir))
+    path = new_folder(spark, "model")
+    save_model(M.pipeline(["size_sqm"], LinearRegression()).fit(rows), path, "v1")
+    return B.rounded(load_model(spark, path, "v1").transform(rows).select("listing_id", "prediction"), 4)
+
+
 @query()
 def compare_models(spark, sf_dir):
-    """All eight regressors, small, on the same split."""
+    """All eight regressors on the same split, with small forests: the published sizes take minutes each."""
     return train_models(B.features(spark, sf_dir), folds=1, **SMALL).table.drop("fit_seconds")
 
 

@@ -26,6 +26,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from rentlens import vocab
 from rentlens.operators.folds import fold_column
+from rentlens.session import stage
 from rentlens.operators.quantiles import column_quantiles
 
 LABEL = "log_label"
@@ -128,9 +129,9 @@ def regressors(
             numTrees=trees or 500, maxDepth=depth or 30, bootstrap=False, featureSubsetStrategy="0.8", seed=seed),
         "Kernel Feature Regression": LinearRegression(
             featuresCol="kernel", loss="huber", epsilon=1.08, regParam=1 / 100, solver="l-bfgs"),
-        "Gradient Boosting": GBTRegressor(maxIter=rounds, stepSize=0.1, maxDepth=min(3, depth or 3), seed=seed),
+        "Gradient Boosting": GBTRegressor(maxIter=rounds, stepSize=0.1, maxDepth=depth or 3, seed=seed),
         "Binned Gradient Boosting": GBTRegressor(
-            maxIter=rounds, stepSize=0.1, maxDepth=min(5, depth or 5), maxBins=255, minInstancesPerNode=20, seed=seed),
+            maxIter=rounds, stepSize=0.1, maxDepth=depth or 5, maxBins=255, minInstancesPerNode=20, seed=seed),
     }
 
 
@@ -180,18 +181,18 @@ def draw_settings(space: Mapping[str, Sequence], n_iter: int = 12, seed: int = 4
 
 def random_search(
     df: DataFrame, names: Sequence[str], regressor: Estimator, space: Mapping[str, Sequence], n_iter: int = 12,
-    folds: int = 4, seed: int = 42, parallelism: int = 2, key: str = "listing_id",
+    folds: int = 4, seed: int = 42, parallelism: int = 2, key: str = "listing_id", imputer=None,
 ) -> CrossValidatorModel:
-    """Best of random settings by RMSE in price units, over contiguous folds."""
+    """Best of random settings by RMSE in price units, over contiguous folds. ``imputer`` fills gaps first."""
     maps = [
         {regressor.getParam(p): v for p, v in setting.items()} for setting in draw_settings(space, n_iter, seed)
     ]
     search = CrossValidator(
-        estimator=pipeline(names, regressor), estimatorParamMaps=maps, foldCol="search_fold", numFolds=folds,
+        estimator=pipeline(names, regressor, imputer), estimatorParamMaps=maps, foldCol="search_fold", numFolds=folds,
         evaluator=RegressionEvaluator(labelCol=vocab.TARGET, predictionCol="prediction", metricName="rmse"),
         parallelism=parallelism, seed=seed,
     )
-    return search.fit(with_label(fold_column(df, folds, key, name="search_fold")))
+    return search.fit(stage(with_label(fold_column(df, folds, key, name="search_fold")), "search"))
 
 
 def importances(model: PipelineModel, names: Sequence[str]) -> list[tuple[str, float]]:
@@ -243,7 +244,7 @@ def compare_feature_sets(
     key: str = "listing_id",
 ) -> DataFrame:
     """Cross-validated metrics of every model on every feature set, best first."""
-    folded = with_label(fold_column(df, k, key, shuffle=True, seed=seed))
+    folded = stage(with_label(fold_column(df, k, key, shuffle=True, seed=seed)), "folds")
     rows = []
     for set_name, names in sets.items():
         for model_name, regressor in models.items():

@@ -51,7 +51,7 @@ def train_models(
         if only is not None and name not in only:
             continue
         if tune and name in vocab.TUNE_SPACES:
-            search = M.random_search(train, names, regressor, vocab.TUNE_SPACES[name], n_iter=tune)
+            search = M.random_search(train, names, regressor, vocab.TUNE_SPACES[name], n_iter=tune, imputer=imputer)
             chosen = search.getEstimatorParamMaps()[search.avgMetrics.index(min(search.avgMetrics))]
             regressor = regressor.copy(chosen)
         models[name], row = M.evaluate(name, M.pipeline(names, regressor, imputer), train, test, k=folds)

@@ -9,7 +9,7 @@ Documents with the same shingle set are one class, so copies cost one row howeve
 node, each member is compared with leaders and not with all others: a round takes a leader in each node and
 tree, different ones in different trees; what it links becomes one group, and only nodes that still hold
 several groups go on. Nodes with few members left are compared pair by pair; rounds go on at larger nodes
-until one links nothing. Work is thus linear in rows, and near-copies of a large group come out in one
+until one adds next to nothing. Work is thus linear in rows, and near-copies of a large group come out in one
 group without all pairs of it.
 
 Words are runs of letters, digits and ``_`` in lower case; a text of one to four words has one shingle. A
@@ -33,6 +33,7 @@ from rentlens.session import stage
 SHINGLE = 5
 TREES, DEPTH = 24, 8
 FEW = 24
+LEADERS = 12
 LOOKUP_ROWS = 200_000
 SMALL_GRAPH = 500_000
 _BLOCK = 2048
@@ -96,10 +97,12 @@ def _nodes(classes: DataFrame, trees: int, depth: int, used: int) -> DataFrame:
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows with ``group``: the class's group, by default itself."""
-    held = groups.select(F.col("class_key").alias("_class"), F.col("group").alias("_group"))
-    held = F.broadcast(held) if held.count() <= LOOKUP_ROWS else held
-    return rows.join(held, F.col("class_key") == F.col("_class"), "left").withColumn("group", F.coalesce("_group", "class_key")).drop("_class", "_group")
+    """Rows with ``group``, the class's group, by default itself, and ``size``, the classes in it."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("_size")).select(F.col("group").alias("_of"), "_size")
+    held = groups.join(sizes, F.col("group") == F.col("_of")).select(F.col("class_key").alias("_class"), F.col("group").alias("_group"), "_size")
+    held = F.broadcast(held) if groups.count() <= LOOKUP_ROWS else held
+    joined = rows.join(held, F.col("class_key") == F.col("_class"), "left")
+    return joined.withColumn("group", F.coalesce("_group", "class_key")).withColumn("size", F.coalesce("_size", F.lit(1))).drop("_class", "_group", "_size")
 
 
 def _only(rows: DataFrame, column: str, digests: DataFrame, count: int) -> DataFrame:
@@ -109,20 +112,22 @@ def _only(rows: DataFrame, column: str, digests: DataFrame, count: int) -> DataF
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows below nodes that hold several groups, with the number of ``members``."""
+    """Rows below nodes that hold several groups, with the number of ``members`` and ``top``, a digest of the largest group."""
     group = F.xxhash64("group")
-    state = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(group).alias("low"), F.max(group).alias("high"))
-    state = stage(state.where("low <> high").select(F.col("node").alias("_node"), "members"), "forest-state")
+    state = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(group).alias("low"), F.max(group).alias("high"), F.max(F.struct(F.col("size"), group.alias("of"))).alias("top"))
+    state = stage(state.where("low <> high").select(F.col("node").alias("_node"), "members", F.col("top.of").alias("top")), "forest-state")
     count = state.count()
     few = count <= LOOKUP_ROWS
-    rows = rows.drop("members") if few else _only(rows.drop("members"), "node", state.select(F.col("_node").alias("digest")), count)
+    rows = rows.drop("members", "top", "size")
+    rows = rows if few else _only(rows, "node", state.select(F.col("_node").alias("digest")), count)
     return rows.join(F.broadcast(state) if few else state, F.col("node") == F.col("_node")).drop("_node")
 
 
 def _candidates(mixed: DataFrame, few: int, leaders: int, seed: int) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` of different groups: all below small nodes, once, with leaders below others.
 
-    Members draw one of as many lots as leaders are wanted; the first of each lot leads.
+    Members draw one of as many lots as leaders are wanted; the first of each lot leads. With several leaders,
+    members of the node's largest group are not asked: the others meet it through its leaders.
     """
     small = mixed.where(F.col("members") <= (few if leaders == 1 else 0))
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.class_key") < F.col("y.class_key")) & (F.col("x.group") != F.col("y.group")))
@@ -132,7 +137,8 @@ def _candidates(mixed: DataFrame, few: int, leaders: int, seed: int) -> DataFram
     lot = F.pmod(drawn, F.lit(leaders)).alias("lot")
     first = large.groupBy("node", lot).agg(F.min(F.struct(drawn.alias("drawn"), "class_key", "group")).alias("first"))
     first = first.select(F.col("node").alias("_node"), F.col("first.class_key").alias("leader"), F.col("first.group").alias("leader_group"))
-    led = large.join(first, (F.col("node") == F.col("_node")) & (F.col("group") != F.col("leader_group")))
+    asked = large if leaders == 1 else large.where(F.xxhash64("group") != F.col("top"))
+    led = asked.join(first, (F.col("node") == F.col("_node")) & (F.col("group") != F.col("leader_group")))
     return pairs.unionByName(led.select(F.least("class_key", "leader").alias("a"), F.greatest("class_key", "leader").alias("b"))).distinct()
 
 
@@ -249,8 +255,9 @@ def join(documents: DataFrame, threshold: float = 0.8, target: float = 0.995, tr
 def _linked(documents: DataFrame, classes: DataFrame, threshold: float, target: float, trees: int, depth: int, few: int) -> tuple[DataFrame, DataFrame]:
     """All verified links between classes, and the groups they make.
 
-    The first round takes one leader a node. Later ones, with few rows left, take up to 16 times more each,
-    as long as the pairs of a round stay linear in the classes; rounds end when one links nothing.
+    The first round takes one leader a node, later ones up to ``LEADERS``, as long as the pairs of a round stay
+    linear in the classes. What a round adds tells what is still missing: rounds end when one adds less than a
+    tenth of the share of links that the target allows to miss, or nothing.
     """
     spark = documents.sparkSession
     links = spark.createDataFrame([], "a binary, b binary, similarity double")
@@ -271,16 +278,17 @@ def _linked(documents: DataFrame, classes: DataFrame, threshold: float, target:
             pairs = stage(_candidates(mixed, few, leaders, seed), "forest-pairs")
             found = stage(_verified(pairs, shingles, threshold), "forest-links")
             seed += 1
-            linked = not found.isEmpty()
+            linked = found.count()
             if linked:
                 links = links.unionByName(found)
                 groups = merged(links)
             rows = mixed.where(F.col("members") > few)  # all pairs below the others are verified
             left = rows.count()
             affordable = max(1, total * trees // max(1, left))
-            if not left or (not linked and (leaders > 1 or affordable == 1)):
+            enough = linked <= (1 - target) / 10 * links.count()
+            if not left or (enough and (leaders > 1 or affordable == 1)):
                 break
-            leaders = min(leaders * 16, affordable)
+            leaders = min(LEADERS, affordable)
         if used <= 2 or _recall(links, trees, used) >= target:
             return links, groups
         used -= 1

@@ -191,7 +191,8 @@ def resolve_district_in_scope(spark, sf_dir):
     return found.select("request_id", "district_key")
 
 
-@query()
+@query(WITH_REQUESTS + f"""SELECT request_id, replace(r.district, 'ATION', 'ATON') AS district, district_key FROM requests r LEFT JOIN district_ctx d
+  ON {Q.geo('r.district')} = {_KEY}""")
 def resolve_misspelt_district(spark, sf_dir):
     """A letter is missing from every district name."""
     asked = B.requests(spark, sf_dir).select("request_id", F.replace("district", F.lit("ATION"), F.lit("ATON")).alias("district"))

@@ -181,8 +181,8 @@ class MarketContext:
         }
         regions = self.tables["regions"].sort(F.desc("price"), "location").take(6)
         self.regions = [(r["location"], r["price"]) for r in regions]
-        self.small_districts = fits_broadcast(self.tables["district"], ["district_key"])
-        self.small_types = fits_broadcast(self.tables["type"], ["kind"])
+        self.small_districts = fits_broadcast(self.tables["district"])
+        self.small_types = fits_broadcast(self.tables["type"])
         self.has_types = bool(self.tables["type"].take(1))
         self.contrast = contrast_type(self.tables["type"], self.overall["dominant_type"]).first()[0]
 

@@ -43,13 +43,24 @@ def _pieces(c: Column) -> Column:
 def _contained(inner: DataFrame, inner_col: str, outer: DataFrame, outer_col: str) -> DataFrame:
     """Pairs where the text ``inner_col`` is a part of ``outer_col``.
 
-    The first characters of the inner text are one of the pieces of the outer text, which makes the
-    search an equi-join.
+    All pieces of the inner text are pieces of the outer one. The inner text is looked up by the piece that
+    fewest outer texts have, which makes the search an equi-join without hot keys of common beginnings.
     """
-    head = F.substring(F.col(inner_col), 1, _MAX_GRAM)
-    left = inner.withColumn("piece", head)
-    right = outer.withColumn("piece", F.explode(_pieces(F.col(outer_col))))
-    return left.join(right, "piece").where(F.contains(F.col(outer_col), F.col(inner_col))).drop("piece")
+    c = F.col(inner_col)
+    own = F.array_distinct(F.when(F.length(c) >= _MAX_GRAM, _grams(c, _MAX_GRAM)).otherwise(F.array(c)))
+    right = stage(outer.withColumn("piece", F.explode(_pieces(F.col(outer_col)))), "pieces")
+    counts = right.groupBy("piece").agg(F.count("*").alias("texts"))
+    asked = inner.withColumn("piece", F.explode(own)).join(counts, "piece", "left")
+    rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "piece")).alias("rarest")
+    asked = asked.groupBy(*inner.columns).agg(rarest).where("rarest.texts > 0").withColumn("piece", F.col("rarest.piece")).drop("rarest")
+    return asked.join(right, "piece").where(F.contains(F.col(outer_col), c)).drop("piece")
+
+
+def _most_alike(a: Column, b: Column) -> Column:
+    """Upper bound of the similarity: the share of characters that both texts have, in any order."""
+    times = lambda text, char: F.length(text) - F.length(F.replace(text, char, F.lit("")))
+    both = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, char: n + F.least(times(a, char), times(b, char)))
+    return both * 2.0 / (F.length(a) + F.length(b))
 
 
 def _first_key(pairs: DataFrame) -> DataFrame:
@@ -72,7 +83,7 @@ def _similar(texts: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
     total = F.length("text") + F.length("key_text")
     near = F.least(F.length("text"), F.length("key_text")) * 2.0 / total >= cutoff
     pairs = left.join(right, "piece").where(near & ((F.length("piece") == 2) | (total <= short)))
-    pairs = pairs.groupBy("text", "key_text", "district_key").agg(F.count("*").alias("shared"))
+    pairs = pairs.select("text", "key_text", "district_key").distinct().where(_most_alike(F.col("text"), F.col("key_text")) >= cutoff)
     scored = pairs.withColumn("ratio", similarity("key_text", "text")).where(F.col("ratio") >= cutoff)
     return scored.groupBy("text").agg(F.max_by("district_key", F.struct("ratio", "key_text")).alias("district_key"))
 
@@ -119,7 +130,7 @@ def resolve_district(
     texts = df.select(F.explode(F.array(*[T.geo_clean(F.col(c)) for c in columns])).alias("text"))
     texts = texts.where(F.col("text") != "").distinct()
     matched = stage(match_texts(texts, keys, cutoff), "matched")
-    small = fits_broadcast(matched, ["text"])
+    small = fits_broadcast(matched)
     out = df
     for c in columns:
         part = matched.select(F.col("text").alias(f"text_{c}"), F.col("district_key").alias(f"match_{c}"))

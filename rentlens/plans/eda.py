@@ -71,8 +71,9 @@ def eda_report(df: DataFrame, segments=("Villa", "Twin Villa")) -> DataFrame:
     percent = lambda c: (F.col(c) * 100.0 / F.col("n"))
     counts = counts.withColumns({"iqr_pct": percent("iqr"), "z_pct": percent("z"),
                                  **{f"{s} share": percent(s) for s in segments}})
+    counts = stage(counts, "counts")
     by_type = points.where(F.col("scope") == "type")
-    correlation = S.correlations(df, vocab.EDA_NUMERIC)
+    correlation = stage(S.correlations(df, vocab.EDA_NUMERIC), "correlations")
     upper = correlation.where((F.col("x") < F.col("y")) & (F.abs("r") > 0.8))
     medians = points.where((F.col("scope") == "all") & (F.col("prob") == 0.5))
     tables = [

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +38,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ren
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_scopes = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="rentlens-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
     return _LOCAL_FOLDERS[app]
 
 
@@ -59,5 +66,20 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     readers prune columns.
     """
     path = new_folder(df.sparkSession, label)
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside the block when it ends. Results must be written or collected in it."""
+    scopes = _scopes.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

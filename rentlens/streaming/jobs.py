@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rentlens.operators.context import MarketContext
 from rentlens.operators.scoring import Predictor, attach_market, respond, score_requests
 from rentlens.plans.cleaning import parse_listings
+from rentlens.session import releasing, stage
 
 
 def new_rows(stream: DataFrame, keys: Sequence[str], time: str, delay: str = "7 days") -> DataFrame:
@@ -39,12 +40,15 @@ def score_stream(
     """Score request batches against a frozen context and model.
 
     Each batch overwrites its own folder, so a batch that is run again after a failure does not
-    duplicate rows.
+    duplicate rows. What a batch stages is deleted when it is done.
     """
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = score_requests(attach_market(batch, ctx, **market), predict, ctx)
-        respond(rows, ctx, model_name).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        with releasing(spark):
+            # read once: places are matched in one pass over the batch and joined back in another
+            rows = score_requests(attach_market(stage(batch, "batch"), ctx, **market), predict, ctx)
+            respond(rows, ctx, model_name).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = requests.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -50,11 +50,11 @@ def test_imputation(spark):
     assert got == [1.0, 2.0, 1.5, 2.0, 10.0, 10.0]
 
 
-def test_salted_lookup_equals_broadcast(spark):
+def test_shuffled_lookup_equals_broadcast(spark):
     facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("k"))
     table = spark.createDataFrame([(0, "x"), (1, "y"), (None, "n")], "k long, v string")
-    salted = lookup_join(facts, table, ["k"], small=False, salts=8)
-    assert sorted(salted.collect()) == sorted(lookup_join(facts, table, ["k"]).collect())
+    shuffled = lookup_join(facts, table, ["k"], small=False)
+    assert sorted(shuffled.collect()) == sorted(lookup_join(facts, table, ["k"]).collect())
 
 
 def test_contiguous_folds_equal_ntile(spark):

@@ -127,3 +127,37 @@ def test_context_round_trip(spark, ctx, tmp_path):
     X.save_context(ctx, str(tmp_path))
     again = X.load_context(spark, str(tmp_path))
     assert again.overall == ctx.overall and again.buckets == ctx.buckets and again.regions == ctx.regions
+
+
+def test_common_beginnings_are_no_hot_key(spark):
+    """Texts and keys that all begin alike are compared by their rarest piece."""
+    from rentlens.operators import places
+
+    keys = spark.range(400).selectExpr("concat('phnom district ', lpad(id, 4, '0')) as key_text", "id as position")
+    texts = spark.range(400).selectExpr("concat('phnom road ', lpad(id, 4, 'x'), ' phnom district ', lpad(id, 4, '0')) as text")
+    pairs = places._contained(keys, "key_text", texts, "text")
+    assert pairs.count() == 400
+    assert places._contained(texts, "text", keys, "key_text").count() == 0
+
+
+def test_upper_bound_of_similarity(spark):
+    import difflib
+
+    from rentlens.operators import places
+
+    words = ["phnom penh", "penh phnom", "khan daun penh", "daun", "siem reap", "aab", "baa"]
+    rows = [(a, b) for a in words for b in words]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("most", places._most_alike(F.col("a"), F.col("b")))
+    assert all(r.most >= difflib.SequenceMatcher(None, r.a, r.b).ratio() - 1e-12 for r in df.collect())
+
+
+def test_released_stages_leave_nothing(spark):
+    import os
+
+    from rentlens.session import releasing, shared_folder, stage
+
+    folder = os.path.join(shared_folder(spark).removeprefix("file://"), "rentlens")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with releasing(spark):
+        assert stage(stage(spark.range(5), "a"), "b").count() == 5
+    assert set(os.listdir(folder)) == before

@@ -59,6 +59,14 @@ def contiguous_folds(spark, sf_dir):
     return D.fold_column(B.features(spark, sf_dir), 5).select("listing_id", "fold")
 
 
+@query(WITH_FEATURES + """, t AS (SELECT 'site/' || listing_id AS listing_id FROM features)
+  SELECT listing_id, (ntile(5) OVER (ORDER BY listing_id) - 1)::INT AS fold FROM t""")
+def contiguous_folds_text_ids(spark, sf_dir):
+    """Ids as pages give them, in text order."""
+    rows = B.features(spark, sf_dir).select(F.concat(F.lit("site/"), "listing_id").alias("listing_id"))
+    return D.fold_column(rows, 5).select("listing_id", "fold")
+
+
 @query(WITH_FEATURES + "SELECT listing_id, (ntile(5) OVER (ORDER BY md5(listing_id || '42')) - 1)::INT AS fold FROM features")
 def shuffled_folds(spark, sf_dir):
     return D.fold_column(B.features(spark, sf_dir), 5, shuffle=True).select("listing_id", "fold")

@@ -44,7 +44,15 @@ def overview(spark, sf_dir):
     return S.overview(listings_repeated(spark, sf_dir))
 
 
-@query()
+_TYPES = {
+    "bigint": ["listing_id"], "date": ["posted_date"], "double": ["rent_price_usd", "size_sqm", "bedrooms", "bathrooms"],
+    "string": ["city", "district", "location", "property_type", "furnished", "title", "source_url"],
+    "int": ["size_sqm_was_missing", "bedrooms_was_missing", "bathrooms_was_missing"],
+}
+
+
+@query(WITH_CLEAN + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{kind}' AS dtype, (SELECT count({c if kind == 'bigint' else '*'}) FROM clean) AS rows" for kind, columns in _TYPES.items() for c in columns))
 def column_types(spark, sf_dir):
     return S.column_types(B.clean(spark, sf_dir))
 
@@ -147,6 +155,14 @@ def quantiles_of_line_items(spark, sf_dir):
     return B.rounded(quantile_table(table(spark, sf_dir, "lineitem"), ["l_returnflag"], spec), 4)
 
 
+@query("SELECT event_type, " + ", ".join(f"round(quantile_cont(epoch(ts), {p}), 3) AS p{int(p * 100)}" for p in (0.01, 0.5, 0.99)) + " FROM events GROUP BY 1")
+def quantiles_of_timestamps(spark, sf_dir):
+    """Values that lie close together for their size, so that they share their first bucket."""
+    spec = {f"p{int(p * 100)}": ("seconds", p) for p in (0.01, 0.5, 0.99)}
+    events = table(spark, sf_dir, "events").withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return B.rounded(quantile_table(events, ["event_type"], spec), 3)
+
+
 @query(WITH_EDA + f""", {LONG} SELECT measure, round(min(v), 6) AS min, round(max(v), 6) AS max FROM long GROUP BY 1""")
 def range_summary(spark, sf_dir):
     return B.rounded(S.range_summary(B.eda(spark, sf_dir), vocab.EDA_NUMERIC))
@@ -180,10 +196,13 @@ def pearson(spark, sf_dir):
     return B.rounded(S.pearson(B.eda(spark, sf_dir), "size_sqm", RENT))
 
 
-@query()
+@query(WITH_EDA + f""", s AS (SELECT corr(size_sqm, {RENT}) AS r, count(*) AS n FROM eda), t AS (SELECT *, n - 2.0 AS v, r * sqrt((n - 2) / (1 - r * r)) AS t FROM s),
+  steps AS (SELECT i, abs(t) / 2000 AS h, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w, v FROM t, generate_series(0, 2000) AS g(i)),
+  area AS (SELECT sum(w * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow(i * h, 2) / v, -(v + 1) / 2)) * any_value(h) / 3 AS a FROM steps)
+  SELECT 'size_sqm' AS x, '{RENT}' AS y, round(r, 6) AS r, n, round(t, 6) AS t, round(1 - 2 * a, 6) AS p FROM t, area""")
 def pearson_test(spark, sf_dir):
-    """With p-value."""
-    return S.pearson_test(B.eda(spark, sf_dir), "size_sqm", RENT)
+    """With p-value; the SQL integrates the density of t."""
+    return B.rounded(S.pearson_test(B.eda(spark, sf_dir), "size_sqm", RENT))
 
 
 @query(WITH_EDA + f"""SELECT 'size_sqm' AS x, '{RENT}' AS y, round(regr_slope({RENT}, size_sqm), 6) AS slope,

@@ -1,8 +1,8 @@
 """Toxicity: non-negative positive-unlabelled learning of a linear model over word features.
 
 Confirmed toxic texts are the positives, a sample of all texts is unlabelled. The risk of the negative
-class is the unlabelled risk less the share that positives have in it; where that estimate falls below
-zero, the step climbs it again instead of descending. Features are words and the beginnings of words,
+class is the unlabelled risk less the share that positives have in it; where that estimate falls
+below zero, the step climbs it again instead of descending. Features are words and the beginnings of words,
 present or absent, so that inflected forms of one stem share evidence.
 
 The sample is bounded by ``limit`` positives and ``unlabelled`` texts, the vocabulary by ``vocabulary``
@@ -27,39 +27,52 @@ from rentlens.llm.quality import _pieces
 from rentlens.session import stage
 
 PREFIXES = (4, 5, 6, 7, 8)
+LEVELS = 3  # present, repeated, at least one word in ``DENSE``
+DENSE = 100
 _BITS = 22
 
 
-def _present(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Text count, then features and the texts that have them, repeated as the words are, by slice."""
+def _present(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By slice: words of each text, then features and the texts that have them, repeated as the words are."""
     for part in _pieces(texts):
         data, offsets = words.utf8(part)
         hashes, owners, heads = words.word_hashes(data, offsets, PREFIXES)
         found = [(hashes, owners)] + [(h[h != 0], owners[h != 0]) for h in heads]
-        yield len(part), np.concatenate([f for f, _ in found]), np.concatenate([o for _, o in found])
+        yield np.bincount(owners, minlength=len(part)), np.concatenate([f for f, _ in found]), np.concatenate([o for _, o in found])
+
+
+def _levels(size: np.ndarray, known: np.ndarray, features: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and the places ``feature * LEVELS + level`` they have, of the features in ``known``, sorted by text."""
+    at = np.minimum(np.searchsorted(known, features), len(known) - 1)
+    hit = known[at] == features
+    pair, times = np.unique(owners[hit] * len(known) + at[hit], return_counts=True)
+    text, place = pair // len(known), pair % len(known) * LEVELS
+    more, dense = times > 1, times * DENSE >= size[text]
+    text, place = np.concatenate([text, text[more], text[dense]]), np.concatenate([place, place[more] + 1, place[dense] + 2])
+    order = np.argsort(text, kind="stable")
+    return text[order], place[order]
 
 
 @dataclass(frozen=True)
 class LinearModel:
     features: np.ndarray  # sorted
-    weights: np.ndarray
+    weights: np.ndarray  # ``LEVELS`` for each feature
     start: float
 
-    def _slots(self) -> np.ndarray:
+    def slots(self) -> np.ndarray:
+        """Table of the leading bits that any feature has."""
         slots = np.zeros(1 << _BITS, bool)
         slots[self.features >> np.uint64(64 - _BITS)] = True
         return slots
 
     def scores(self, texts: pa.Array, slots: np.ndarray) -> np.ndarray:
         out = []
-        for n, features, owners in _present(texts):
-            total = np.full(n, self.start)
+        for size, features, owners in _present(texts):
+            total = np.full(len(size), self.start)
             near = np.flatnonzero(slots[features >> np.uint64(64 - _BITS)])
-            at = np.searchsorted(self.features, features[near])
-            at[at == len(self.features)] = 0
-            hit = self.features[at] == features[near] if len(self.features) else np.zeros(0, bool)
-            once = np.unique(owners[near][hit] * len(self.features) + at[hit])
-            total += np.bincount(once // max(len(self.features), 1), self.weights[once % max(len(self.features), 1)], n)
+            if len(near):
+                text, place = _levels(size, self.features, features[near], owners[near])
+                total += np.bincount(text, self.weights[place], len(size))
             out.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -102,7 +115,7 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = 4000, unlabelled
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, features, owners in _present(batch.column(0)):
+            for _, features, owners in _present(batch.column(0)):
                 order = np.lexsort((owners, features))
                 features, owners = features[order], owners[order]
                 new = np.ones(len(features), bool)
@@ -118,16 +131,14 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = 4000, unlabelled
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0
-            for n, features, owners in _present(batch.column(1)):
-                at = np.minimum(np.searchsorted(kept, features), len(kept) - 1)
-                hit = kept[at] == features
-                once = np.unique(owners[hit] * len(kept) + at[hit])
-                cuts = np.searchsorted(once // len(kept), np.arange(n + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array((once % len(kept)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), lists], ["positive", "features"])
-                row += n
-
-    # rows of the bounded sample, each with at most ``vocabulary`` features
+            for size, features, owners in _present(batch.column(1)):
+                text, place = _levels(size, kept, features, owners)
+                cuts = np.searchsorted(text, np.arange(len(size) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(place.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(size)), lists], ["positive", "features"])
+                row += len(size)
+
+    # rows of the bounded sample, each with at most ``LEVELS * vocabulary`` features
     rows = sample.select("positive", "text").mapInArrow(indexed, "positive boolean, features array<int>").toArrow().combine_chunks()
     positive = rows.column("positive").to_numpy(zero_copy_only=False).astype(bool)
     if not positive.any() or positive.all():
@@ -136,17 +147,21 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = 4000, unlabelled
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     feature = lists.flatten().to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(positive)), np.diff(lists.offsets.to_numpy()))
-    in_p = np.bincount(feature, positive[doc], len(kept)) / positive.sum()
-    in_u = np.bincount(feature, ~positive[doc], len(kept)) / (~positive).sum()
+    places = len(kept) * LEVELS
+    in_p = np.bincount(feature, positive[doc], places) / positive.sum()
+    in_u = np.bincount(feature, ~positive[doc], places) / (~positive).sum()
     z = (in_p - in_u) / np.sqrt((in_p * (1 - in_p) + 1e-3) / positive.sum() + (in_u * (1 - in_u) + 1e-3) / (~positive).sum())
     use = np.flatnonzero(np.abs(z) >= least_z)
     if not len(use):
         return empty
-    place = np.full(len(kept), -1)
-    place[use] = np.arange(len(use))
-    live = place[feature] >= 0
-    w, b = _fit(doc[live], place[feature[live]], positive, len(use), prior, steps, rate, decay)
-    return LinearModel(kept[use], w, b)
+    column = np.full(places, -1)
+    column[use] = np.arange(len(use))
+    live = column[feature] >= 0
+    w, b = _fit(doc[live], column[feature[live]], positive, len(use), prior, steps, rate, decay)
+    weights = np.zeros(places)
+    weights[use] = w
+    chosen = np.unique(use // LEVELS)
+    return LinearModel(kept[chosen], weights.reshape(-1, LEVELS)[chosen].ravel(), b)
 
 
 def score(documents: DataFrame, model: LinearModel, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
@@ -156,7 +171,7 @@ def score(documents: DataFrame, model: LinearModel, threshold: float = 0.5, keep
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = model._slots()
+        slots = model.slots()
         for batch in batches:
             scores = pa.array(model.scores(batch.column(batch.num_columns - 1), slots))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "toxic_score"])

@@ -408,7 +408,20 @@ _PAGE_RULES = {
 }
 
 
-@query()
+_BARE = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH parts AS (
+  SELECT page_id, url, split_part(split_part(html, '<h1>', 2), '</h1>', 1) AS h1, split_part(split_part(html, '<article>', 2), '</article>', 1) AS article,
+    split_part(split_part(html, '<div class="ad">', 2), '</div>', 1) AS ad, split_part(split_part(string_split(html, '<a href="')[3], '>', 2), '<', 1) AS second FROM pages
+), pieces AS (
+  SELECT page_id, url, string_agg(piece, ' ' ORDER BY i) AS description FROM (
+    SELECT page_id, url, i, {_BARE.format(_decoded('x'))} AS piece
+    FROM (SELECT page_id, url, unnest(string_split_regex(article, '<[^>]*>')) AS x, generate_subscripts(string_split_regex(article, '<[^>]*>'), 1) AS i FROM parts))
+  WHERE piece <> '' GROUP BY 1, 2
+) SELECT page_id, url, {_BARE.format(_decoded('h1'))} AS title, NULL::VARCHAR AS price, {_BARE.format(_decoded('ad'))} AS location,
+  {_BARE.format(_decoded('second'))} AS address, description, """ + ", ".join(f"NULL::VARCHAR AS {c}" for c in P.LABELLED) + """
+  FROM parts LEFT JOIN pieces USING (page_id, url)""")
 def extract_fields(spark, sf_dir):
     """Fields of whole pages by a layout: heading, article text, second link, notice."""
     return P.extract_fields(table(spark, sf_dir, "pages"), _PAGE_RULES)

@@ -169,7 +169,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                     ids = pa.array([index.value.ids[k] for k in items])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids, *map(pa.array, (similarity, start, size))], shape.names)
 
-        part = words.bounded_batches(documents).select("doc_id", F.lower("text").alias("text")).mapInArrow(rows, shape)
+        part = words.bounded_batches(documents).select("doc_id", F.lower("text").alias("text")).mapInArrow(words.giving_back(rows), shape)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -187,5 +187,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], shape.names).filter(pa.array(keep))
 
         plain = words.bounded_batches(documents).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.lower(F.col("text")).alias("lowered"))
-        documents = plain.mapInArrow(rows, shape).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+        documents = plain.mapInArrow(words.giving_back(rows), shape).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
     return documents

@@ -87,7 +87,7 @@ def signatures(documents: DataFrame, trees: int = TREES, depth: int = DEPTH) ->
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return words.bounded_batches(documents).select("doc_id", _identity().alias("text_key"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(
-        rows, f"doc_id {kind}, text_key string, class_key binary, n long, signature binary")
+        words.giving_back(rows), f"doc_id {kind}, text_key string, class_key binary, n long, signature binary")
 
 
 def _nodes(classes: DataFrame, trees: int, depth: int, used: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _shingles_of(documents: DataFrame, members: DataFrame, bits: int) -> DataFra
     wanted = members.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "class_key")
     keyed = _possible(documents.select("doc_id", _identity().alias("text_key"), F.lower("text").alias("text")), wanted.select("_key"), bits)[0]
     found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    return found.select("class_key", "text").dropDuplicates(["class_key"]).mapInArrow(rows, "class_key binary, shingles array<long>")
+    return found.select("class_key", "text").dropDuplicates(["class_key"]).mapInArrow(words.giving_back(rows), "class_key binary, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rentlens.llm.words import bounded_batches
+from rentlens.llm.words import bounded_batches, give_back
 
 SPACE = "▁"
-CACHE = 250_000
+CACHE = 120_000
 LONG = 64
 _PART = 1 << 20
 _NEVER = np.iinfo(np.int32).max
@@ -219,6 +219,7 @@ def _mapped(documents: DataFrame, function, extra: list[T.StructField], keep: li
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = function(batch.column(batch.num_columns - 1))
+            give_back()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *new])
 
     plain = bounded_batches(documents).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce("text", F.lit("")).alias("whole"))

@@ -203,7 +203,7 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = 20_000, **settin
             x = text_features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
 
-    sample = labelled_texts(words.bounded_batches(documents), labels, "quality", limit).mapInArrow(rows, "x array<double>, label int").toPandas()
+    sample = labelled_texts(words.bounded_batches(documents), labels, "quality", limit).mapInArrow(words.giving_back(rows), "x array<double>, label int").toPandas()
     sample = sample.assign(key=[tuple(v) for v in sample["x"]]).sort_values(["key", "label"])
     x = np.array(list(sample["key"]), float).reshape(-1, len(FEATURES))
     return fit(x, sample["label"].to_numpy(float), **settings)
@@ -218,5 +218,5 @@ def score(documents: DataFrame, model: AdditiveModel, threshold: float = 0.3) ->
 
     kind = documents.schema["doc_id"].dataType
     shape = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
-    scored = words.bounded_batches(documents).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rows, shape)
+    scored = words.bounded_batches(documents).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(words.giving_back(rows), shape)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -123,7 +123,7 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = 4000, unlabelled
                 kept, count = np.unique(features[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(count.astype(np.int64))], ["feature", "n"])
 
-    frequent = sample.where("positive").select("text").mapInArrow(tally, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 3")
+    frequent = sample.where("positive").select("text").mapInArrow(words.giving_back(tally), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 3")
     kept = np.sort(np.array([r[0] for r in frequent.orderBy(F.desc("n"), "feature").limit(vocabulary).collect()], np.int64).view(np.uint64))
     if not len(kept):
         return empty
@@ -139,7 +139,7 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = 4000, unlabelled
                 row += len(size)
 
     # rows of the bounded sample, each with at most ``LEVELS * vocabulary`` features
-    rows = sample.select("positive", "text").mapInArrow(indexed, "positive boolean, features array<int>").toArrow().combine_chunks()
+    rows = sample.select("positive", "text").mapInArrow(words.giving_back(indexed), "positive boolean, features array<int>").toArrow().combine_chunks()
     positive = rows.column("positive").to_numpy(zero_copy_only=False).astype(bool)
     if not positive.any() or positive.all():
         return empty
@@ -179,5 +179,5 @@ def score(documents: DataFrame, model: LinearModel, threshold: float = 0.5, keep
     names = [c for c in (documents.columns if keep is None else keep) if c not in ("toxic_score", "toxic_predicted")]
     plain = words.bounded_batches(documents).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.lower(F.col("text")).alias("lowered"))
     shape = T.StructType([T.StructField(f"c{i}", documents.schema[c].dataType) for i, c in enumerate(names)] + [T.StructField("toxic_score", T.DoubleType())])
-    scored = plain.mapInArrow(rows, shape)
+    scored = plain.mapInArrow(words.giving_back(rows), shape)
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "toxic_score", (F.col("toxic_score") >= threshold).cast("int").alias("toxic_predicted"))

@@ -7,6 +7,8 @@ word longer than that is cut into several.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,27 @@ def bounded_batches(documents: DataFrame) -> DataFrame:
     return documents
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(rows):
+    """Generator over Arrow batches that gives freed memory back when its partition ends."""
+
+    @functools.wraps(rows)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over 64 bits."""
     h = h ^ (h >> np.uint64(30))

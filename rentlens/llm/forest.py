@@ -9,8 +9,9 @@ Documents with the same shingle set are one class, so copies cost one row howeve
 node, each member is compared with leaders and not with all others: a round takes a leader in each node and
 tree, different ones in different trees; what it links becomes one group, and only nodes that still hold
 several groups go on. Nodes with few members left are compared pair by pair; rounds go on at larger nodes
-until one adds next to nothing. Work is thus linear in rows, and near-copies of a large group come out in one
-group without all pairs of it.
+until one adds next to nothing. What is then still mixed is dealt into blocks, and blocks are compared with
+blocks until every pair of different groups below a node is verified. Work is linear in rows where leaders
+join a node's members, and grows with the square of what they leave.
 
 Words are runs of letters, digits and ``_`` in lower case; a text of one to four words has one shingle. A
 text without words (also null) has no shingle and is linked with nothing: it is a class and a group of its
@@ -34,6 +35,8 @@ SHINGLE = 5
 TREES, DEPTH = 24, 8
 FEW = 24
 LEADERS = 12
+BLOCK_CLASSES = 256
+BLOCK_SHINGLES = 1 << 20
 LOOKUP_ROWS = 200_000
 SMALL_GRAPH = 500_000
 _BLOCK = 2048
@@ -175,6 +178,126 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return found.where(F.col("similarity") >= threshold)
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common shingles of each set on the left with each on the right."""
+    sides, width, height = [], len(right), len(left)
+    for sets in (left, right):
+        values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(values, kind="stable")
+        sides.append((values[order], owners[order]))
+    (a, of_a), (b, of_b) = sides
+    both = np.intersect1d(a, b)
+    at_a, at_b = np.searchsorted(a, both), np.searchsorted(b, both)
+    n_a, n_b = np.searchsorted(a, both, side="right") - at_a, np.searchsorted(b, both, side="right") - at_b
+    out = np.zeros((height, width))
+    often = n_a * n_b * 16 >= height * width
+    run = lambda at, n: np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
+    for kind in (True, False):
+        chosen = np.flatnonzero(often == kind)
+        for start in range(0, len(chosen), 1024):
+            part = chosen[start : start + 1024]
+            if kind:
+                has_a, has_b = np.zeros((height, len(part)), np.float32), np.zeros((width, len(part)), np.float32)
+                for has, of, at, n in ((has_a, of_a, at_a[part], n_a[part]), (has_b, of_b, at_b[part], n_b[part])):
+                    has[of[run(at, n)], np.repeat(np.arange(len(part)), n)] = 1
+                out += has_a @ has_b.T
+            else:
+                pairs = n_a[part] * n_b[part]
+                which, place = np.repeat(part, pairs), run(np.zeros(len(part), np.int64), pairs)
+                cell = of_a[at_a[which] + place // n_b[which]] * width + of_b[at_b[which] + place % n_b[which]]
+                out += np.bincount(cell, minlength=height * width).reshape(height, width)
+    return out
+
+
+def _block_pairs(rows: DataFrame, of: str, low: str, high: str) -> DataFrame:
+    """Rows with ``shingles`` of ``of`` in ``block``, once for each block from ``low`` to ``high`` that theirs meets, in order of ``key``."""
+    met = rows.withColumn("other", F.explode(F.sequence(low, high)))
+    key = F.xxhash64(of, F.least("block", "other"), F.greatest("block", "other")).alias("key")
+    side = F.when(F.col("block") < F.col("other"), 0).when(F.col("block") > F.col("other"), 1).otherwise(2).alias("side")
+    dealt = met.select(key, side, "class_key", F.xxhash64("group").alias("group"), "shingles")
+    return words.bounded_batches(dealt).repartition("key").sortWithinPartitions("key")
+
+
+def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[list[bytes], np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+    """For each block pair: classes and groups of both sides, and similarities, 0 where a pair does not reach the threshold or is met twice."""
+
+    def one(held: list[pa.RecordBatch]):
+        block = pa.Table.from_batches(held)
+        side, keys, group = block["side"].to_numpy(), block["class_key"].to_pylist(), block["group"].to_numpy()
+        sets = [s for b in held for s in _lists(b.column(4))]
+        x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if len(x) and len(y):
+            left, right = [sets[i] for i in x], [sets[i] for i in y]
+            both = _common(left, right)
+            like = both / (np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - both)
+            like[like < threshold] = 0
+            yield [keys[i] for i in x], group[x], [keys[i] for i in y], group[y], np.triu(like, 1) if (side == 2).all() else like
+
+    held, last = [], None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for at, end in zip(bounds, bounds[1:]):
+            if held and keys[at] != last:
+                yield from one(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last = keys[at]
+    if held:
+        yield from one(held)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(offsets, offsets[1:])]
+
+
+def _blocks(count, shingles):
+    """How many blocks hold so many classes and shingles."""
+    return F.ceil(F.greatest(count / BLOCK_CLASSES, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _rest(mixed: DataFrame, classes: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a``, ``b``, ``similarity`` that join all groups which any pair below a node joins: all pairs of different groups are verified.
+
+    Members are dealt into blocks by digest, those of the node's largest group into blocks of their own, which
+    meet the others' blocks but not each other. Of a block pair's links those that join groups are given.
+    """
+    own = F.xxhash64("group") == F.col("top")
+    sized = mixed.join(classes.select(F.col("class_key").alias("_class"), "n"), F.col("class_key") == F.col("_class")).drop("_class")
+    share = lambda which: _blocks(F.sum(which.cast("long")), F.sum(F.when(which, F.col("n")).otherwise(0)))
+    state = stage(sized.groupBy("node").agg(share(~own).alias("others"), share(own).alias("tops")).withColumnRenamed("node", "_node"), "forest-blocks")
+    lot = F.xxhash64(F.lit(7), "class_key")
+    block = F.when(own, F.col("others") + F.pmod(lot, F.col("tops"))).otherwise(F.pmod(lot, F.col("others"))).cast("int")
+    last = F.when(own, F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1)
+    rows = mixed.join(state, F.col("node") == F.col("_node")).select("node", "class_key", "group", block.alias("block"), F.lit(0).alias("low"), last.alias("high"))
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, of_left, right, of_right, like in _compared(batches, threshold):
+            like = np.where(of_left[:, None] == of_right[None, :], 0, like)
+            i, j = np.nonzero(like)
+            order = np.argsort(like[i, j], kind="stable")  # the least alike count most in the recall
+            top: dict[int, int] = {}
+
+            def root(g: int) -> int:
+                while top.setdefault(g, g) != g:
+                    top[g] = top[top[g]]
+                    g = top[g]
+                return g
+
+            out = []
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                g, h = root(int(of_left[x])), root(int(of_right[y]))
+                if g != h:
+                    top[g] = h
+                    out.append((min(left[x], right[y]), max(left[x], right[y]), float(like[x, y])))
+            a, b, s = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
+
+    pairs = _block_pairs(rows.join(shingles.select("class_key", "shingles"), "class_key"), "node", "low", "high")
+    return pairs.mapInArrow(words.giving_back(joining), "a binary, b binary, similarity double").distinct()
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Smallest key of each key's component, for the edges of one task."""
     top: dict[bytes, bytes] = {}
@@ -257,7 +380,8 @@ def _linked(documents: DataFrame, classes: DataFrame, threshold: float, target:
 
     The first round takes one leader a node, later ones up to ``LEADERS``, as long as the pairs of a round stay
     linear in the classes. What a round adds tells what is still missing: rounds end when one adds less than a
-    tenth of the share of links that the target allows to miss, or nothing.
+    tenth of the share of links that the target allows to miss, or nothing. Nodes still mixed are then compared
+    whole, in blocks.
     """
     spark = documents.sparkSession
     links = spark.createDataFrame([], "a binary, b binary, similarity double")
@@ -286,7 +410,14 @@ def _linked(documents: DataFrame, classes: DataFrame, threshold: float, target:
             left = rows.count()
             affordable = max(1, total * trees // max(1, left))
             enough = linked <= (1 - target) / 10 * links.count()
-            if not left or (enough and (leaders > 1 or affordable == 1)):
+            if not left:
+                break
+            if enough and (leaders > 1 or affordable == 1):
+                mixed = stage(_mixed(_with_groups(rows.select("node", "class_key"), groups)), "forest-rest")
+                found = stage(_rest(mixed, classes, shingles, threshold), "forest-links")
+                if found.count():
+                    links = links.unionByName(found)
+                    groups = merged(links)
                 break
             leaders = min(LEADERS, affordable)
         if used <= 2 or _recall(links, trees, used) >= target:

@@ -95,6 +95,30 @@ def test_one_document_of_each_group_stays(spark, truth):
     assert sorted(10**8 if r.doc_id is None else r.doc_id for r in kept) == want
 
 
+def test_near_copies_below_a_template(spark):
+    # thousands of documents share a passage, each at 0.6 to 0.78 with the others; a few have one near-copy at 0.84
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(200)]
+    rows = [passage + [word() for _ in range(30)] for _ in range(1500)]
+    rows += [r[:-20] + [word() for _ in range(20)] for r in rows[::25]]
+    rows = [(i, " ".join(r), 1, "s", "a") for i, r in enumerate(rows)]
+    sets = [shingles(r[1]) for r in rows]
+    assert 0.6 < jaccard(sets[0], sets[1]) < 0.78
+    out = {r.doc_id: r.class_id for r in forest.join(spark.createDataFrame(rows, SHAPE).repartition(6)).collect()}
+    want = {i: i for i in range(1500)} | {1500 + k: 25 * k for k in range(60)}
+    assert out == want
+
+
+def test_common_shingles_of_all_pairs():
+    draw = random.Random(3)
+    import numpy as np
+    kinds = [(0, 40), (0, 4000), (0, 10**6)]
+    sets = [np.unique(np.array([draw.randint(*kinds[k % 3]) for _ in range(draw.randint(1, 300))], np.int64)) for k in range(70)]
+    found = forest._common(sets[:30], sets[20:])
+    assert all(found[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(sets[:30]) for j, y in enumerate(sets[20:]))
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], SHAPE)
     assert forest.join(none).count() == 0 and forest.one_of_each_group(none).count() == 0

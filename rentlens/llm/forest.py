@@ -298,6 +298,26 @@ def _rest(mixed: DataFrame, classes: DataFrame, shingles: DataFrame, threshold:
     return pairs.mapInArrow(words.giving_back(joining), "a binary, b binary, similarity double").distinct()
 
 
+def _degrees(groups: DataFrame, classes: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """``class_key``, ``n_links``: with how many others of its group a class reaches the threshold.
+
+    Every pair of a group is verified once, in the one block pair that holds it; only counts leave a block pair.
+    """
+    sized = groups.join(classes.select(F.col("class_key").alias("_class"), "n"), F.col("class_key") == F.col("_class")).drop("_class")
+    state = sized.groupBy("group").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")).withColumnRenamed("group", "_group")
+    held = groups.join(state, F.col("group") == F.col("_group"))
+    held = stage(held.select("class_key", "group", F.pmod(F.xxhash64(F.lit(7), "class_key"), "blocks").cast("int").alias("block"), F.lit(0).alias("low"), (F.col("blocks") - 1).alias("high")), "forest-held")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, _, right, _, like in _compared(batches, threshold):
+            n = [*np.count_nonzero(like, axis=1).tolist(), *np.count_nonzero(like, axis=0).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(left + right, pa.binary()), pa.array(n, pa.int64())], ["class_key", "n"])
+
+    pairs = _block_pairs(held.join(shingles.select("class_key", "shingles"), "class_key"), "group", "low", "high")
+    found = pairs.mapInArrow(words.giving_back(counts), "class_key binary, n long")
+    return found.groupBy("class_key").agg(F.sum("n").alias("n_links"))
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Smallest key of each key's component, for the edges of one task."""
     top: dict[bytes, bytes] = {}
@@ -355,14 +375,14 @@ def join(documents: DataFrame, threshold: float = 0.8, target: float = 0.995, tr
 
     ``rep_id``: smallest id among rows with the same shingle set, ``n_copies`` their number. ``class_id``:
     smallest ``rep_id`` of the group that verified links hold together. ``n_links``: verified links of the
-    row's shingle set to other sets. Rows without shingles carry their own id.
+    row's shingle set to other sets, counted over all pairs of its group. Rows without shingles carry their own id.
     """
     signed = stage(signatures(documents, trees, depth), "forest-signatures")
     member = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "n", "signature")).alias("first")
     classes = signed.where("class_key is not null").groupBy("class_key").agg(member, F.count("*").alias("n_copies"))
     classes = stage(classes.select("class_key", "first.doc_id", "first.text_key", "first.n", "first.signature", "n_copies"), "forest-classes")
-    links, groups = _linked(documents, classes, threshold, target, trees, depth, few)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_key")).groupBy("class_key").agg(F.count("*").alias("n_links"))
+    groups, shingles = _linked(documents, classes, threshold, target, trees, depth, few)
+    degree = _degrees(groups, classes, shingles, threshold)
     rep = F.col("doc_id").alias("rep_id")
     described = _with_groups(classes.select("class_key", rep, "n_copies"), groups)
     described = stage(described.join(degree, "class_key", "left"), "forest-described")
@@ -376,7 +396,7 @@ def join(documents: DataFrame, threshold: float = 0.8, target: float = 0.995, tr
 
 
 def _linked(documents: DataFrame, classes: DataFrame, threshold: float, target: float, trees: int, depth: int, few: int) -> tuple[DataFrame, DataFrame]:
-    """All verified links between classes, and the groups they make.
+    """The groups that verified links between classes make, and ``class_key``, ``shingles`` of all their members.
 
     The first round takes one leader a node, later ones up to ``LEADERS``, as long as the pairs of a round stay
     linear in the classes. What a round adds tells what is still missing: rounds end when one adds less than a
@@ -421,7 +441,7 @@ def _linked(documents: DataFrame, classes: DataFrame, threshold: float, target:
                 break
             leaders = min(LEADERS, affordable)
         if used <= 2 or _recall(links, trees, used) >= target:
-            return links, groups
+            return groups, shingles
         used -= 1
 
 
@@ -437,7 +457,7 @@ def one_of_each_group(documents: DataFrame, **settings) -> DataFrame:
     classes = signed.where("class_key is not null").groupBy("class_key").agg(member)
     classes = stage(classes.select("class_key", "first.doc_id", "first.text_key", "first.n", "first.signature"), "forest-classes")
     use = {"threshold": 0.8, "target": 0.995, "trees": TREES, "depth": DEPTH, "few": FEW} | settings
-    _, groups = _linked(documents, classes, **use)
+    groups, _ = _linked(documents, classes, **use)
     grouped = _with_groups(classes.select("class_key", "doc_id", "text_key"), groups)
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("first")
     firsts = stage(grouped.groupBy("group").agg(stays).select(F.col("group").alias("_group"), F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "forest-firsts")

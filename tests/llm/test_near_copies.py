@@ -95,6 +95,28 @@ def test_one_document_of_each_group_stays(spark, truth):
     assert sorted(10**8 if r.doc_id is None else r.doc_id for r in kept) == want
 
 
+def test_links_equal_brute_force(spark, truth):
+    rows, root, links = truth
+    degree = dict.fromkeys(root, 0)
+    names = sorted(root, key=sorted)
+    for pair in links:
+        for i in pair:
+            degree[names[i]] += 1
+    assert max(degree.values()) > forest.FEW
+    text = {i: t for i, t, *_ in rows}
+    documents = spark.createDataFrame(rows, SHAPE).repartition(6)
+    out = forest.join(documents).collect()
+    assert [(r.doc_id, r.n_links) for r in out if r.n_links != degree.get(shingles(text[r.doc_id]), 0)] == []
+
+
+def test_links_of_large_groups_are_counted_by_blocks(spark, truth, monkeypatch):
+    rows, *_ = truth
+    documents = spark.createDataFrame(rows, SHAPE).repartition(6)
+    whole = sorted(map(str, forest.join(documents).collect()))
+    monkeypatch.setattr(forest, "BLOCK_CLASSES", 20)
+    assert sorted(map(str, forest.join(documents).collect())) == whole
+
+
 def test_near_copies_below_a_template(spark):
     # thousands of documents share a passage, each at 0.6 to 0.78 with the others; a few have one near-copy at 0.84
     draw = random.Random(5)

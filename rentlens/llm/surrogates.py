@@ -4,7 +4,9 @@ Mail addresses, phone, card, bank and social security numbers, IP addresses, sec
 form of address are found by patterns. An entity has a canonical spelling (digits of a number, lower case
 of an address or name), and a keyed digest of it chooses the surrogate, laid out again as each mention is
 written: separators, case, script and length stay, a card number keeps its check sum, a given name its
-gender. Equal entities get equal surrogates in every text, so references still match.
+gender, settled once over all forms of address it has. Equal entities get equal surrogates in every text. In a
+text with such a name, capitalised words equal to one of its given names or surnames are mentions of it too, so
+references still match; other names without a form of address are not found.
 
 Different entities must stay different, and no surrogate may be an entity of the data: surrogates that
 meet are drawn again with the next attempt number until none meet. From attempt ``RELAX`` on they get
@@ -45,7 +47,9 @@ SURNAMES = {
 
 # --- fixed values: patterns of entities, tried in this order at each place ---
 TITLES = "|".join(sorted(FEMALE + MALE + ANY, key=len, reverse=True))
-NAME = rf"(?<![\p{{L}}])(?:{TITLES})\b\.?\s\p{{Lu}}[\p{{L}}'’-]+(?:\s\p{{Lu}}[\p{{L}}'’-]+)?"
+_WORD = r"\p{Lu}(?=[\p{L}'’-])\p{L}*(?:['’-](?!s(?!\p{L}))\p{L}+)*"
+BARE = rf"(?<![\p{{L}}\p{{N}}]){_WORD}"
+NAME = rf"(?<![\p{{L}}])(?:{TITLES})\b\.?(?:\s(?!(?:{TITLES})\b){_WORD})+"
 MAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 SECRET = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[A-F]*[0-9])[0-9A-F]{32,128})(?![\p{L}\p{N}])"
 BANK = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
@@ -84,16 +88,16 @@ def _script(name: Column) -> Column:
 
 
 def entities(mention: Column) -> Column:
-    """Array of (kind, canonical) that a mention is made of: given name and surname, or one."""
+    """Array of (kind, canonical) that a mention is made of: given names and surname, or one."""
     what = kind(mention)
     parts = F.split(_name(mention), r"\s")
     gender = F.when(_title(mention).isin(FEMALE), "f").when(_title(mention).isin(MALE), "m").otherwise("n")
     one = lambda k, c: F.struct(k.alias("kind"), c.alias("canonical"))
     surname = one(F.concat(F.lit("surname_"), _script(parts[0])), F.lower(F.element_at(parts, -1)))
-    given = one(F.concat(F.lit("given_"), gender, F.lit("_"), _script(parts[0])), F.lower(parts[0]))
+    given = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: one(F.concat(F.lit("given_"), gender, F.lit("_"), _script(parts[0])), F.lower(p)))
     digits = F.regexp_replace(mention, "[^0-9]", "")
     plain = F.when(what.isin("card", "social"), digits).when(what == "phone", F.substring(digits, -10, 10)).when(what == "bank", F.replace(mention, F.lit(" "), F.lit("")))
-    return F.when(what == "name", F.when(F.size(parts) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(
+    return F.when(what == "name", F.concat(given, F.array(surname))).otherwise(
         F.array(one(what, plain.otherwise(F.lower(mention)))))
 
 
@@ -200,6 +204,31 @@ def replacement(mention: Column, what: Column, new: Column) -> Column:
     return F.when(what == "name", F.concat(title, F.array_join(new, " "))).when(what.isin("mail", "address", "secret"), whole).otherwise(_laid_out(mention, new[0]))
 
 
+def _one_gender(parts: DataFrame) -> DataFrame:
+    """The parts with one kind for each given name of a script: of the one gender its forms of address have, else neutral."""
+    base, sex = F.regexp_replace("kind", "^given_[fmn]_", "given_").alias("_base"), F.regexp_extract("kind", "^given_([fmn])_", 1)
+    known = parts.where(F.col("kind").startswith("given_")).groupBy(base, F.col("canonical").alias("_of")).agg(F.max(sex == "f").alias("f"), F.max(sex == "m").alias("m"))
+    script = F.replace("_base", F.lit("given_"), F.lit(""))
+    neutral = F.when(script.isin([s for s, g in GIVEN if g == "n"]), "n").otherwise("f")
+    gender = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise(neutral)
+    known = known.select("_base", "_of", F.concat(F.lit("given_"), gender, F.lit("_"), script).alias("_kind"))
+    joined = parts.join(known, (F.regexp_replace("kind", "^given_[fmn]_", "given_") == F.col("_base")) & (F.col("canonical") == F.col("_of")), "left")
+    return joined.withColumn("kind", F.coalesce("_kind", "kind")).drop("_base", "_of", "_kind")
+
+
+def _with_bare_words(split: DataFrame) -> DataFrame:
+    """Rows with ``mentions`` as (mention, bare): in texts with a name, capitalised words of the gaps become bare mentions."""
+    named = F.exists("mentions", lambda m: F.regexp_like(m, F.lit(rf"^(?:{TITLES})\b\.?\s")))
+    tagged = lambda m, bare: F.struct(m.alias("mention"), F.lit(bare).alias("bare"))
+    none = F.array().cast("array<struct<mention:string,bare:boolean>>")
+    held = lambda i: F.when(i < F.size("mentions"), F.array(tagged(F.get("mentions", i), False))).otherwise(none)
+    words = lambda g: F.transform(F.regexp_extract_all(g, F.lit(BARE), F.lit(0)), lambda w: tagged(w, True))
+    said = F.flatten(F.transform("gaps", lambda g, i: F.concat(words(g), held(i))))
+    gaps = F.flatten(F.transform("gaps", lambda g: F.split(g, BARE, -1)))
+    plain = split.where(~named).select("whole", "row", "gaps", F.transform("mentions", lambda m: tagged(m, False)).alias("mentions"))
+    return plain.unionByName(split.where(named).select("whole", "row", gaps.alias("gaps"), said.alias("mentions")))
+
+
 def replace_entities(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with surrogates in ``text`` and ``n_replaced``, the number of mentions. A column of that name is replaced."""
     names = [c for c in documents.columns if c != "n_replaced"]
@@ -210,15 +239,26 @@ def replace_entities(documents: DataFrame, key: str, text: str = "text") -> Data
     split = documents.where(hinted).select(
         whole.alias("whole"), F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0)).alias("mentions"), F.split(F.col(text), ENTITY, -1).alias("gaps"))
     split = stage(split.withColumn("row", F.monotonically_increasing_id()), "pii-split")
-    said = split.select("row", F.posexplode("mentions").alias("at", "mention"))
+    split = stage(_with_bare_words(split), "pii-words")
+    every = split.select("row", F.posexplode("mentions").alias("at", "said")).select("row", "at", "said.*")
+    said, bare = every.where("not bare").drop("bare"), every.where("bare").drop("bare")
     distinct = stage(said.groupBy("mention").agg(F.count("*").alias("n")).select("mention", kind(F.col("mention")).alias("kind"), entities(F.col("mention")).alias("parts")), "pii-mentions")
     parts = distinct.select("mention", F.col("kind").alias("what"), F.posexplode("parts").alias("part", "entity")).select("mention", "what", "part", "entity.kind", "entity.canonical")
+    parts = stage(_one_gender(parts), "pii-parts")
     drawn = distinct_surrogates(parts, key)
     new = parts.join(drawn, ["kind", "canonical"]).groupBy("mention", "what").agg(F.sort_array(F.collect_list(F.struct("part", "surrogate"))).alias("new"))
     written = stage(new.select(F.col("mention").alias("_mention"), replacement(F.col("mention"), F.col("what"), F.col("new.surrogate")).alias("written")), "pii-written")
-    back = said.join(written, F.col("mention") == F.col("_mention")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "written"))).alias("said"))
+    # a text's own names, for its bare mentions; a word that is both is the surname
+    own = said.join(parts.where("what = 'name'").select(F.col("mention").alias("_mention"), "kind", "canonical"), F.col("mention") == F.col("_mention"))
+    own = own.groupBy(F.col("row").alias("_row"), "canonical").agg(F.max("kind").alias("kind")).join(drawn, ["kind", "canonical"])
+    looked = bare.join(own.select("_row", "canonical", "surrogate"), (F.col("row") == F.col("_row")) & (F.lower("mention") == F.col("canonical")), "left")
+    upper = F.upper("mention") == F.col("mention")
+    again = F.when(upper, F.upper("surrogate")).otherwise(F.col("surrogate"))
+    looked = looked.select("row", "at", F.coalesce(again, "mention").alias("written"), F.col("surrogate").isNotNull().cast("long").alias("hit"))
+    told = said.join(written, F.col("mention") == F.col("_mention")).select("row", "at", "written", F.lit(1).cast("long").alias("hit")).unionByName(looked)
+    back = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "written"))).alias("said"), F.sum("hit").alias("hits"))
     joined = split.join(back.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
     filled = F.array_join(F.zip_with("gaps", F.coalesce(F.col("said.written"), F.array().cast("array<string>")), lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
-    changed = joined.select("whole", filled.alias("new_text"), F.size("mentions").cast("long").alias("n_replaced"))
+    changed = joined.select("whole", filled.alias("new_text"), F.coalesce("hits", F.lit(0)).cast("long").alias("n_replaced"))
     out = rest.unionByName(changed)
     return out.select(*[F.col("new_text").alias(c) if i == at else F.col(f"whole.c{i}").alias(c) for i, c in enumerate(names)], "n_replaced")

@@ -38,6 +38,21 @@ def test_format_gender_script_and_coreference(spark):
     assert re.match(r"DE\d\d( \d{4}){4} \d\d$", out[9][0]) and re.match(r'token = "[0-9a-f]{40}"$', out[10][0])
 
 
+def test_bare_names_and_one_gender(spark):
+    out = replaced(spark, [
+        "Mr Karl Weber came. Weber said: Karl, Weber's car. WEBER! Berlin", "Dr Anna Maria Schmidt; Schmidt and Maria", "Dr Andrea Lang", "Mrs Andrea Lang", "Weber alone, a@b.com",
+        "Herr Dr Klein met Mrs Lang Mr Klein"])
+    given, last, *rest = re.match(r"Mr ([\w-]+) ([\w-]+) came\. ([\w-]+) said: ([\w-]+), ([\w-]+)'s car\. ([\w-]+)! Berlin$", out[0][0]).groups()
+    assert rest == [last, given, last, last.upper()] and out[0][1] == 5
+    assert last != "Weber" and given != "Karl"
+    a, b, c, d, e = re.match(r"Dr ([\w-]+) ([\w-]+) ([\w-]+); ([\w-]+) and ([\w-]+)$", out[1][0]).groups()
+    assert (d, e) == (c, b) and len({a, b, c}) == 3 and not {a, b, c} & {"Anna", "Maria", "Schmidt"}
+    assert out[2][0].split()[1:] == out[3][0].split()[1:] and out[3][0].split()[1].split("-")[0] in surrogates.GIVEN["latin", "f"]
+    assert out[4][0].startswith("Weber alone, ") and out[4][1] == 1
+    x, y, z = re.match(r"Herr Dr ([\w-]+) met Mrs ([\w-]+) Mr ([\w-]+)$", out[5][0]).groups()
+    assert x == z != y == out[2][0].split()[2]
+
+
 def test_surrogates_depend_on_the_key_only(spark):
     texts = [f"mail u{i}@host.com" for i in range(20)]
     assert replaced(spark, texts) == replaced(spark, texts)

@@ -221,3 +221,12 @@ def test_index_finds_every_fingerprint_within_the_radius():
             for bit in draw.sample(range(64), flips):
                 asked ^= 1 << bit
             assert item in index.near(size, asked)
+
+
+def test_both_ways_to_groups_are_equal(spark):
+    draw = random.Random(2)
+    key = lambda i: i.to_bytes(4, "big")
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(40)]
+    links = spark.createDataFrame([(key(min(p)), key(max(p)), 1.0) for p in pairs if p[0] != p[1]], "a binary, b binary, similarity double").repartition(5)
+    one, many = (sorted((bytes(r.class_key), bytes(r.group)) for r in forest.merged(links, small).collect()) for small in (10**6, 0))
+    assert one == many and len({g for _, g in one}) > 10

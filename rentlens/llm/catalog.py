@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with the SQL of those that SQL can state."""
+"""Registered queries of the operators, with the SQL of those that SQL can state."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import chat, decontaminate, exact_dedup, forest, page_diff, pieces, quality, surrogates, toxicity, url_filter
+from rentlens.llm import (
+    chat, decontaminate, exact_dedup, fill_middle, forest, page_diff, pieces, quality, segment_search, surrogates, toxicity, url_filter,
+    vector_codes,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +133,81 @@ SELECT conv_id, n AS n_turns, chat FROM whole WHERE p NOT IN (SELECT p FROM pref
 """)
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(table(spark, folder, "conversations"))
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_SQUARES = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _round(n: int) -> str:
+    """Assignment of every part to the entries ``e{n}``."""
+    return f"""a{n} AS (
+  SELECT r, p, arg_min(struct_pack(e := e, d := d), d * 64 + e) AS best
+  FROM (SELECT r, x.p, e, CAST({_SQUARES.format(a="x.part", b="y.entry")} AS BIGINT) AS d FROM parts x JOIN e{n} y ON x.p = y.p) GROUP BY r, p
+)"""
+
+
+def _entries(n: int) -> str:
+    """Entries ``e{n + 1}``: floored means of the assigned parts, or as before."""
+    return f"""m{n} AS (
+  SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS entry FROM (
+    SELECT p, e, i, sum(part[i]) AS total, count(*) AS n
+    FROM (SELECT x.p, best.e AS e, part, unnest(range(1, len(part) + 1)) AS i FROM a{n} a JOIN parts x ON a.r = x.r AND a.p = x.p) GROUP BY p, e, i
+  ) GROUP BY p, e
+), e{n + 1} AS (SELECT b.p, b.e, coalesce(m.entry, b.entry) AS entry FROM e{n} b LEFT JOIN m{n} m ON b.p = m.p AND b.e = m.e)"""
+
+
+@query(f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {_FINITE}
+), parts AS (
+  SELECT r, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS part FROM (SELECT r, v, unnest(range(0, 16)) AS p FROM kept)
+), e0 AS (SELECT p, r - 1 AS e, part AS entry FROM parts WHERE r <= 64), {_round(0)}, {_entries(0)}, {_round(1)}, {_entries(1)}, {_round(2)},
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM e2) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+""")
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, folder, "embeddings"))
+
+
+@query(r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM units
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), pieces AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM pieces
+""")
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digests(table(spark, folder, "documents"))
+
+
+@query(f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_FINITE}
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM kept q JOIN kept c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) QUALIFY row_number() OVER w <= 5
+""")
+def op13_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return segment_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -10,9 +10,13 @@ from rentlens.catalog import sql as Q
 from rentlens.operators import context as X
 from rentlens.operators import features as E
 from rentlens.operators import folds as D
+from rentlens.operators import live_context as L
 from rentlens.operators import scoring as S
+from rentlens.operators import sketches as K
+from rentlens.operators.lookup import lookup_join
 from rentlens.operators.places import resolve_district as resolve
 from rentlens.operators.quantiles import quantile_table
+from rentlens.session import new_folder
 from rentlens.sources.shared_tables import table
 
 QUERIES = {}
@@ -133,6 +137,38 @@ def context_overall(spark, sf_dir):
     return B.rounded(X.overall_table(_points(spark, sf_dir)))
 
 
+def _cells(scope: str, key: str, measures: list[str], condition: str = "true") -> list[str]:
+    return [f"SELECT '{scope}' AS scope, {key} AS key, '{m}' AS measure, {m}::DOUBLE AS v FROM priced WHERE {condition}" for m in measures]
+
+
+_ROOM_KEY = "(greatest(least(round_even({c}, 0), 12), {low})::INT)::VARCHAR"
+_LIVE = WITH_CONTEXT + f""", priced AS (SELECT *, {Q.PPS} AS pps FROM market_all), cells AS ({" UNION ALL ".join([
+    *_cells("all", "NULL::VARCHAR", ["rent", "pps", *vocab.STRUCTURAL, "post_month", "post_dayofweek", "post_quarter"]),
+    *_cells("district", "district_key", ["rent"]), *_cells("type", "kind", ["rent", "pps"]),
+    *_cells("type", "kind", list(vocab.STRUCTURAL), "size_sqm IS NOT NULL AND bedrooms IS NOT NULL AND bathrooms IS NOT NULL"),
+    *_cells("bedrooms", _ROOM_KEY.format(c="bedrooms", low=0), ["rent"], "bedrooms IS NOT NULL"),
+    *_cells("bathrooms", _ROOM_KEY.format(c="bathrooms", low=1), ["rent"], "bathrooms IS NOT NULL")])})
+  SELECT scope, key, measure, unnest(CASE WHEN scope = 'all' AND measure = 'pps' THEN [0.1, 0.5, 0.9] ELSE [0.5] END)::DOUBLE AS prob,
+    count(*) AS listings, true AS within FROM cells WHERE v IS NOT NULL GROUP BY scope, key, measure"""
+
+
+@query(_LIVE)
+def refreshed_context(spark, sf_dir):
+    """Context figures merged from stored sketches of older and newer listings: listings behind each, and
+    whether its true rank among the listings between the cuts is within the stated half a percent."""
+    listings, path = B.clean(spark, sf_dir), new_folder(spark, "live")
+    newer = F.col("posted_date") >= F.lit("1996-01-01")
+    L.start(spark, listings.where(~newer), path, "older", accuracy=0.005)
+    L.add(spark, listings.where(newer), path, "newer")
+    live = L.market(spark, path)
+    kept = X.market_rows(listings).where((F.col("rent") >= live.low) & (F.col("rent") < live.high))
+    points = live.points.select("scope", "key", "measure", "prob", "quantile")
+    groups = ["scope", "key", "measure"]
+    judged = K.rank_gaps(L.long_measures(kept), points, groups, "v")
+    counts = L.listing_counts(spark, path).withColumnRenamed("n", "listings")
+    return lookup_join(judged, counts, groups).select(*groups, "prob", "listings", (F.col("gap") <= 0.005).alias("within"))
+
+
 @query("SELECT " + ", ".join(
     f"{v}::DOUBLE AS {k}" for k, v in vocab.CONTEXT_DEFAULTS.items() if k != "dominant_type"
 ) + ", 'House' AS dominant_type FROM (SELECT count(*) AS n FROM orders WHERE o_totalprice < 0) WHERE n = 0")

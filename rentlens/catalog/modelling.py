@@ -244,12 +244,28 @@ def _finish(query):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_new_rows(spark, sf_dir):
     """First event of each user and type."""
-    rows = jobs.new_rows(_source(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "3650 days")
+    rows = jobs.new_rows(_source(spark, sf_dir, "events"), ["user_id", "event_type"])
     path = new_folder(spark, "stream")
     _finish(jobs.write_table(rows.select("user_id", "event_type"), f"{path}/rows", f"{path}/checkpoint"))
     return spark.read.parquet(f"{path}/rows")
 
 
+@query("SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
+def stream_late_copies(spark, sf_dir):
+    """Events in one batch a file; each file but the first begins with all events of the one before, days late."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    path = new_folder(spark, "late")
+    months = [r[0] for r in events.select(F.trunc(F.col("ts").cast("date"), "month").alias("m")).distinct().orderBy("m").collect()]
+    for i, month in enumerate(months):
+        held = F.trunc(F.col("ts").cast("date"), "month").isin(*months[max(i - 1, 0) : i + 1])
+        events.where(held).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    keyed = stream.select("user_id", "event_type", F.col("ts").cast("date").alias("day"))
+    rows = jobs.new_rows(keyed, ["user_id", "event_type", "day"])
+    _finish(jobs.write_table(rows, f"{path}/rows", f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/rows")
+
+
 _PARSED = f"""WITH {Q.CLEAN} SELECT listing_id, property_type, rent_price_usd, size_sqm, bedrooms, bathrooms, furnished FROM parsed"""
 
 
@@ -257,7 +273,7 @@ _PARSED = f"""WITH {Q.CLEAN} SELECT listing_id, property_type, rent_price_usd, s
 def stream_ingest(spark, sf_dir):
     """Raw listings as a stream of orders, new addresses only, parsed row by row."""
     raw = listings_from(_source(spark, sf_dir, "orders"), spark, sf_dir, ["cast(o_orderdate as timestamp) as fetched_at"])
-    rows = jobs.ingest_listings(raw, delay="36500 days")
+    rows = jobs.ingest_listings(raw)
     columns = ["listing_id", "property_type", vocab.TARGET, *vocab.STRUCTURAL, "furnished"]
     path = new_folder(spark, "stream")
     _finish(jobs.write_table(rows.select(*columns), f"{path}/rows", f"{path}/checkpoint"))

@@ -142,7 +142,7 @@ features AS (
   FROM kept JOIN shares ON d = lower(trim(coalesce(district, 'unknown'))))
 """
 
-_PPS = "CASE WHEN size_sqm > 5 AND rent > 0.5 * size_sqm AND rent < 300 * size_sqm THEN rent / size_sqm END"
+PPS = "CASE WHEN size_sqm > 5 AND rent > 0.5 * size_sqm AND rent < 300 * size_sqm THEN rent / size_sqm END"
 CONTEXT = rf"""{CLEAN},
 market_all AS (
   SELECT lower(trim(coalesce(district, ''))) AS district_key, {model_type('property_type')} AS kind,
@@ -150,7 +150,7 @@ market_all AS (
     isodow(posted_date) - 1 AS post_dayofweek, quarter(posted_date) AS post_quarter
   FROM clean WHERE rent_price_usd > 0 AND NOT regexp_matches(lower(title), '\bsale\b|\bsell\b')),
 tails AS (SELECT quantile_cont(rent, 0.01) AS lo, quantile_cont(rent, 0.99) AS hi FROM market_all),
-market AS (SELECT market_all.*, {_PPS} AS pps FROM market_all, tails WHERE rent BETWEEN lo AND hi),
+market AS (SELECT market_all.*, {PPS} AS pps FROM market_all, tails WHERE rent BETWEEN lo AND hi),
 district_ctx AS (
   SELECT district_key, count(*) AS n, count(*) / (SELECT count(*) FROM market) AS freq, median(rent) AS district_price
   FROM market GROUP BY 1),

@@ -8,10 +8,13 @@ from rentlens import vocab
 from rentlens.catalog import shared as B
 from rentlens.catalog import sql as Q
 from rentlens.functions.numeric import round_even
+from rentlens.operators import sketches as K
 from rentlens.operators import stats as S
+from rentlens.operators.ordinals import ordinals, plot_positions
 from rentlens.operators.quantiles import quantile_table
 from rentlens.plans import eda as plans
 from rentlens.plans import marts
+from rentlens.session import stage
 from rentlens.sources.shared_tables import LISTINGS_SQL, listings_raw, listings_repeated, table
 
 QUERIES = {}
@@ -219,6 +222,44 @@ def histogram(spark, sf_dir):
     return B.rounded(S.histogram(B.eda(spark, sf_dir), RENT, 40))
 
 
+@query(WITH_EDA + f"""SELECT listing_id, row_number() OVER (ORDER BY listing_id) - 1 AS ordinal,
+  abs({RENT} - (SELECT avg({RENT}) FROM eda)) / (SELECT stddev_samp({RENT}) FROM eda) > 3 AS outlier FROM eda""")
+def row_ordinal(spark, sf_dir):
+    """Position of each listing in id order, as the chart of outliers plots it."""
+    return plot_positions(B.eda(spark, sf_dir), RENT, ["listing_id"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_discount, l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS ordinal FROM lineitem""")
+def row_ordinal_of_line_items(spark, sf_dir):
+    """Positions by a key of few values first; a third of all rows may share one."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_extendedprice")
+    return ordinals(rows, ["l_discount", F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "ordinal")
+
+
+_GROUPED = """SELECT l_linestatus, l_returnflag, p::DOUBLE AS prob, count(*) AS n, true AS within FROM lineitem, (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]) AS p)
+  GROUP BY ALL"""
+
+
+@query(_GROUPED)
+def quantiles_by_sketch(spark, sf_dir):
+    """Sketched quantiles by group, and whether their true ranks are within the stated half a percent."""
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", "l_extendedprice")
+    keys = ["l_linestatus", "l_returnflag"]
+    found = K.quantiles_by_sketch(rows, keys, [0.01, 0.25, 0.5, 0.75, 0.99], "l_extendedprice", accuracy=0.005)
+    return K.rank_gaps(rows, found, keys, "l_extendedprice").select(*keys, "prob", "n", (F.col("gap") <= 0.005).alias("within"))
+
+
+@query("""SELECT l_linestatus, year, unnest([0.1, 0.5, 0.9])::DOUBLE AS prob, n, unnest(quantile) AS quantile FROM (
+  SELECT l_linestatus, year(l_shipdate) AS year, count(*) AS n, quantile_disc(l_extendedprice, [0.1, 0.5, 0.9]) AS quantile
+  FROM lineitem GROUP BY ALL)""")
+def merged_sketch_quantiles(spark, sf_dir):
+    """Sketches by day and group, merged by year: exact order statistics where a group is within the sketch's size."""
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_shipdate").cast("date").alias("day"), "l_extendedprice")
+    daily = stage(K.sketched(rows, ["l_linestatus", "day"], "l_extendedprice", accuracy=0.0001), "daily-sketches")
+    yearly = K.merged(daily.withColumn("year", F.year("day").cast("long")), ["l_linestatus", "year"])
+    return K.read_quantiles(yearly, [0.1, 0.5, 0.9])
+
+
 @query(WITH_EDA + """, e AS (SELECT min(size_sqm) AS lo, max(size_sqm) AS hi, count(*) AS n,
     stddev_samp(size_sqm) * pow(count(*), -0.2) AS w FROM eda),
   k AS (SELECT size_sqm AS v, count(*) AS k FROM eda GROUP BY 1),

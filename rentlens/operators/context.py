@@ -46,9 +46,10 @@ def nearest_bucket(c: Column, buckets: Sequence[tuple[int, float]], lowest: int)
 
 
 def market_rows(
-    df: DataFrame, kind=T.model_type, token_groups=None, scoped: bool = True, sale_filter: bool = True
+    df: DataFrame, kind=T.model_type, token_groups=None, scoped: bool = True, sale_filter: bool = True,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Listings the context is measured on, before the tails are trimmed."""
+    """Listings the context is measured on, before the tails are trimmed, with the columns ``keep``."""
     df = C.with_defaults(df, {"district": F.lit(None).cast("string"), "title": F.lit(None).cast("string"),
                               "posted_date": F.lit(None).cast("string")})
     df = C.numeric_columns(df, [vocab.TARGET, *vocab.STRUCTURAL]).where(F.col(vocab.TARGET) > 0)
@@ -59,7 +60,7 @@ def market_rows(
     return df.select(
         T.place_key(F.col("district")).alias("district_key"), kind(F.col("property_type")).alias("kind"),
         F.col(vocab.TARGET).alias("rent"), *vocab.STRUCTURAL,
-        *[c.alias(n) for n, c in date_parts(F.col("posted_date")).items()],
+        *[c.alias(n) for n, c in date_parts(F.col("posted_date")).items()], *keep,
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -16,6 +17,7 @@ from rentlens.operators.lookup import fits_broadcast, lookup_join
 from rentlens.session import stage
 
 _MAX_GRAM = 4
+_ROUNDING = 1e-9
 
 
 @F.pandas_udf(DoubleType())
@@ -67,25 +69,46 @@ def _first_key(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("text").agg(F.min_by("district_key", "position").alias("district_key"))
 
 
-def _similar(texts: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
-    """Most similar key of each text at or above ``cutoff``; ties go to the larger key text.
+def _counted_characters(texts: DataFrame, name: str) -> DataFrame:
+    """``name, piece``: every character of a text with the number of its occurrence, so that texts are sets."""
+    characters = texts.select(name, F.explode(_grams(F.col(name), 1)).alias("char")).groupBy(name, "char").agg(F.count("*").alias("n"))
+    numbered = characters.select(name, "char", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    return numbered.select(name, F.concat("char", F.col("k").cast("string")).alias("piece"))
+
+
+def _prefixes(pieces: DataFrame, counts: DataFrame, name: str, cutoff: float) -> DataFrame:
+    """``name, piece, place``: the rarest pieces of each text, as many as it can need to meet a similar one."""
+    size = F.length(name)
+    ranked = lookup_join(pieces, counts, ["piece"]).withColumn(
+        "place", F.row_number().over(W.partitionBy(name).orderBy("texts", "piece")))
+    least = F.ceil(size * (cutoff / (2 - cutoff)) - _ROUNDING)
+    return ranked.where(F.col("place") <= size - least + 1).select(name, "piece", "place")
+
+
+def similar_candidates(texts: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
+    """Distinct pairs ``text, key_text`` that can reach the cutoff, found by prefix filter.
 
-    Texts whose lengths add up to ``n`` and whose ratio reaches ``c`` share ``c n / 2`` characters in
-    at most ``(1 - c) n + 1`` blocks. So they share a character, and a pair of adjacent characters
-    once ``n > 1 / (1.5 c - 1)``. Pairs that share neither are never compared.
+    Texts of ``n`` characters together are similar only if they share ``cutoff * n / 2`` of them. With the
+    pieces of both in one order, rarest first, such texts share a piece among the first ``length - shared + 1``
+    of either, so only these are joined; their places and both lengths are part of the join. Characters that
+    all texts have stand at the end of the order, where no pair is looked up by them. Nothing longer than a
+    character is sure to be shared at the usual cutoff, so texts over a small alphabet still meet many others.
     """
-    short = 1 / (1.5 * cutoff - 1) if cutoff > 2 / 3 else float("inf")
-    pieces = lambda c: F.array_distinct(
-        F.concat(_grams(c, 2), F.when(F.length(c) <= short, _grams(c, 1)).otherwise(F.array().cast("array<string>")))
-    )
-    left = texts.withColumn("piece", F.explode(pieces(F.col("text"))))
-    right = keys.withColumn("piece", F.explode(pieces(F.col("key_text"))))
-    total = F.length("text") + F.length("key_text")
-    near = F.least(F.length("text"), F.length("key_text")) * 2.0 / total >= cutoff
-    pairs = left.join(right, "piece").where(near & ((F.length("piece") == 2) | (total <= short)))
-    pairs = pairs.select("text", "key_text", "district_key").distinct().where(_most_alike(F.col("text"), F.col("key_text")) >= cutoff)
+    left = stage(_counted_characters(texts.select("text"), "text"), "text-pieces")
+    right = stage(_counted_characters(keys.select("key_text").distinct(), "key_text"), "key-pieces")
+    counts = stage(left.select("piece").unionAll(right.select("piece")).groupBy("piece").agg(F.count("*").alias("texts")), "piece-counts")
+    x, y = _prefixes(left, counts, "text", cutoff), _prefixes(right, counts, "key_text", cutoff).withColumnRenamed("place", "key_place")
+    shared = F.ceil((F.length("text") + F.length("key_text")) * (cutoff / 2) - _ROUNDING)
+    inside = (F.col("place") <= F.length("text") - shared + 1) & (F.col("key_place") <= F.length("key_text") - shared + 1)
+    return x.join(y, "piece").where(inside).select("text", "key_text").distinct()
+
+
+def _similar(texts: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
+    """Most similar key of each text at or above ``cutoff``; ties go to the larger key text."""
+    pairs = similar_candidates(texts, keys, cutoff).where(_most_alike(F.col("text"), F.col("key_text")) >= cutoff)
     scored = pairs.withColumn("ratio", similarity("key_text", "text")).where(F.col("ratio") >= cutoff)
-    return scored.groupBy("text").agg(F.max_by("district_key", F.struct("ratio", "key_text")).alias("district_key"))
+    best = scored.groupBy("text").agg(F.max_by("key_text", F.struct("ratio", "key_text")).alias("key_text"))
+    return lookup_join(best, keys.select("key_text", "district_key"), ["key_text"]).select("text", "district_key")
 
 
 def key_texts(districts: DataFrame) -> DataFrame:

@@ -161,3 +161,21 @@ def test_released_stages_leave_nothing(spark):
     with releasing(spark):
         assert stage(stage(spark.range(5), "a"), "b").count() == 5
     assert set(os.listdir(folder)) == before
+
+
+def test_similar_texts_are_looked_up_by_rare_characters(spark):
+    """All texts share a long beginning; only few pairs are compared."""
+    import difflib
+
+    from rentlens.operators import places
+
+    draw = random.Random(8)
+    letters = [chr(c) for c in range(0x1780, 0x17B4)] + [chr(c) for c in range(0xE01, 0xE2F)] + list("bcdfghjklmnpqrstuvwxyz0123456789")
+    names = ["eaeaea oiaeo " + "".join(draw.choices(letters, k=12)) for _ in range(150)]
+    wrong = [n[:-3] + draw.choice(letters) + n[-2:] for n in names]
+    keys = spark.createDataFrame([(n,) for n in names], "key_text string")
+    texts = spark.createDataFrame([(n,) for n in wrong], "text string")
+    found = {tuple(r) for r in places.similar_candidates(texts, keys, 0.8).collect()}
+    alike = {(t, k) for t in wrong for k in names if difflib.SequenceMatcher(None, k, t).ratio() >= 0.8}
+    assert alike <= found and len(alike) >= 150
+    assert len(found) <= 50 * len(alike) < len(names) * len(wrong) / 2

@@ -13,7 +13,9 @@ from rentlens.catalog import sql as Q
 from rentlens.operators import clean as C
 from rentlens.operators import ml as M
 from rentlens.operators import scoring as S
+from rentlens.operators.boosting import HistogramBoosting
 from rentlens.operators.folds import fold_column
+from rentlens.operators.random_trees import ExtraTrees, draws, root_key
 from rentlens.plans.training import split, train_models
 from rentlens.session import new_folder, stage
 from rentlens.sources.shared_tables import listings_from, table
@@ -142,8 +144,8 @@ def actual_vs_line(spark, sf_dir):
 
 @query()
 def compare_linear_models(spark, sf_dir):
-    """The linear models as published, with five folds."""
-    only = ["Linear Regression", "Ridge Regression", "ElasticNet", "Kernel Feature Regression"]
+    """The linear models and the support-vector regression as published, with five folds."""
+    only = ["Linear Regression", "Ridge Regression", "ElasticNet", "Support Vector Regression"]
     return train_models(B.features(spark, sf_dir), only=only).table.drop("fit_seconds")
 
 
@@ -157,6 +159,62 @@ def stored_model(spark, sf_dir):
     return B.rounded(load_model(spark, path, "v1").transform(rows).select("listing_id", "prediction"), 4)
 
 
+_SPLIT_ON = ["size_sqm", "bedrooms", "bathrooms", "total_rooms", "log_size_sqm", "district_freq"]
+_LONG = WITH_FEATURES + ", long AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS j, '{c}' AS feature, {c}::DOUBLE AS v, ln(1 + rent_price_usd) AS y FROM features" for i, c in enumerate(_SPLIT_ON)) + ")"
+
+
+def _assembled(spark, sf_dir):
+    return VectorAssembler(inputCols=_SPLIT_ON, outputCol="features").transform(M.with_label(B.features(spark, sf_dir)))
+
+
+def _first_split(trees, tree):
+    """Feature, threshold, gain and the two leaf values of a tree of one split."""
+    root = trees.roots[tree]
+    below = trees.left[root]
+    return (_SPLIT_ON[trees.feature[root]], float(trees.number[root]), float(trees.gain[root]), float(trees.number[below]), float(trees.number[below + 1]))
+
+
+@query(_LONG + """, kinds AS (SELECT j, count(DISTINCT v) AS n FROM long GROUP BY j),
+  edges AS (
+    SELECT DISTINCT j, v AS edge FROM long JOIN kinds USING (j) WHERE n <= 255
+    UNION SELECT DISTINCT j, unnest(quantile_disc(v, list_transform(range(1, 255), lambda i: i / 255))) FROM long JOIN kinds USING (j) WHERE n > 255 GROUP BY j),
+  pulls AS (SELECT j, feature, v, (SELECT avg(ln(1 + rent_price_usd)) FROM features) - y AS g FROM long),
+  tried AS (
+    SELECT j, feature, edge, sum(CASE WHEN v <= edge THEN 1 ELSE 0 END) AS ln, sum(CASE WHEN v <= edge THEN g ELSE 0 END) AS lg, count(*) AS n, sum(g) AS s
+    FROM pulls JOIN edges USING (j) GROUP BY ALL),
+  scored AS (SELECT *, lg * lg / (ln + 0.5) + (s - lg) * (s - lg) / (n - ln + 0.5) - s * s / (n + 0.5) AS gain FROM tried WHERE ln >= 20 AND n - ln >= 20)
+  SELECT feature, round(edge, 6) AS threshold, round(gain, 4) AS gain, round(-lg / (ln + 0.5), 6) AS left_value, round(-(s - lg) / (n - ln + 0.5), 6) AS right_value
+  FROM scored ORDER BY scored.gain DESC, j, edge LIMIT 1""")
+def boosting_first_split(spark, sf_dir):
+    """First split of the histogram booster over bins of six features, with leaf penalty 0.5."""
+    booster = HistogramBoosting(labelCol=M.LABEL, maxIter=1, maxLeaves=2, l2=0.5, accuracy=0.0002)
+    model = booster.fit(_assembled(spark, sf_dir))
+    return B.rounded(spark.createDataFrame([_first_split(model.trees, 0)], "feature string, threshold double, gain double, left_value double, right_value double")
+                     .withColumn("gain", F.round("gain", 4)))
+
+
+_TREES = 8
+_DRAWN = ", ".join(f"({t}, {j}, {float(u)!r})" for t in range(_TREES) for j, u in enumerate(draws(root_key(42, t), len(_SPLIT_ON))))
+
+
+@query(_LONG + f""", drawn(tree, j, u) AS (VALUES {_DRAWN}),
+  bounds AS (SELECT j, min(v) AS lo, max(v) AS hi FROM long GROUP BY j),
+  placed AS (SELECT tree, j, lo + u * (hi - lo) AS cut FROM drawn JOIN bounds USING (j)),
+  sides AS (
+    SELECT tree, j, feature, cut, sum(CASE WHEN v <= cut THEN 1 ELSE 0 END) AS ln, sum(CASE WHEN v <= cut THEN y ELSE 0 END) AS ls, count(*) AS n, sum(y) AS s
+    FROM long JOIN placed USING (j) GROUP BY ALL),
+  scored AS (SELECT *, ls * ls / ln + (s - ls) * (s - ls) / (n - ln) - s * s / n AS gain FROM sides WHERE ln > 0 AND ln < n)
+  SELECT tree::BIGINT AS tree, feature, round(cut, 6) AS threshold, round(gain, 4) AS gain, round(ls / ln, 6) AS left_value, round((s - ls) / (n - ln), 6) AS right_value
+  FROM scored QUALIFY row_number() OVER (PARTITION BY tree ORDER BY scored.gain DESC, j) = 1""")
+def extra_trees_first_splits(spark, sf_dir):
+    """First splits of extremely randomised trees, each the best of one drawn threshold a feature, over all rows."""
+    model = ExtraTrees(labelCol=M.LABEL, numTrees=_TREES, maxDepth=1, localRows=100).fit(_assembled(spark, sf_dir))
+    rows = [(t, *_first_split(model.trees, t)) for t in range(_TREES)]
+    found = spark.createDataFrame(rows, "tree long, feature string, threshold double, gain double, left_value double, right_value double")
+    return B.rounded(found.withColumn("gain", F.round("gain", 4)))
+
+
 @query()
 def compare_models(spark, sf_dir):
     """All eight regressors on the same split, with small forests: the published sizes take minutes each."""

@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from rentlens import vocab
+from rentlens.operators.boosting import HistogramBoosting
 from rentlens.operators.folds import fold_column
-from rentlens.session import stage
 from rentlens.operators.quantiles import column_quantiles
+from rentlens.operators.random_trees import ExtraTrees
+from rentlens.operators.support_vectors import SupportVectorRegression
+from rentlens.session import stage
 
 LABEL = "log_label"
 LOG_PREDICTION = "log_prediction"
@@ -125,13 +128,10 @@ def regressors(
         "ElasticNet": elastic_net(sigma),
         "Random Forest": RandomForestRegressor(
             numTrees=trees or 400, maxDepth=depth or 30, featureSubsetStrategy="all", seed=seed),
-        "Forest without bootstrap": RandomForestRegressor(
-            numTrees=trees or 500, maxDepth=depth or 30, bootstrap=False, featureSubsetStrategy="0.8", seed=seed),
-        "Kernel Feature Regression": LinearRegression(
-            featuresCol="kernel", loss="huber", epsilon=1.08, regParam=1 / 100, solver="l-bfgs"),
+        "Extra Trees": ExtraTrees(numTrees=trees or 500, maxDepth=depth or 0, seed=seed),
+        "Support Vector Regression": SupportVectorRegression(featuresCol="kernel", c=100.0, epsilon=0.08),
         "Gradient Boosting": GBTRegressor(maxIter=rounds, stepSize=0.1, maxDepth=depth or 3, seed=seed),
-        "Binned Gradient Boosting": GBTRegressor(
-            maxIter=rounds, stepSize=0.1, maxDepth=depth or 5, maxBins=255, minInstancesPerNode=20, seed=seed),
+        "Histogram Gradient Boosting": HistogramBoosting(maxIter=rounds, stepSize=0.1, maxLeaves=31, minInstancesPerNode=20),
     }
 
 

@@ -246,9 +246,10 @@ TUNE_SPACES = {
         "minInstancesPerNode": [1, 2, 4],
         "featureSubsetStrategy": ["sqrt", "log2", "0.8"],
     },
-    "Forest without bootstrap": {
+    "Extra Trees": {
         "numTrees": [400, 600, 800],
-        "maxDepth": [30, 12, 18, 24],
+        "maxDepth": [0, 12, 18, 24],
+        "minSplit": [2, 4, 8],
         "minInstancesPerNode": [1, 2, 4],
         "featureSubsetStrategy": ["sqrt", "log2", "0.8"],
     },
@@ -259,14 +260,16 @@ TUNE_SPACES = {
         "subsamplingRate": [0.7, 0.85, 1.0],
         "minInstancesPerNode": [1, 3, 5],
     },
-    "Binned Gradient Boosting": {
+    "Histogram Gradient Boosting": {
         "stepSize": [0.03, 0.05, 0.08],
-        "maxDepth": [5, 6, 8, 12],
+        "maxDepth": [0, 8, 12],
         "maxIter": [300, 500, 700],
+        "maxLeaves": [31, 63],
+        "l2": [0.0, 0.1, 0.5],
     },
-    "Kernel Feature Regression": {
-        "regParam": [1 / 30, 1 / 60, 1 / 100, 1 / 150],
-        "epsilon": [1.03, 1.05, 1.08, 1.12],
+    "Support Vector Regression": {
+        "c": [30.0, 60.0, 100.0, 150.0],
+        "epsilon": [0.03, 0.05, 0.08, 0.12],
     },
 }
 LOW_FIT = 0.5

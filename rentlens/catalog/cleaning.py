@@ -11,7 +11,7 @@ from rentlens.functions import numeric as N
 from rentlens.functions import text as T
 from rentlens.operators import clean as C
 from rentlens.plans import cleaning as plans
-from rentlens.session import new_folder
+from rentlens.session import new_folder, stage
 from rentlens.sources import pages as P
 from rentlens.sources.csv_files import read_listings_csv as read_csv
 from rentlens.sources.shared_tables import LISTINGS_SQL, listings_raw, listings_repeated, table
@@ -400,6 +400,32 @@ def read_listings_csv(spark, sf_dir):
     return read_csv(spark, [f"{path}-missing", path], ["district", "agent"])
 
 
+@query(RAW + """SELECT listing_id::VARCHAR AS listing_id, property_type || chr(10) || 'in "' || location || '"' AS note, size_sqm FROM raw
+  WHERE listing_id % 7 <> 0 AND property_type IS NOT NULL""")
+def read_malformed_csv(spark, sf_dir):
+    """A file of quoted line breaks, doubled quotes, short rows and rows with too many values, in small byte ranges."""
+    raw = listings_raw(spark, sf_dir).where("property_type is not null")
+    note = F.concat("property_type", F.lit('\nin ""'), "location", F.lit('""'))
+    line = F.concat(F.col("listing_id").cast("string"), F.lit(',"'), note, F.lit('"'))
+    line = F.when(F.col("listing_id") % 7 == 0, F.concat(line, F.lit(",1,2,3"))).when(F.col("size_sqm").isNull(), line).otherwise(F.concat(line, F.lit(","), "size_sqm"))
+    path, ranges = new_folder(spark, "broken"), "spark.sql.files.maxPartitionBytes"
+    lines = raw.select(line.alias("value"), F.lit(1).alias("at")).unionByName(spark.createDataFrame([("listing_id,note,size_sqm", 0)], "value string, at int"))
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    before = spark.conf.get(ranges)
+    spark.conf.set(ranges, "64k")
+    try:
+        return stage(read_csv(spark, path), "broken-rows")
+    finally:
+        spark.conf.set(ranges, before)
+
+
+@query(RAW + """SELECT c AS "column", c IN ('listing_id', 'rent_price_usd', 'size_sqm') AS present, CASE WHEN c <> 'floor' THEN count(*) END AS rows
+  FROM raw, (SELECT unnest(['listing_id', 'rent_price_usd', 'size_sqm', 'floor']) AS c) GROUP BY c""")
+def required_columns(spark, sf_dir):
+    """Which required columns the listings have, and the rows that can be read by them."""
+    return C.column_presence(listings_raw(spark, sf_dir), ["listing_id", "rent_price_usd", "size_sqm", "floor"])
+
+
 _PAGE_RULES = {
     "title": {"tag": "h1"},
     "description": {"tag": "article"},

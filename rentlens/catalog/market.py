@@ -360,6 +360,27 @@ def size_curve(spark, sf_dir):
     return rows.select("request_id", F.col("size_sqm").alias("size"), F.bround("price", 2).alias("price"))
 
 
+@query(f"""WITH {Q.REQUESTS}, {Q.DENSE}, {_CURVE}, {Q.scored('curve', 'v.request_id')}
+  SELECT request_id, '[' || string_agg('{{"size":' || size_sqm || ',"price":' || round_even(price, 2) || '}}', ',' ORDER BY size_sqm) || ']' AS size_curve
+  FROM scored GROUP BY request_id""")
+def curve_records(spark, sf_dir):
+    """The price curve of each request as JSON records."""
+    ctx = B.context(spark, sf_dir)
+    rows = S.score_requests(B.market_requests(spark, sf_dir), B.stand_in, ctx, impacts=False)
+    return S.to_records(S.respond(rows, ctx, "stand-in"), "size_curve").select("request_id", "size_curve")
+
+
+@query(WITH_REQUESTS + f"""SELECT request_id, place, top.location, top.price FROM requests, (
+  SELECT row_number() OVER (ORDER BY p DESC, location) - 1 AS place, location, price FROM (
+    SELECT {Q.title('district_key')} AS location, round_even(district_price, 2) AS price, district_price AS p
+    FROM (SELECT * FROM district_ctx ORDER BY district_price DESC, district_key LIMIT 6) WHERE district_key <> '') LIMIT 4) AS top""")
+def response_regions(spark, sf_dir):
+    """The four dearest regions in each response."""
+    ctx = B.context(spark, sf_dir)
+    rows = S.respond(S.score_requests(B.market_requests(spark, sf_dir), B.stand_in, ctx, impacts=False, curve=False), ctx, "stand-in")
+    return rows.select("request_id", F.posexplode("regions").alias("place", "r")).select("request_id", F.col("place").cast("long").alias("place"), "r.location", "r.price")
+
+
 @query()
 def score_requests(spark, sf_dir):
     """Full response: price, band, note, impacts, curve and regions, records as JSON."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rentlens import vocab
 from rentlens.catalog import shared as B
 from rentlens.catalog import sql as Q
+from rentlens.catalog.market import ORACLES as MARKET_SQL
 from rentlens.operators import clean as C
 from rentlens.operators import ml as M
 from rentlens.operators import scoring as S
@@ -25,6 +26,7 @@ from rentlens.streaming import jobs
 QUERIES = {}
 ORACLES = {}
 
+RESPONSE = MARKET_SQL["respond"]
 SMALL = {"trees": 5, "depth": 4, "rounds": 5}
 WITH_FEATURES = f"WITH {Q.FEATURES} "
 NAMES = vocab.MODEL_FEATURES
@@ -221,6 +223,37 @@ def compare_models(spark, sf_dir):
     return train_models(B.features(spark, sf_dir), folds=1, **SMALL).table.drop("fit_seconds")
 
 
+_FACTORS = {"as it is": 1.0, "ten over": 1.1, "half": 0.5}
+
+
+@query(WITH_FEATURES + """, p AS (SELECT name AS model, rent_price_usd AS y, factor * (8 * size_sqm + 150 * bedrooms + 120 * bathrooms) AS prediction
+    FROM features, (VALUES """ + ", ".join(f"('{n}', {f}::DOUBLE)" for n, f in _FACTORS.items()) + """) AS v(name, factor)),
+  m AS (SELECT model, avg(abs(y - prediction)) AS mae, sqrt(avg(pow(y - prediction, 2))) AS rmse, 1 - sum(pow(y - prediction, 2)) / (var_pop(y) * count(*)) AS r2,
+    100 * avg(abs(y - prediction) / abs(y)) AS mape FROM p GROUP BY model)
+  SELECT model, round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(r2, 4) AS r2, round(mape, 2) AS mape,
+    row_number() OVER (ORDER BY m.r2 DESC, m.rmse) = 1 AS is_best, m.r2 < 0.5 AS low_fit FROM m""")
+def rank_stand_ins(spark, sf_dir):
+    """Comparison table of three fixed formulas: rounded metrics, the best of them, low fits."""
+    rows = B.stand_in(B.features(spark, sf_dir))
+    scored = [M.regression_metrics(rows.withColumn("prediction", F.col("raw_price") * f)).select(F.lit(n).alias("model"), "*") for n, f in _FACTORS.items()]
+    return M.rank_models(scored)
+
+
+@query(WITH_FEATURES + """, f AS (SELECT listing_id, size_sqm, total_rooms, rent_price_usd AS t, ln(1 + rent_price_usd) AS y,
+    ntile(5) OVER (ORDER BY md5(listing_id || '42')) - 1 AS fold FROM features),
+  long AS (SELECT 'size' AS setup, size_sqm AS x, t, y, fold FROM f UNION ALL SELECT 'rooms', total_rooms, t, y, fold FROM f),
+  fits AS (SELECT setup, k, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM long, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE fold <> k GROUP BY ALL),
+  p AS (SELECT setup, fold, t, exp(i + s * x) - 1 AS prediction FROM long JOIN fits USING (setup) WHERE fold = k),
+  m AS (SELECT setup, fold, avg(abs(t - prediction)) AS mae, sqrt(avg(pow(t - prediction, 2))) AS rmse, 1 - sum(pow(t - prediction, 2)) / (var_pop(t) * count(*)) AS r2
+    FROM p GROUP BY ALL)
+  SELECT setup, 'Linear' AS model, round(avg(r2), 4) AS cv_r2_mean, round(stddev_pop(r2), 4) AS cv_r2_std, round(avg(rmse), 4) AS cv_rmse_mean, round(avg(mae), 4) AS cv_mae_mean
+  FROM m GROUP BY setup""")
+def compare_line_feature_sets(spark, sf_dir):
+    """Two feature sets by the same five shuffled folds of a line."""
+    sets = {"size": ["size_sqm"], "rooms": ["total_rooms"]}
+    return B.rounded(M.compare_feature_sets(B.features(spark, sf_dir), sets, {"Linear": LinearRegression()}, k=5), 4)
+
+
 @query()
 def forced_best_model(spark, sf_dir):
     only = ["Linear Regression", "Random Forest"]
@@ -338,6 +371,12 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{path}/rows")
 
 
+@query(RESPONSE)
+def stream_response(spark, sf_dir):
+    """The streamed scores' prices, bands, notes and market comparison."""
+    return stream_scores(spark, sf_dir).drop("impacts", "size_curve", "regions")
+
+
 @query()
 def stream_scores(spark, sf_dir):
     """Requests as a stream, scored in batches with the stand-in formula."""

@@ -22,6 +22,13 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def column_presence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column``, ``present`` and the table's ``rows`` (null where the column is absent) of each required column."""
+    said = [F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present")) for c in columns]
+    rows = df.agg(F.count("*").alias("n")).select("n", F.inline(F.array(*said)))
+    return rows.select("column", "present", F.when(F.col("present"), F.col("n")).alias("rows"))
+
+
 def with_defaults(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
     """Add the columns that are absent."""
     return df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})

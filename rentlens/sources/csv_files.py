@@ -8,9 +8,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from rentlens.operators.lookup import lookup_join
+from rentlens.sources.csv_ranges import csv_records
+from rentlens.session import stage
 
 # --- fixed values: characters of Windows-1252 for the bytes 80 to 9F; the other five are undefined ---
 CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
@@ -36,26 +37,13 @@ def _utf8(c: Column) -> Column:
     return F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
 
 
-def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files of a path by their header. Only the first line of each file is read."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    system = target.getFileSystem(conf)
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+def _kinds(records: DataFrame) -> dict[tuple[str, ...], list[str]]:
+    """Distinct headers of the files by their column names."""
     out: dict[tuple[str, ...], list[str]] = {}
-    for status in system.listStatus(target):
-        file = status.getPath()
-        if status.isDirectory() or file.getName()[0] in "._":
-            continue
-        stream, codec = system.open(file), codecs.getCodec(file)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "ISO-8859-1"))
-        line = reader.readLine()
-        reader.close()
-        if line:
-            decoded = line.encode("latin-1").decode("utf-8", errors="replace").lstrip("\ufeff")
-            names = tuple(n.strip() for n in next(csv.reader([decoded])))
-            out.setdefault(names, []).append(file.toString())
+    for row in sorted(records.where("first").select("record").distinct().collect()):
+        decoded = row["record"].encode("latin-1").decode("utf-8", errors="replace").lstrip("\ufeff")
+        names = tuple(n.strip() for n in next(csv.reader([decoded])))
+        out.setdefault(names, []).append(row["record"])
     return out
 
 
@@ -65,26 +53,31 @@ def read_listings_csv(
     """All-string table of the first existing path, a file or a folder of files.
 
     Each file is read by its own header; files with other columns or another order are united by name. Quoted
-    values may hold line breaks, so a file is one task: large tables should come as many files.
+    values may hold line breaks; large files are read by byte ranges all the same (``csv_ranges``).
 
     Each file is taken as UTF-8, else Windows-1252, else ISO-8859-1, whichever its bytes allow first.
-    The bytes are read once, as ISO-8859-1, which loses nothing; one aggregate per file finds what the
-    file allows and the text is then decoded by column expressions. Rows that are too long are
-    skipped, short rows are filled with nulls. Missing ``columns`` are added as nulls.
+    Records are put together once and stored with one character a byte, which loses nothing; one aggregate per
+    file finds what the file allows and the text is then decoded by column expressions. Rows that are too
+    long are skipped, short rows are filled with nulls. Missing ``columns`` are added as nulls.
     """
     path = first_existing(spark, [paths] if isinstance(paths, str) else paths)
-    parts = [_read_group(spark, list(names), files) for names, files in _headers(spark, path).items()]
-    if not parts:
+    records = stage(csv_records(spark, [path]), "csv-records")
+    kinds = _kinds(records)
+    if not kinds:
         raise ValueError(f"no header in {path}")
+    rows = records.where("not first")
+    if len(kinds) > 1:
+        rows = lookup_join(rows, records.where("first").select("file", F.col("record").alias("header")), ["file"])
+    parts = [_read_kind(rows.where(F.col("header").isin(heads)) if len(kinds) > 1 else rows, list(names)) for names, heads in kinds.items()]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     absent = [c for c in columns or [] if c not in out.columns]
     return out.withColumns({c: F.lit(None).cast("string") for c in absent})
 
 
-def _read_group(spark: SparkSession, names: list[str], files: list[str]) -> DataFrame:
-    schema = StructType([StructField(n, StringType()) for n in [*names, "too_long"]])
-    raw = spark.read.schema(schema).csv(files, header=True, encoding="ISO-8859-1", quote='"', escape='"', multiLine=True, enforceSchema=True)
-    raw = raw.withColumn("file", F.input_file_name())
+def _read_kind(records: DataFrame, names: list[str]) -> DataFrame:
+    schema = ", ".join(f"`{n}` string" for n in [*names, "too_long"])
+    parsed = F.from_csv("record", schema, {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    raw = records.select("file", parsed.alias("r")).select("file", "r.*")
 
     text = F.concat_ws(" ", *[F.col(f"`{n}`") for n in [*names, "too_long"]])
     allowed = raw.select("file", text.alias("text")).groupBy("file").agg(

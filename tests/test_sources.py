@@ -103,3 +103,74 @@ def test_save_table_may_read_its_own_target(spark, tmp_path):
 
 def test_vocabularies():
     assert len(vocab.MODEL_FEATURES) == 33 and len(vocab.MODEL_TYPES) == 11 and len(vocab.BAND_LABELS) == 10
+
+
+def _csv_text(draw, rows):
+    """CSV text and the records it holds."""
+    lines, records = ["a,b,c"], []
+    for i in range(rows):
+        value = "".join(draw.choices(["x", "\n", '"', ",", "é", " ", "\r\n", "long " * 40], k=draw.randint(0, 6)))
+        cells = [str(i), value, draw.choice(["", "z", 'in"ner', "q"])]
+        written = [c if j != 1 else '"' + c.replace('"', '""') + '"' for j, c in enumerate(cells)]
+        lines.append(",".join(written) + draw.choice(["", "\r"]))
+        records.append(lines[-1].rstrip("\r"))
+        if draw.random() < 0.1:
+            lines.append(draw.choice(["", "\r"]))
+    return "\n".join(lines) + draw.choice(["", "\n"]), records
+
+
+@pytest.mark.parametrize("size", ["97b", "1k", "1m"])
+def test_records_of_byte_ranges_equal_the_whole_file(spark, tmp_path, size):
+    import random
+
+    from rentlens.sources.csv_ranges import csv_records
+
+    draw = random.Random(size)
+    expected = []
+    for name in "pq":
+        text, records = _csv_text(draw, 300)
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+        expected += records
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, size)
+    try:
+        rows = csv_records(spark, [str(tmp_path)])
+        assert size == "1m" or rows.rdd.getNumPartitions() > 20
+        found = rows.collect()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert sorted(r.record.encode("latin-1").decode() for r in found if not r.first) == sorted(expected)
+    assert [r.record for r in found if r.first] == ["a,b,c"] * 2
+
+
+def test_values_of_byte_ranges_equal_the_built_in_reader(spark, tmp_path):
+    import random
+
+    text, _ = _csv_text(random.Random(5), 400)
+    text = text.replace("\r", "")  # the built-in reader keeps them at the end of a record
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    whole = spark.read.csv(str(tmp_path / "a.csv"), header=True, quote='"', escape='"', multiLine=True).collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = read_listings_csv(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(str, rows)) == sorted(map(str, whole))
+
+
+def test_files_that_end_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"open\nnever closed\n')
+    (tmp_path / "b.csv").write_text('a,b\n2,x"y"z\n3,"v"w,4\n')
+    rows = read_listings_csv(spark, str(tmp_path)).collect()
+    assert {r.a for r in rows} >= {"2"} and len(rows) == 2
+
+
+def test_column_presence(spark):
+    from rentlens.operators.clean import column_presence
+
+    rows = column_presence(spark.range(3), ["id", "x"]).collect()
+    assert sorted(map(tuple, rows)) == [("id", True, 3), ("x", False, None)]

@@ -1,8 +1,10 @@
 """Word and shingle hashes of Arrow text batches, computed on the UTF-8 bytes with numpy.
 
-A word is a longest run of ASCII letters, digits, ``_`` and bytes over 127. Work goes in segments of
-about a megabyte that end outside words, so that memory follows the segment and not the batch; a single
-word longer than that is cut into several.
+A word is a longest run of ASCII letters, digits, ``_`` and bytes over 127; in scripts written without spaces
+(Han, kana, Thai, Lao, Burmese, Khmer) each character is a word. A run longer than ``LONGEST`` bytes is cut into
+words of that many, counted from its own beginning, so a text has the same words whatever stands beside it.
+Work goes in segments of at most a megabyte that begin and end between words, so that memory follows the
+segment and not the batch.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BATCH_ROWS = 1000
-SEGMENT = 1 << 20
+LONGEST = 1 << 16
+SEGMENT = 16 * LONGEST
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD_BYTE = np.array([b > 127 or chr(b).isalnum() or b == 95 for b in range(256)])
@@ -80,16 +83,56 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _segments(size: int, is_word: np.ndarray) -> Iterator[tuple[int, int]]:
-    at = 0
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Where a character of a script without spaces begins; each of them has three bytes in UTF-8."""
+    begins = (data >= 0xE3) & (data <= 0xE9)  # Han and kana
+    for lead, ranges in ((0xE0, ((0xB8, 0xBB),)), (0xE1, ((0x80, 0x82), (0x9E, 0x9F)))):  # Thai and Lao; Burmese and Khmer
+        at = np.flatnonzero(data[:-1] == lead)
+        for low, high in ranges if len(at) else ():
+            begins[at[(data[at + 1] >= low) & (data[at + 1] <= high)]] = True
+    return begins
+
+
+def _edges(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes that begin between two words; texts begin at ``cuts``. Long runs are whole."""
+    inside = _WORD_BYTE[data]
+    begins, ends = inside.copy(), np.zeros(len(data) + 1, bool)
+    begins[1:] &= ~inside[:-1]
+    ends[1:-1] = inside[:-1] & ~inside[1:]
+    ends[-1] = len(data) > 0 and inside[-1]
+    edges = [cuts]
+    if len(data) and data.max() >= 0xE0:
+        alone = np.flatnonzero(_unspaced(data))
+        edges += [alone, alone + 3]
+    for edge in edges:
+        at = edge[(edge > 0) & (edge < len(data))]
+        at = at[inside[at] & inside[at - 1]]
+        begins[at] = True
+        ends[at] = True
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``SEGMENT`` bytes: whole texts, or parts of one text that is longer."""
+    at, size = 0, len(data)
     while at < size:
-        end = min(at + SEGMENT, size)
-        if end < size and is_word[end] and is_word[end - 1]:
-            gap = np.flatnonzero(~is_word[max(at, end - 65536) : end])
-            if len(gap):
-                end = max(at, end - 65536) + int(gap[-1]) + 1
-        yield at, end
-        at = end
+        end = int(offsets[np.searchsorted(offsets, at + SEGMENT, side="right") - 1])
+        if end > at:  # whole texts
+            yield at, end
+            at = end
+            continue
+        stop = int(offsets[np.searchsorted(offsets, at, side="right")])
+        while stop - at > SEGMENT:
+            end = at + SEGMENT
+            begins, _ = _edges(data[at : end + 3], np.zeros(0, np.int64))
+            last = at + int(begins[np.searchsorted(begins, SEGMENT, side="right") - 1]) if len(begins) else at
+            covered = _WORD_BYTE[data[end - 1]] and _WORD_BYTE[data[end]]
+            if covered and last > at:  # a word crosses the end: it goes to the next segment, unless it fills this one
+                end = last
+            yield at, end
+            at = end
+        yield at, stop
+        at = stop
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -98,20 +141,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]
     A word that is not longer than the asked length has 0 there.
     """
     up, down = _tables()
-    is_word = _WORD_BYTE[data]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
     hashes, owners, heads = [], [], [[] for _ in prefixes]
-    for at, end in _segments(len(data), is_word):
-        inside = is_word[at:end]
-        cut = firsts[np.searchsorted(firsts, at) : np.searchsorted(firsts, end)] - at
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        begins[cut] = inside[cut]
-        ends[:-1] &= ~inside[1:]
-        ends[cut[cut > 0] - 1] = inside[cut[cut > 0] - 1]
-        s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    for at, end in _segments(data, offsets):
+        s, e = _edges(data[at:end], firsts[np.searchsorted(firsts, at) : np.searchsorted(firsts, end)] - at)
         if not len(s):
             continue
+        if (e - s).max() > LONGEST:
+            pieces = -(-(e - s) // LONGEST)
+            s, stop = np.repeat(s, pieces), np.repeat(e, pieces)
+            s = s + LONGEST * (np.arange(len(s)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            e = np.minimum(s + LONGEST, stop)
         total = np.zeros(end - at + 1, np.uint64)
         np.cumsum((data[at:end].astype(np.uint64) + np.uint64(1)) * up[: end - at], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s]))

@@ -16,7 +16,6 @@ is deleted. Repeated rows are reported each.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from os.path import commonprefix
@@ -32,7 +31,7 @@ from rentlens.llm.words import bounded_batches
 from rentlens.session import stage
 
 # --- fixed values: HTML elements by what they do to the text ---
-SILENT = frozenset("script style noscript template iframe svg canvas object select button textarea form nav aside footer dialog head math audio video".split())
+SILENT = frozenset("script style noscript template iframe svg canvas object select button textarea form nav aside footer dialog head audio video".split())
 BLOCKS = frozenset(
     "address article blockquote body head caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html legend li main ol "
     "nav aside footer form dialog option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -44,9 +43,13 @@ HARD = 2
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]),
           "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|social|"
-    r"comments?|disqus|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|related|recommended|widget|skip)(?:$|[\s_-])", re.I)
+# class names and ids of parts that are no article; a layout's "has-sidebar" is none, nor a title's "entry-header"
+_PART = r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:{})(?:$|[\s_-])"
+NAMES = re.compile(_PART.format(
+    "ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|social|"
+    "comments?|disqus|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|related|recommended|widget|skip"), re.I)
+HEADS = re.compile(_PART.format("header|masthead"), re.I)
+TEASERS = re.compile(_PART.format("ads?|adverts?|advertisement|promo|sponsor(?:ed)?|comments?|disqus|related|recommended"), re.I)
 _BLANK = re.compile(r"\s+")
 _MARKED = re.compile(r"<!\[[^>]*>")  # browsers end such a section at the first >
 
@@ -90,7 +93,10 @@ class _Lines(HTMLParser):
             return
         silence, own = self._state()
         held = dict(attrs)
-        named = tag not in ("html", "body", "main") and any(NAMES.search(held.get(k) or "") for k in ("class", "id"))
+        words = [held[k] for k in ("class", "id") if held.get(k)]
+        # an article is hidden only as a comment or a pointer to others; inside it, a header is its own
+        kinds = () if tag in ("html", "body", "main") else (TEASERS,) if tag == "article" else (NAMES,) if own else (NAMES, HEADS)
+        named = any(kind.search(word) for kind in kinds for word in words)
         if named or "hidden" in held or held.get("role") in ROLES or (tag in SILENT and tag not in WHOLE) or (tag == "header" and not own):
             silence = HARD
         elif tag in OWN:
@@ -143,27 +149,42 @@ def page_lines(html: str | None) -> tuple[list[str], list[bool]]:
 
 
 def shared(lines: list[int], other: list[int]) -> list[bool]:
-    """Which of ``lines`` are in a longest common subsequence with ``other``."""
-    places: dict[int, list[int]] = {}
-    for j in range(len(other) - 1, -1, -1):
-        places.setdefault(other[j], []).append(j)
-    ends: list[int] = []
-    chain: list[tuple[int, int]] = []  # own place, link before
-    top: list[int] = []
+    """Which of ``lines`` are in a longest common subsequence with ``other``; negative ones match nothing.
+
+    One whole number holds a row of the table, a bit for each line of ``other``: a clear bit stands for a step up. Rows are
+    kept at the beginnings of blocks and made again block by block on the way back, so memory is the root
+    of the table.
+    """
+    places: dict[int, int] = {}
+    for j, line in enumerate(other):
+        if line >= 0:
+            places[line] = places.get(line, 0) | 1 << j
+    every = (1 << len(other)) - 1
+    block = max(int(len(lines) ** 0.5), 1)
+
+    def row_after(row: int, line: int) -> int:
+        common = row & places.get(line, 0)
+        return ((row + common) | (row - common)) & every
+
+    kept, row = [], every
     for i, line in enumerate(lines):
-        for j in places.get(line, ()):
-            k = bisect_left(ends, j)
-            chain.append((i, top[k - 1] if k else -1))
-            if k == len(ends):
-                ends.append(j)
-                top.append(len(chain) - 1)
-            else:
-                ends[k], top[k] = j, len(chain) - 1
-    out = [False] * len(lines)
-    at = top[-1] if top else -1
-    while at >= 0:
-        out[chain[at][0]] = True
-        at = chain[at][1]
+        if i % block == 0:
+            kept.append(row)
+        row = row_after(row, line)
+    out, column = [False] * len(lines), len(other)
+    for begin in range((len(kept) - 1) * block, -1, -block):
+        rows = [kept[begin // block]]
+        for line in lines[begin : begin + block]:
+            rows.append(row_after(rows[-1], line))
+        for i in range(len(rows) - 2, -1, -1):
+            # the last step up at or before the column; without one nothing is left to match
+            clear = ~rows[i + 1] & ((1 << column) - 1)
+            if not clear:
+                return out
+            column = clear.bit_length()
+            if rows[i] >> (column - 1) & 1:  # the step is new in this row: its line matches there
+                out[begin + i] = True
+                column -= 1
     return out
 
 

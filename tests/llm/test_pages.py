@@ -63,3 +63,24 @@ def test_neighbours_cross_task_borders(spark):
     near = {r.row: r.near for r in page_diff.neighbours(spark.createDataFrame(rows, "host string, path string, row long").repartition(3)).collect()}
     assert len(near) == 600
     assert all(abs(a - b) == 1 and a // 200 == b // 200 for a, b in near.items())
+
+
+def test_class_names_do_not_hide_an_article_or_its_title():
+    lines = lambda html: page_diff.page_lines(html)[0]
+    assert lines('<article class="widget"><p>a story</p></article>') == ["a story"]
+    assert lines('<div class="content has-sidebar"><article><p>a story</p></article></div>') == ["a story"]
+    assert lines('<article><h1 class="entry-header">title</h1><div class="header">by line</div><p>x<math>y</math></p></article>') == ["title", "by line", "xy"]
+    assert lines('<div class="site-header">brand</div><div class="sidebar">links</div><p>story</p>') == ["story"]
+    assert lines('<main><p>story</p><article class="comment">me too</article><div class="related"><article>other</article></div></main>') == ["story"]
+
+
+def test_many_equal_lines_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert all(page_diff.shared([7] * 20_000, [7] * 20_000))
+    assert sum(page_diff.shared([7, 8] * 5_000, [8, 7] * 5_000)) == 9_999
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert page_diff.shared([-1, -1, 3], [-1, 3, -1]) == [False, False, True]

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rentlens.operators.clean import evaluate_once
 from rentlens.session import stage
 
 RELAX = 6
@@ -47,10 +48,12 @@ SURNAMES = {
 
 # --- fixed values: patterns of entities, tried in this order at each place ---
 TITLES = "|".join(sorted(FEMALE + MALE + ANY, key=len, reverse=True))
-_WORD = r"\p{Lu}(?=[\p{L}'’-])\p{L}*(?:['’-](?!s(?!\p{L}))\p{L}+)*"
+# repeated groups are possessive or bounded: the matcher of the JVM recurses once for each turn of any other
+_WORD = r"\p{Lu}(?=[\p{L}'’-])\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 BARE = rf"(?<![\p{{L}}\p{{N}}]){_WORD}"
-NAME = rf"(?<![\p{{L}}])(?:{TITLES})\b\.?(?:\s(?!(?:{TITLES})\b){_WORD})+"
-MAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+NAME = rf"(?<![\p{{L}}])(?:{TITLES})\b\.?(?:\s(?!(?:{TITLES})\b){_WORD})++"
+# an address begins where its run of characters does, and a domain has at most as many labels as the net allows
+MAIL = r"(?<![\p{L}\p{N}][._%+-]{0,8})[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){0,126}\.\p{L}{2,}"
 SECRET = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[A-F]*[0-9])[0-9A-F]{32,128})(?![\p{L}\p{N}])"
 BANK = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 ADDRESS = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"
@@ -87,18 +90,24 @@ def _script(name: Column) -> Column:
     return F.when(F.regexp_like(name, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.regexp_like(name, F.lit(r"\p{IsGreek}")), "greek").otherwise("latin")
 
 
-def entities(mention: Column) -> Column:
-    """Array of (kind, canonical) that a mention is made of: given names and surname, or one."""
-    what = kind(mention)
-    parts = F.split(_name(mention), r"\s")
+def entities(mentions: DataFrame) -> DataFrame:
+    """``mention``, ``kind`` and ``parts`` of distinct mentions: what each is made of, an array of (kind, canonical).
+
+    What the parts of a name share is a column before they are made, since a lambda works it out again for each.
+    """
+    mention = F.col("mention")
     gender = F.when(_title(mention).isin(FEMALE), "f").when(_title(mention).isin(MALE), "m").otherwise("n")
+    split = evaluate_once(mentions.select("mention"), {"kind": kind(mention), "words": F.split(_name(mention), r"\s"), "gender": gender})
+    split = evaluate_once(split, {"script": _script(F.col("words")[0])})
+    what, words = F.col("kind"), F.col("words")
     one = lambda k, c: F.struct(k.alias("kind"), c.alias("canonical"))
-    surname = one(F.concat(F.lit("surname_"), _script(parts[0])), F.lower(F.element_at(parts, -1)))
-    given = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: one(F.concat(F.lit("given_"), gender, F.lit("_"), _script(parts[0])), F.lower(p)))
+    surname = one(F.concat(F.lit("surname_"), F.col("script")), F.lower(F.element_at(words, -1)))
+    of_given = F.concat(F.lit("given_"), F.col("gender"), F.lit("_"), F.col("script"))
+    given = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda p: one(of_given, F.lower(p)))
     digits = F.regexp_replace(mention, "[^0-9]", "")
     plain = F.when(what.isin("card", "social"), digits).when(what == "phone", F.substring(digits, -10, 10)).when(what == "bank", F.replace(mention, F.lit(" "), F.lit("")))
-    return F.when(what == "name", F.concat(given, F.array(surname))).otherwise(
-        F.array(one(what, plain.otherwise(F.lower(mention)))))
+    parts = F.when(what == "name", F.concat(given, F.array(surname))).otherwise(F.array(one(what, plain.otherwise(F.lower(mention)))))
+    return split.select("mention", "kind", parts.alias("parts"))
 
 
 def _draw(digest: Column, i: Column) -> Column:
@@ -140,17 +149,22 @@ def _from(pool: list[str], byte: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, pool)), byte % len(pool) + 1)
 
 
-def surrogate(what: Column, canonical: Column, attempt: Column, key: str) -> Column:
-    """Replacement of an entity for an attempt, in canonical spelling."""
-    digest = _digest(key, what, canonical, attempt.cast("string"))
+def _site(canonical: Column) -> Column:
+    """What an address has between the @ and its last dot."""
+    return F.regexp_extract(F.substring_index(canonical, "@", -1), r"^(.*)\.[^.]*$", 1)
+
+
+def surrogate(what: Column, canonical: Column, attempt: Column) -> Column:
+    """Replacement of an entity for an attempt, in canonical spelling, by the columns ``digest`` and ``site_digest``."""
+    digest = F.col("digest")
     drawn = lambda i: _draw(digest, F.lit(i))
     longer = F.when(attempt >= RELAX, F.concat_ws("", *[(drawn(40 + i) % 10).cast("string") for i in range(4)], attempt.cast("string"))).otherwise("")
     hexes = [("[0-9a-f]", "0123456789abcdef")]
     card = F.concat(F.substring(canonical, 1, 1), _letters(F.expr("substring(canonical, 2, length(canonical) - 2)"), digest))
     check = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: luhn(F.concat(card, d.cast("string"))) == luhn(canonical)), 1)
     local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
-    site, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.substring_index(domain, ".", -1)
-    mail = F.concat(_letters(local, digest), longer, F.lit("@"), _letters(site, _digest(key, F.lit("site"), site)), F.lit("."), top)
+    site, top = _site(canonical), F.substring_index(domain, ".", -1)
+    mail = F.concat(_letters(local, digest), longer, F.lit("@"), _letters(site, F.col("site_digest")), F.lit("."), top)
     ip = F.concat_ws(".", *[(drawn(i) % 254 + 1).cast("string") for i in range(4)])
     out = F.when(what == "card", F.concat(card, check.cast("string"), longer)).when(what == "mail", mail).when(what == "address", F.concat(ip, longer))
     out = out.when(what == "bank", F.concat(F.substring(canonical, 1, 2), _letters(F.expr("substring(canonical, 3, length(canonical))"), digest), longer))
@@ -172,8 +186,9 @@ def distinct_surrogates(found: DataFrame, key: str) -> DataFrame:
     known = stage(found.select("kind", "canonical").distinct(), "pii-entities")
     settled, waiting, attempt = None, known, 0
     while True:
-        tried = waiting.withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key))
-        tried = stage(tried.withColumn("spelt", F.lower("surrogate")), "pii-tried")
+        seen = {"digest": _digest(key, F.col("kind"), F.col("canonical"), F.lit(str(attempt))), "site_digest": _digest(key, F.lit("site"), _site(F.col("canonical")))}
+        tried = evaluate_once(waiting, seen).withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt)))
+        tried = stage(tried.drop(*seen).withColumn("spelt", F.lower("surrogate")), "pii-tried")
         first = tried.groupBy("kind", "spelt").agg(F.min("canonical").alias("canonical"))
         taken = known.select("kind", F.col("canonical").alias("spelt"))
         if settled is not None:
@@ -242,7 +257,7 @@ def replace_entities(documents: DataFrame, key: str, text: str = "text") -> Data
     split = stage(_with_bare_words(split), "pii-words")
     every = split.select("row", F.posexplode("mentions").alias("at", "said")).select("row", "at", "said.*")
     said, bare = every.where("not bare").drop("bare"), every.where("bare").drop("bare")
-    distinct = stage(said.groupBy("mention").agg(F.count("*").alias("n")).select("mention", kind(F.col("mention")).alias("kind"), entities(F.col("mention")).alias("parts")), "pii-mentions")
+    distinct = stage(entities(said.groupBy("mention").agg(F.count("*").alias("n"))), "pii-mentions")
     parts = distinct.select("mention", F.col("kind").alias("what"), F.posexplode("parts").alias("part", "entity")).select("mention", "what", "part", "entity.kind", "entity.canonical")
     parts = stage(_one_gender(parts), "pii-parts")
     drawn = distinct_surrogates(parts, key)

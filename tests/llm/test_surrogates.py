@@ -79,3 +79,13 @@ def test_long_repeated_and_no_rows(spark):
 def test_column_functions_only(spark):
     plan = surrogates.replace_entities(spark.createDataFrame([(1, "a@b.com", "x", "y")], SHAPE), "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|ArrowEval|NestedLoop|Cartesian", plan)
+
+
+def test_very_long_names_addresses_and_domains(spark):
+    names = "Mr " + " ".join(f"N{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(20_000))
+    texts = [names, "a." * 250_000 + "b@site.com tail", "x" * 1_000_000 + "@site.com", "me@" + "a." * 100 + "com", "me@" + "a." * 50_000 + "com", "w" * 1_000_000, "O’" * 50_000 + " 7"]
+    out = replaced(spark, texts)
+    assert out[0][1] == 1 and out[0][0].startswith("Mr ") and out[0][0].count(" ") == names.count(" ") and out[0][0] != names
+    assert out[1][1] == 1 and out[1][0].endswith(" tail") and out[2][1] == 1 and len(out[2][0]) == len(texts[2])
+    assert out[3][1] == 1 and out[4] == (texts[4], 0)  # no domain has so many labels
+    assert out[5] == (texts[5], 0) and out[6] == (texts[6], 0)

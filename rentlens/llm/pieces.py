@@ -32,6 +32,7 @@ CACHE = 120_000
 LONG = 64
 _PART = 1 << 20
 _NEVER = np.iinfo(np.int32).max
+_SLOT_BITS = 20
 
 
 class Vocabulary:
@@ -65,11 +66,31 @@ class Vocabulary:
         self.keys = np.array(sorted(merges), np.int64)
         self.ranks = np.array([merges[k][0] for k in self.keys.tolist()], np.int32)
         self.made = np.array([merges[k][1] for k in self.keys.tolist()], np.int32)
+        # place of each key by its hash; keys that share one are searched for
+        slots = self._slots(self.keys)
+        self.table = np.full(1 << _SLOT_BITS, -1, np.int32)
+        self.table[slots] = np.arange(len(slots))
+        crowded, number = np.unique(slots, return_counts=True)
+        self.table[crowded[number > 1]] = -2
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         probe = "Ａﬁ  é\t\n½"
         self.as_is = lib.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    @staticmethod
+    def _slots(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place in ``keys`` of the merge of each pair of symbols, -1 where there is none."""
+        key = left * len(self.names) + right
+        at = self.table[self._slots(key)]
+        crowded = np.flatnonzero(at == -2)
+        if len(crowded):
+            at[crowded] = np.minimum(np.searchsorted(self.keys, key[crowded]), len(self.keys) - 1)
+        at[self.keys[at] != key] = -1
+        return at
+
     def words(self, text: str) -> list[str]:
         """Parts of the normalised text that no piece crosses."""
         if not text:
@@ -117,16 +138,18 @@ class Vocabulary:
         return self._spelt([k for k in symbols if k >= 0], word)
 
     def _together(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Short words side by side: each round merges the first pair of the agenda of each word."""
-        width = len(self.names)
+        """Short words side by side: each round merges the first pair of the agenda of each word.
+
+        Only the pairs on either side of a merge are looked up again.
+        """
         symbols = self.char_symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].astype(np.int64)
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        ranks = np.append(self.ranks, np.int32(_NEVER))  # the last one stands for no merge
+        pair = np.full(len(symbols), -1, np.int32)
+        pair[:-1] = np.where(owner[:-1] == owner[1:], self._found(symbols[:-1], symbols[1:]), -1)
         done_symbols, done_owner = [], []
         while len(symbols):
-            key = symbols[:-1] * width + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            fits = (self.keys[at] == key) & (owner[:-1] == owner[1:])
-            order = np.append(np.where(fits, self.ranks[at], _NEVER), _NEVER)
+            order = ranks[pair]
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = np.minimum.reduceat(order, starts)
             sizes = np.diff(np.append(starts, len(symbols)))
@@ -135,10 +158,17 @@ class Vocabulary:
                 done_symbols.append(symbols[~live])
                 done_owner.append(owner[~live])
             first = np.flatnonzero(live & (order == np.repeat(best, sizes)))
-            first = first[np.unique(owner[first], return_index=True)[1]]
-            symbols[first] = self.made[at[first]]
+            first = first[np.append(True, owner[first[1:]] != owner[first[:-1]])[: len(first)]]
+            symbols[first] = self.made[pair[first]]
             live[first + 1] = False
-            symbols, owner = symbols[live], owner[live]
+            place = np.cumsum(live) - 1
+            symbols, owner, pair = symbols[live], owner[live], pair[live]
+            left = place[first]
+            left = np.concatenate([left, left[left > 0] - 1])
+            pair[left] = -1
+            left = left[left + 1 < len(symbols)]
+            left = left[owner[left] == owner[left + 1]]
+            pair[left] = self._found(symbols[left], symbols[left + 1])
         if not words:
             return []
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)

@@ -210,8 +210,12 @@ def curve_variants(sizes: Sequence[float] = tuple(vocab.CURVE_SIZES)) -> list[Co
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """Requests with ``row_key``, a digest of all their columns: ids may repeat, and equal rows fold together."""
-    return df.withColumn("row_key", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "row_key"])).cast("binary")))
+    """Requests with ``row_key``, a hash of all their columns: ids may repeat, and equal rows fold together.
+
+    A hash passes over nulls, so which columns are null is hashed with them.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns if c != "row_key"]
+    return df.withColumn("row_key", F.xxhash64(*columns, F.array(*[c.isNull() for c in columns])))
 
 
 def _each_row(folded: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from rentlens import vocab
 from rentlens.functions import text as T
+from rentlens.operators import clean as C
 
 # --- fixed values: page layouts; classes name an element, ``labels`` maps label text to a field:
 # words as written, then words in any case ---
@@ -72,11 +73,18 @@ class _Anchors(HTMLParser):
             self.found.append(((held.get("href") or "").strip(), (held.get("class") or "").split()))
 
 
-def extract_links(pages: DataFrame, base_url: str, link_class: str | None = None) -> DataFrame:
-    """Distinct absolute links of each page's anchors: ``page_id, link``.
+# tags and attributes as nearly all pages write them; whatever else holds an anchor goes through the parser
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'<>=`]++)"""
+_ATTRIBUTE = rf"""[^\s"'<>/=]++(?:\s*+=\s*+{_VALUE})?+"""
+_ANCHOR = rf"(?i)<a(?:\s++{_ATTRIBUTE})*+\s*+>"
+_HREF = rf"""(?is)\A<a(?:\s++(?!href[\s=>]){_ATTRIBUTE})*+\s++href\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'<>=`]++))"""
+_SILENT = r"(?is)<!--.*?-->|<(script|style)(?:\s[^<>]*)?>.*?</\1\s*>"
+# a value that holds < or an unclosed quote, sections and elements whose content is no markup, an open comment
+_ODD = r"""(?is)=\s*+(?:"[^"]*[<>]|'[^']*[<>])|<(?:script|style|textarea|title[^>]*>[^<]*<(?!/title)|xmp|iframe|noembed|noframes|noscript|plaintext|!--|!\[|\?)"""
 
-    ``/x`` is completed with the base address, ``http*`` is kept, anything else is dropped.
-    """
+
+def _parsed_hrefs(pages: DataFrame, link_class: str | None) -> DataFrame:
+    """``page_id, href`` of every anchor, by a parser."""
     schema = StructType([pages.schema["page_id"], StructField("href", StringType())])
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +97,34 @@ def extract_links(pages: DataFrame, base_url: str, link_class: str | None = None
                 rows += [(page_id, href) for href, classes in parser.found if link_class is None or link_class in classes]
             yield pd.DataFrame(rows, columns=["page_id", "href"])
 
-    hrefs = pages.select("page_id", "html").mapInPandas(anchors, schema)
+    return pages.select("page_id", "html").mapInPandas(anchors, schema)
+
+
+def _hrefs(pages: DataFrame) -> DataFrame:
+    """``page_id, href`` of every anchor: by column functions where a page's anchors are plainly written, else by the parser.
+
+    Plain means that every ``<a`` outside comments, scripts and styles is a whole tag of ordinary attributes, and no
+    address has a character reference.
+    """
+    tags = C.evaluate_once(pages.select("page_id", "html"), {"bare": F.regexp_replace("html", _SILENT, " ")})
+    tags = C.evaluate_once(tags, {"tags": F.regexp_extract_all("bare", F.lit(_ANCHOR), F.lit(0))})
+    begun = F.regexp_count("bare", F.lit(r"(?i)<a(?=[\s/>])"))
+    referred = F.exists("tags", lambda t: F.contains(t, F.lit("&")))
+    plain = (begun == F.size("tags")) & ~F.regexp_like("bare", F.lit(_ODD)) & ~referred
+    tags = C.evaluate_once(tags, {"plain": F.coalesce(plain, F.lit(False))})
+    part = lambda t, i: F.regexp_extract(t, _HREF, i)
+    href = F.transform("tags", lambda t: T.strip(F.concat(part(t, 1), part(t, 2), part(t, 3))))
+    # either side reads the pages; a page with an odd anchor is parsed whole
+    quick = tags.where("plain").select("page_id", F.explode(href).alias("href"))
+    return quick.unionByName(_parsed_hrefs(tags.where(~F.col("plain") & F.col("html").isNotNull()), None))
+
+
+def extract_links(pages: DataFrame, base_url: str, link_class: str | None = None) -> DataFrame:
+    """Distinct absolute links of each page's anchors: ``page_id, link``.
+
+    ``/x`` is completed with the base address, ``http*`` is kept, anything else is dropped.
+    """
+    hrefs = _hrefs(pages) if link_class is None else _parsed_hrefs(pages, link_class)
     href = F.col("href")
     link = F.when(F.startswith(href, F.lit("/")), F.concat(F.lit(base_url), href)).when(
         F.startswith(href, F.lit("http")), href

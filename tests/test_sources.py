@@ -174,3 +174,21 @@ def test_column_presence(spark):
 
     rows = column_presence(spark.range(3), ["id", "x"]).collect()
     assert sorted(map(tuple, rows)) == [("id", True, 3), ("x", False, None)]
+
+
+def test_links_by_columns_equal_the_parser(spark):
+    """Odd markup of every kind, next to plain pages."""
+    import random
+
+    draw = random.Random(12)
+    bits = ['<a href="/x{i}">t</a>', "<A HREF='/y{i}' class=k>", "<a class='b' href=/z{i}>", "<a href=\"/q?a=1&amp;b={i}\">", "<a href = \" /w{i} \">", "<a>", "<abbr>", "<p title=\"a > b <a href='/no'>\">",
+            "<!-- <a href='/no'> -->", "<!-- open <a href='/no'>", "<script>var s = '<a href=\"/no\">'</script>", "<style>a{}</style>", "<script>", "<textarea><a href=/no></textarea>", "<a href=\"/first\" href=\"/second\">",
+            "<a data-href=/no href=/yes{i}>", "<a title=\"x href=/no\" href=/ok{i}>", "<a href=\"/broken>text", "<a href=''>", "<a href>", "<a\nhref=\"http://h/{i}\"\n>", "<a href=\"/slash/\"/>", "<title>a <a href=/t></title>", "<a href=/e>é</a>",
+            "< a href=/no>", "<a/href=/s{i}>", "plain text ", "<![CDATA[<a href=/c>]]>", "<a href=`/b`>", "<a href=\"/u\"title=z>"]
+    pages = [(i, "".join(draw.choices(bits, k=draw.randint(0, 5))).replace("{i}", str(draw.randint(0, 9)))) for i in range(1500)] + [(9000, None), (9001, "")]
+    pages += [(9100 + i, b.replace("{i}", "1")) for i, b in enumerate(bits)] + [(9500, '<a href="/x">' * 20_000), (9501, "<a " + "k=v " * 20_000 + "href=/far>")]
+    df = spark.createDataFrame(pages, "page_id long, html string").repartition(4)
+    key = lambda rows: sorted((r.page_id, r.href) for r in rows)
+    got, want = key(P._hrefs(df).collect()), key(P._parsed_hrefs(df, None).collect())
+    odd = sorted(set(got) ^ set(want))
+    assert got == want, [(p, [h for i, h in pages if i == p[0]][0][:200]) for p in odd[:3]]

@@ -74,13 +74,15 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, and two rows to work in, made once in each Python process."""
     if not _powers:
+        _powers["scratch"] = np.zeros((2, SEGMENT + 1), np.uint64)
         for name, factor in (("up", _BASE), ("down", _INVERSE)):
             row = np.full(SEGMENT + 1, factor, np.uint64)
             row[0] = 1
             _powers[name] = np.multiply.accumulate(row)
-    return _powers["up"], _powers["down"]
+    return _powers["up"], _powers["down"], _powers["scratch"]
 
 
 def _unspaced(data: np.ndarray) -> np.ndarray:
@@ -140,7 +142,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]
 
     A word that is not longer than the asked length has 0 there.
     """
-    up, down = _tables()
+    up, down, scratch = _tables()
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
     hashes, owners, heads = [], [], [[] for _ in prefixes]
     for at, end in _segments(data, offsets):
@@ -152,8 +154,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]
             s, stop = np.repeat(s, pieces), np.repeat(e, pieces)
             s = s + LONGEST * (np.arange(len(s)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
             e = np.minimum(s + LONGEST, stop)
-        total = np.zeros(end - at + 1, np.uint64)
-        np.cumsum((data[at:end].astype(np.uint64) + np.uint64(1)) * up[: end - at], out=total[1:])
+        # segments differ in length: in arrays of their own they would leave the heap in pieces
+        spread, total = scratch[0, : end - at], scratch[1, : end - at + 1]
+        np.add(data[at:end], np.uint64(1), out=spread)
+        np.multiply(spread, up[: end - at], out=spread)
+        total[0] = 0
+        np.cumsum(spread, out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s]))
         owners.append(np.searchsorted(offsets, s + at, side="right") - 1)
         for rows, length in zip(heads, prefixes):

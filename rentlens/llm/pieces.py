@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import logging
 import re
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -31,8 +32,11 @@ SPACE = "▁"
 CACHE = 120_000
 LONG = 64
 _PART = 1 << 20
+_SIDE_BY_SIDE = 4096  # words whose arrays stay in a core's own cache
+_COMPARED = 64  # words of one call of the library, whose agenda is then short
 _NEVER = np.iinfo(np.int32).max
 _SLOT_BITS = 20
+_log = logging.getLogger(__name__)
 
 
 class Vocabulary:
@@ -182,19 +186,27 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of normalised words, without a look at the library."""
-        short = iter(self._together([w for w in words if len(w) <= LONG]))
-        return [next(short) if len(w) <= LONG else self._agenda(w) for w in words]
+        short = [w for w in words if len(w) <= LONG]
+        made = chain.from_iterable(self._together(short[k : k + _SIDE_BY_SIDE]) for k in range(0, len(short), _SIDE_BY_SIDE))
+        return [next(made) if len(w) <= LONG else self._agenda(w) for w in words]
 
     def _as_library(self, words: list[str], made: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
-        """``made``, with the library's ids where they differ."""
+        """``made``, with the library's ids where they differ; the number of such words is logged."""
         if not self.as_is or not self.by_word:
             return made
-        # joined again, the words stay apart at their space marks: one call for the batch
+        # joined again, the words stay apart at their space marks: one text holds many of them
         apart = [k for k, w in enumerate(words) if w[0] == SPACE and w[-1] != SPACE]
-        together = "".join(words[k] for k in apart)
-        if self.library.encode(together[1:].replace(SPACE, " ")) == list(chain.from_iterable(made[k] for k in apart)):
-            return made
-        return [tuple(self.library.encode(w[1:].replace(SPACE, " "))) if w[0] == SPACE and len(w) > 1 else ids for w, ids in zip(words, made)]
+        runs = [apart[k : k + _COMPARED] for k in range(0, len(apart), _COMPARED)]
+        texts = ["".join([words[k] for k in run])[1:].replace(SPACE, " ") for run in runs]
+        out, differing = list(made), 0
+        for run, ids in zip(runs, self.library.encode(texts, num_threads=1)):
+            if ids != list(chain.from_iterable([made[k] for k in run])):
+                for k in run:
+                    out[k] = tuple(self.library.encode(words[k][1:].replace(SPACE, " ")))
+                    differing += out[k] != made[k]
+        if differing:
+            _log.warning("%d words of %d differ from the library, whose ids are taken", differing, len(words))
+        return out
 
     def learn(self, words: set[str]) -> None:
         """Put new words into the cache, which loses its older half when it is full."""

@@ -58,3 +58,11 @@ def test_digests_and_round_trip(spark, library):
     back = pieces.decode(pieces.encode(documents.where("doc_id < 300"), MODEL), MODEL).collect()
     assert all(r.decoded == library.decode(library.encode(r.text or "")) for r in back)
     assert pieces.digests(documents.limit(0), MODEL).count() == 0
+
+
+def test_words_that_differ_take_the_library_s_ids(vocabulary, library, caplog):
+    words = [f"▁word{i}" for i in range(200)]
+    right = vocabulary.encode_words(words)
+    wrong = [(0,) if i % 70 == 0 else ids for i, ids in enumerate(right)]
+    assert vocabulary._as_library(words, wrong) == right == [tuple(library.encode(w[1:])) for w in words]
+    assert "3 words of 200" in caplog.text

@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding for merge-type vocabularies with byte fallback.
 
 Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the piece they make, then from
-the left, and merges the first until none is left. No piece has a space mark after another character, so
-text is cut before space marks and each distinct word is worked on once: short words of a batch side by
-side in numpy, one merge a word and round; long ones with a heap and linked neighbours. Every new word is
+the left, and merges the first until none is left. No piece has a space mark after another character, and
+where none holds a word character beside a mark either, no merge crosses such a place. Text is cut there
+and each distinct word is worked on once: short words of a batch side by side in numpy, one merge a word
+and round; long ones with a heap and linked neighbours. Every new word is
 compared with what the sentencepiece library makes of it, and the library's ids are taken if they differ.
 
 Null counts as empty; an empty text has no ids. Texts may be of any length and are never cut. Memory of a
@@ -16,8 +17,8 @@ import hashlib
 import heapq
 import logging
 import re
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Collection, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +78,11 @@ class Vocabulary:
         crowded, number = np.unique(slots, return_counts=True)
         self.table[crowded[number > 1]] = -2
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.parts = _pattern(pieces)
         probe = "Ａﬁ  é\t\n½"
         self.as_is = lib.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def _slots(keys: np.ndarray) -> np.ndarray:
@@ -100,7 +103,7 @@ class Vocabulary:
         if not text:
             return []
         text = SPACE + text.replace(" ", SPACE) if self.as_is else self.library.normalize(text)
-        return _WORDS.findall(text) if self.by_word else [text]
+        return self.parts.findall(text) if self.by_word else [text]
 
     def _spelt(self, symbols: list[int], word: str) -> tuple[int, ...]:
         out, at = [], 0
@@ -194,37 +197,65 @@ class Vocabulary:
         """``made``, with the library's ids where they differ; the number of such words is logged."""
         if not self.as_is or not self.by_word:
             return made
-        # joined again, the words stay apart at their space marks: one text holds many of them
-        apart = [k for k, w in enumerate(words) if w[0] == SPACE and w[-1] != SPACE]
+        # joined again, each behind a space mark or a short word, they stay apart: one text holds many of them
+        apart = [k for k, w in enumerate(words) if w[-1] != SPACE]
         runs = [apart[k : k + _COMPARED] for k in range(0, len(apart), _COMPARED)]
-        texts = ["".join([words[k] for k in run])[1:].replace(SPACE, " ") for run in runs]
+        heads = {"": (), **dict(zip(_HEADS, self.encode_words(list(_HEADS))))}
+        head = ["" if w[0] == SPACE else _HEADS[not _WORD.match(w)] for w in words]
+        texts = ["".join([head[k] + words[k] for k in run])[1:].replace(SPACE, " ") for run in runs]
         out, differing = list(made), 0
         for run, ids in zip(runs, self.library.encode(texts, num_threads=1)):
-            if ids != list(chain.from_iterable([made[k] for k in run])):
+            if ids != list(chain.from_iterable([heads[head[k]] + made[k] for k in run])):
                 for k in run:
-                    out[k] = tuple(self.library.encode(words[k][1:].replace(SPACE, " ")))
+                    alone = self.library.encode((head[k] + words[k])[1:].replace(SPACE, " "))
+                    out[k] = tuple(alone[len(heads[head[k]]) :])
                     differing += out[k] != made[k]
         if differing:
             _log.warning("%d words of %d differ from the library, whose ids are taken", differing, len(words))
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Put new words into the cache, which loses its older half when it is full."""
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            for w in list(islice(self.cache, len(self.cache) // 2)):
-                del self.cache[w]
-            new = [w for w in words if w not in self.cache]
-        for w, ids in zip(new, self._as_library(new, self.encode_words(new))):
-            self.cache[w] = ids
+    def learn(self, words: Collection[str]) -> None:
+        """Put words into the cache. Once half full it becomes the older half, whose words stay if they are met again."""
+        missing = [w for w in words if w not in self.cache]
+        again = {w: self.older[w] for w in missing if w in self.older}
+        new = [w for w in missing if w not in again]
+        if len(self.cache) + len(missing) > CACHE // 2:
+            self.older, self.cache = self.cache, {w: self.cache[w] for w in words if w in self.cache}
+        self.cache.update(again)
+        self.cache.update(zip(new, self._as_library(new, self.encode_words(new))))
 
     def encode(self, text: str) -> list[int]:
         words = self.words(text)
-        self.learn(set(words))
+        self.learn(dict.fromkeys(words))
         return list(chain.from_iterable(map(self.cache.__getitem__, words)))
 
 
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_WORD = re.compile(r"\w")
+_HEADS = (f"{SPACE}.", f"{SPACE}a")  # what a run of word characters, or of others, is put behind to be asked alone
+
+
+def _pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Pattern of the parts of a text that no piece crosses, if pieces have space marks at their beginning only.
+
+    Parts are runs of word characters or of others. Characters that some piece holds beside one of the other
+    kind tie the runs on both sides together.
+    """
+    ties = set()
+    for piece in pieces:
+        bare = piece.lstrip(SPACE)
+        for a, b in zip(bare, bare[1:]):
+            if bool(_WORD.match(a)) != bool(_WORD.match(b)):
+                word, mark = (a, b) if _WORD.match(a) else (b, a)
+                ties.add(mark if word.isalpha() else word)
+    if ties & set("a."):
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    tie = "".join(map(re.escape, sorted(ties)))
+    runs = rf"[^\W{tie}]+|[^\w{SPACE}{tie}]+"
+    if not ties:
+        return re.compile(f"{SPACE}*(?:{runs})|{SPACE}+")
+    return re.compile(f"{SPACE}*(?:{runs}|[{tie}]+(?:{runs})?)(?:[{tie}]+(?:{runs})?)*|{SPACE}+")
+
+
 _known: dict[bytes, Vocabulary] = {}
 
 
@@ -292,7 +323,7 @@ def digests(documents: DataFrame, model_path: str, keep: list[str] | None = None
         counts, of_ids, of_text = [], [], []
         for part in _parts(texts.to_pylist()):
             split = [v.words(t) for t in part]
-            v.learn(set(chain.from_iterable(split)))
+            v.learn(dict.fromkeys(chain.from_iterable(split)))
             ids = [list(chain.from_iterable(map(v.cache.__getitem__, words))) for words in split]
             counts += map(len, ids)
             of_ids += [hashlib.sha256(",".join(map(v.digits.__getitem__, made)).encode()).hexdigest() for made in ids]

@@ -63,6 +63,25 @@ def test_digests_and_round_trip(spark, library):
 def test_words_that_differ_take_the_library_s_ids(vocabulary, library, caplog):
     words = [f"▁word{i}" for i in range(200)]
     right = vocabulary.encode_words(words)
-    wrong = [(0,) if i % 70 == 0 else ids for i, ids in enumerate(right)]
-    assert vocabulary._as_library(words, wrong) == right == [tuple(library.encode(w[1:])) for w in words]
-    assert "3 words of 200" in caplog.text
+    assert right == [tuple(library.encode(w[1:])) for w in words]
+    words += [",", "word", "\n(", "▁▁▁"]
+    right = vocabulary.encode_words(words)
+    wrong = [(0,) if i % 70 == 0 or i in (200, 201, 202) else ids for i, ids in enumerate(right)]
+    assert pieces.Vocabulary._as_library(vocabulary, words, wrong) == right
+    assert "6 words of 204" in caplog.text
+
+
+def test_parts_are_cut_where_no_piece_crosses(vocabulary):
+    assert vocabulary.words("One, two.\nThree") == ["▁One", ",", "▁two", ".\n", "Three"]
+    assert pieces._pattern(["▁a", "n't", "x²", "².", "b"]).findall("▁don't▁x².y,▁▁z▁") == ["▁don't", "▁x².", "y", ",", "▁▁z", "▁"]
+    assert pieces._pattern(["a.", "▁b"]).findall("▁a,b▁c") == ["▁a,b", "▁c"]
+
+
+def test_words_met_again_stay_in_the_cache(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 40)
+    fresh = pieces.Vocabulary(vocabulary.library.serialized_model_proto())
+    made = []
+    monkeypatch.setattr(fresh, "_as_library", lambda words, ids: made.extend(words) or ids)
+    for k in range(20):
+        fresh.learn(["▁often", *(f"▁word{k}x{i}" for i in range(9))])
+    assert made.count("▁often") == 1 and len(fresh.cache) + len(fresh.older) <= 40

@@ -1,23 +1,30 @@
 """Exact deduplication with two Bloom passes.
 
-Pass one counts Bloom cells (page, block, bits of a text's digest) with partial sums, so a text with very
-many copies is one row a task; cells met twice make the filter of possibly repeated digests. Pass two asks
-the filter: rows it rejects are unique for certain and pass straight through, only the others shuffle,
-grouped by the SHA-256 of the normalised text.
+Pass one: each task sets the bits of its texts' digests in a filter of digests seen and, where a digest's bits
+were there before, in a filter of digests seen twice. Only the pages of these filters shuffle; merged, the
+second one holds every digest that occurs more than once, in one task or in several. Pass two asks it: rows
+it rejects are unique for certain and pass straight through, only the others shuffle, grouped by the SHA-256
+of the normalised text.
 
 Null counts as empty text; all empty and blank texts are equal. The row with the most code points in the
 original text stays, then the smallest ``doc_id`` (null last), then the first read. Repeated rows with one
-id are separate rows of the group.
+id are separate rows of the group. Filters have the bounded size of :mod:`rentlens.llm.bloom`; with more keys
+than that more unique rows take the exact step, and results stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.llm import bloom
 from rentlens.session import stage
 
+KEYS_A_TASK = 1 << 22  # two filters of 32 MB are then less than the digests and their cells
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -26,14 +33,52 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def _repeated(digests: DataFrame, bits: int) -> DataFrame:
-    """Filter of the digests that may occur more than once, from a column ``digest``."""
-    d = F.col("digest")
-    cells = digests.groupBy(bloom.page(d, bits).alias("page"), bloom.block(d).alias("block"), bloom.pattern(d).alias("bits")).agg(F.count("*").alias("n"))
-    blocks = cells.where("n > 1").groupBy("page", "block").agg(F.bit_or("bits").alias("bits"))
-    filled = blocks.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("filled"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(bloom.PAGE - 1)), lambda i: F.coalesce(F.try_element_at("filled", i), F.lit(0).cast("long")))
-    return filled.select("page", every.alias("blocks"))
+def _places(digests: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block and pattern of each digest, as :func:`bloom.block` and :func:`bloom.pattern` have them."""
+    at = (digests >> np.uint64(64 - bits)) * np.uint64(bloom.PAGE) + (digests >> np.uint64(24)) % np.uint64(bloom.PAGE)
+    own = np.zeros(len(digests), np.uint64)
+    for shift in (0, 6, 12, 18):
+        own |= np.uint64(1) << ((digests >> np.uint64(shift)) & np.uint64(63))
+    return at.astype(np.int64), own
+
+
+def _two_filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Pages of one task's filters: bits of digests seen, and of those that may have been seen before."""
+    seen, twice = np.zeros((2, bloom.PAGE << bits), np.uint64)
+    for batch in batches:
+        digests, times = np.unique(batch.column(0).to_numpy().view(np.uint64), return_counts=True)
+        at, own = _places(digests, bits)
+        again = (times > 1) | (seen[at] & own == own)
+        np.bitwise_or.at(twice, at[again], own[again])
+        np.bitwise_or.at(seen, at, own)
+    seen, twice = seen.reshape(-1, bloom.PAGE), twice.reshape(-1, bloom.PAGE)
+    for page in np.flatnonzero(seen.any(axis=1)).tolist():
+        yield pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int32()), "seen": [seen[page].tobytes()], "twice": [twice[page].tobytes()]})
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a page: bits that some task has seen twice or several tasks have seen."""
+    pages: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for page, *both in zip(*(column.to_pylist() for column in batch.columns)):
+            seen, twice = (np.frombuffer(b, np.uint64) for b in both)
+            if page in pages:
+                before, again = pages[page]
+                seen, twice = before | seen, again | twice | (before & seen)
+            pages[page] = seen, twice
+    for page, (_, twice) in pages.items():
+        if twice.any():
+            yield pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int32()), "blocks": pa.array([twice.view(np.int64)], pa.list_(pa.int64()))})
+
+
+def _repeated(digests: DataFrame, bits: int, count: int) -> DataFrame:
+    """Filter of the digests that may occur more than once, from ``count`` values of a column ``digest``.
+
+    A task holds two filters, the shuffle the touched pages of each task.
+    """
+    tasks = digests.select("digest").coalesce(-(-max(count, 1) // KEYS_A_TASK))
+    pages = tasks.mapInArrow(lambda batches: _two_filters(batches, bits), "page int, seen binary, twice binary")
+    return pages.repartition("page").mapInArrow(_merged, "page int, blocks array<long>")
 
 
 def _order() -> Column:
@@ -48,8 +93,9 @@ def copies(documents: DataFrame) -> DataFrame:
     narrow = documents.select("doc_id", sha.alias("text_sha256"), F.length(F.coalesce(text, F.lit(""))).alias("n_points"))
     narrow = stage(narrow.withColumn("row", F.monotonically_increasing_id()), "dedup")
     narrow = narrow.withColumn("digest", F.xxhash64("text_sha256"))
-    bits = bloom.page_bits(narrow.count())
-    pages = stage(_repeated(narrow.select("digest"), bits), "dedup-filter")
+    count = narrow.count()
+    bits = bloom.page_bits(count)
+    pages = stage(_repeated(narrow, bits, count), "dedup-filter")
     flagged = bloom.ask(narrow, "digest", pages, bits, "maybe").drop("digest")
     through = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     shuffled = flagged.where("maybe")
@@ -68,8 +114,9 @@ def distinct_documents(documents: DataFrame) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     rows = documents.select(whole.alias("whole"), "doc_id", "text")
     digests = stage(documents.select(F.xxhash64(normalised(F.col("text"))).alias("digest")), "dedup-digests")
-    bits = bloom.page_bits(digests.count())
-    pages = stage(_repeated(digests, bits), "dedup-filter")
+    count = digests.count()
+    bits = bloom.page_bits(count)
+    pages = stage(_repeated(digests, bits, count), "dedup-filter")
     flagged = bloom.ask(rows.withColumn("digest", F.xxhash64(normalised(F.col("text")))), "digest", pages, bits, "maybe")
     sha = F.sha2(normalised(F.col("text")), 256)
     shuffled = flagged.where("maybe").select("whole", "doc_id", sha.alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"), F.xxhash64("text").alias("row"))

@@ -62,3 +62,18 @@ def test_filter_misses_no_key(spark, bits):
     assert asked.count() == 40_000
     if bits == 3:
         assert asked.where("id >= 20000 and maybe").count() < 4_000
+
+
+@pytest.mark.parametrize("keys_a_task", [1 << 22, 3_000])
+def test_second_filter_holds_what_occurs_twice(spark, monkeypatch, keys_a_task):
+    monkeypatch.setattr(exact_dedup, "KEYS_A_TASK", keys_a_task)
+    once = spark.range(16_000).selectExpr("id", "xxhash64(id) as digest")
+    again = spark.range(0, 16_000, 10).selectExpr("id", "xxhash64(id) as digest")
+    hot = spark.range(4_000).selectExpr("-1L as id", "xxhash64(-1L) as digest")
+    digests = once.union(again).union(hot).repartition(9)
+    bits = bloom.page_bits(digests.count())
+    pages = exact_dedup._repeated(digests, bits, digests.count())
+    asked = bloom.ask(once.union(hot), "digest", pages, bits, "maybe")
+    assert asked.where("id % 10 = 0 and not maybe").count() == 0
+    assert asked.where("id = -1 and not maybe").count() == 0
+    assert asked.where("id % 10 != 0 and id >= 0 and maybe").count() < 400

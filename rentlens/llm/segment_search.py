@@ -153,7 +153,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     size = F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))
     deep, wide = (1 + table.agg(size).first()[0] // cell_bytes for table in (asked, rows))
     wide = max(wide, least_cells)
-    grid = lambda numbers, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(numbers)
+    # both sides need the cell numbers in one type: an int and a long of the same value hash to different partitions
+    grid = lambda numbers, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(numbers)
     left = asked.select("query", "vec_id", "vector", F.pmod(F.xxhash64("query"), F.lit(deep)).alias("r"), grid("c", wide))
     right = rows.select("vec_id", "vector", F.pmod(F.xxhash64("row"), F.lit(wide)).alias("c"), grid("r", deep))
     cells = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(_cell(k), "query long, query_id long, vec_id long, score long")

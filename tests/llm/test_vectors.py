@@ -105,6 +105,19 @@ def test_top_k_equals_plain_python(spark, size, cell):
     assert sorted(map(tuple, found.collect()), key=repr) == best(rows, lambda i: i % 5 == 0, 5)
 
 
+def test_top_k_meets_every_cell_when_partitions_stay_apart(spark):
+    rows = made(300, 32)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        for cell in (1 << 25, 4000):
+            found = segment_search.top_k(spark.createDataFrame(rows, SHAPE), F.col("vec_id") % 5 == 0, cell_bytes=cell)
+            assert sorted(map(tuple, found.collect()), key=repr) == best(rows, lambda i: i % 5 == 0, 5)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_top_k_of_few_vectors_other_lengths_and_large_numbers(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, -2.0]), (2, [1.0, 2.0, 3.0]), (50, []), (51, []), (100, [1e7, 1.0]), (7, [1e7, 1 / 256]), (8, [1e7, 2 / 256])]
     given = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

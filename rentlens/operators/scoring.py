@@ -16,6 +16,7 @@ from rentlens import vocab
 from rentlens.functions import text as T
 from rentlens.functions.features import room_features, type_flags
 from rentlens.functions.numeric import round_even, weighted_mean, within
+from rentlens.operators.clean import evaluate_once
 from rentlens.operators.context import MarketContext, nearest_bucket
 from rentlens.operators.lookup import lookup_join
 from rentlens.operators.places import resolve_district
@@ -143,9 +144,9 @@ def calibrate(df: DataFrame, ctx: MarketContext) -> DataFrame:
     size, bed, bath = _request()
     size = within(size, lo=1.0)
     low, high = pps_limits(ctx)
-    df = suggested_prices(df, ctx).withColumns({
-        "relation_anchor": relation_anchor(), "coherence": coherence(ctx), "expected_pps": expected_pps(ctx),
-    })
+    # each behind a generator: one method with all these formulas is over the size that the JVM compiles
+    df = evaluate_once(suggested_prices(df, ctx), {"relation_anchor": relation_anchor(), "coherence": coherence(ctx)})
+    df = evaluate_once(df, {"expected_pps": expected_pps(ctx)})
     blended = F.col("coherence") * F.col("raw_price") + (1.0 - F.col("coherence")) * F.col("relation_anchor")
     floor, roof = within(F.col("expected_pps") * 0.72, lo=low), within(F.col("expected_pps") * 1.35, hi=high)
     wide = roof > floor

@@ -179,3 +179,19 @@ def test_similar_texts_are_looked_up_by_rare_characters(spark):
     alike = {(t, k) for t in wrong for k in names if difflib.SequenceMatcher(None, k, t).ratio() >= 0.8}
     assert alike <= found and len(alike) >= 150
     assert len(found) <= 50 * len(alike) < len(names) * len(wrong) / 2
+
+
+def test_generated_scoring_code_is_small_enough_to_be_compiled(spark, ctx, asked, capsys):
+    """The JVM interprets methods over 8,000 bytes."""
+    import re
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for options in ({}, {"curve": False}, {"impacts": False, "curve": False}):
+            capsys.readouterr()
+            S.score_requests(asked, B.stand_in, ctx, **options).explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 6000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)

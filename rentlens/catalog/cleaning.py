@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rentlens import vocab
@@ -400,17 +403,23 @@ def read_listings_csv(spark, sf_dir):
     return read_csv(spark, [f"{path}-missing", path], ["district", "agent"])
 
 
+def _under_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one file, header first."""
+    yield pa.RecordBatch.from_pydict({"value": ["listing_id,note,size_sqm"]})
+    yield from batches
+
+
 @query(RAW + """SELECT listing_id::VARCHAR AS listing_id, property_type || chr(10) || 'in "' || location || '"' AS note, size_sqm FROM raw
   WHERE listing_id % 7 <> 0 AND property_type IS NOT NULL""")
 def read_malformed_csv(spark, sf_dir):
-    """A file of quoted line breaks, doubled quotes, short rows and rows with too many values, in small byte ranges."""
+    """Files of quoted line breaks, doubled quotes, short rows and rows with too many values, in small byte ranges."""
     raw = listings_raw(spark, sf_dir).where("property_type is not null")
     note = F.concat("property_type", F.lit('\nin ""'), "location", F.lit('""'))
     line = F.concat(F.col("listing_id").cast("string"), F.lit(',"'), note, F.lit('"'))
     line = F.when(F.col("listing_id") % 7 == 0, F.concat(line, F.lit(",1,2,3"))).when(F.col("size_sqm").isNull(), line).otherwise(F.concat(line, F.lit(","), "size_sqm"))
     path, ranges = new_folder(spark, "broken"), "spark.sql.files.maxPartitionBytes"
-    lines = raw.select(line.alias("value"), F.lit(1).alias("at")).unionByName(spark.createDataFrame([("listing_id,note,size_sqm", 0)], "value string, at int"))
-    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    blank = spark.createDataFrame([("",)], "value string")  # keeps a file where there are no listings; empty records are left out
+    raw.select(line.alias("value")).unionByName(blank).mapInArrow(_under_header, "value string").write.text(path)
     before = spark.conf.get(ranges)
     spark.conf.set(ranges, "64k")
     try:

@@ -192,3 +192,20 @@ def test_links_by_columns_equal_the_parser(spark):
     got, want = key(P._hrefs(df).collect()), key(P._parsed_hrefs(df, None).collect())
     odd = sorted(set(got) ^ set(want))
     assert got == want, [(p, [h for i, h in pages if i == p[0]][0][:200]) for p in odd[:3]]
+
+
+def test_malformed_file_is_written_by_many_tasks(spark, small):
+    import glob
+
+    from rentlens.catalog import cleaning
+    from rentlens.session import shared_folder
+
+    folders = lambda: set(glob.glob(shared_folder(spark).removeprefix("file://") + "/rentlens/broken-*"))
+    before = folders()
+    rows = cleaning.QUERIES["read_malformed_csv"](spark, small)
+    want = spark.read.parquet(f"{small}/orders.parquet").where("o_orderkey % 7 <> 0 and o_orderkey % 13 <> 11")
+    assert rows.count() == want.count() and rows.select("listing_id").distinct().count() == rows.count()
+    assert rows.where("listing_id is null or listing_id = 'listing_id' or not contains(note, '\n')").isEmpty()
+    made = [f for d in folders() - before if "rows" not in d for f in glob.glob(f"{d}/part-*")]
+    assert len(made) > 1
+    assert all(open(f).readline() == "listing_id,note,size_sqm\n" for f in made)

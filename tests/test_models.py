@@ -95,3 +95,34 @@ def test_metrics(spark):
     row = M.regression_metrics(df).first()
     assert row["mae"] == pytest.approx(50 / 3) and row["mape"] == pytest.approx((10 + 5 + 10) / 3)
     assert row["r2"] == pytest.approx(1 - 1100 / 20000) and row["rmse"] == pytest.approx((1100 / 3) ** 0.5)
+
+
+def _jobs_of(spark, group, work):
+    """What ``work`` gives, and the number of Spark jobs it ran."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_penalised_lines_need_few_passes(spark):
+    """Penalised lines come from sums over the rows, whose passes do not grow with the steps of the solver."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 4)) @ draw.normal(size=(4, 4)) + 3.0
+    y = x @ np.array([0.5, -0.2, 0.0, 0.1]) + draw.normal(size=400)
+    names = ["a", "b", "c", "d"]
+    rows = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], names + [M.LABEL]).cache()
+    rows.count()
+    sigma = float(y.std(ddof=1))
+    scaled = (x - x.mean(0)) / x.std(0, ddof=1)
+    ridge, jobs = _jobs_of(spark, "ridge", lambda: M.pipeline(names, M.ridge(400, sigma)).fit(rows))
+    assert jobs <= 10
+    expected = np.linalg.solve(scaled.T @ scaled + 3.0 * np.eye(4), scaled.T @ (y - y.mean()))
+    assert np.allclose(ridge.stages[-2].coefficients.toArray(), expected, rtol=1e-4)
+    net, jobs = _jobs_of(spark, "net", lambda: M.pipeline(names, M.elastic_net(sigma)).fit(rows))
+    assert jobs <= 10
+    w = net.stages[-2].coefficients.toArray()
+    pull = scaled.T @ (y - y.mean() - scaled @ w) / 400 - 0.03 * 0.8 * w
+    assert np.allclose(pull[w != 0], 0.03 * 0.2 * np.sign(w[w != 0]), atol=1e-4) and (abs(pull[w == 0]) <= 0.03 * 0.2 + 1e-4).all()

@@ -120,7 +120,7 @@ def test_penalised_lines_need_few_passes(spark):
     ridge, jobs = _jobs_of(spark, "ridge", lambda: M.pipeline(names, M.ridge(400, sigma)).fit(rows))
     assert jobs <= 10
     expected = np.linalg.solve(scaled.T @ scaled + 3.0 * np.eye(4), scaled.T @ (y - y.mean()))
-    assert np.allclose(ridge.stages[-2].coefficients.toArray(), expected, rtol=1e-4)
+    assert np.allclose(ridge.stages[-2].coefficients.toArray(), expected, rtol=1e-7)
     net, jobs = _jobs_of(spark, "net", lambda: M.pipeline(names, M.elastic_net(sigma)).fit(rows))
     assert jobs <= 10
     w = net.stages[-2].coefficients.toArray()

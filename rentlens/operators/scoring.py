@@ -61,12 +61,17 @@ def serve_features(df: DataFrame, ctx: MarketContext) -> DataFrame:
 
 
 def model_predictor(model: PipelineModel, ctx: MarketContext) -> Predictor:
-    """Predictor from a fitted pipeline whose output column is ``prediction``."""
+    """Predictor from a fitted pipeline whose output column is ``prediction``.
+
+    The columns of the request are carried under other names one by one: what no later step reads is not
+    copied with each row, as it would be in a struct.
+    """
 
     def predict(df: DataFrame) -> DataFrame:
-        kept = df.withColumn("kept", F.struct(*df.columns))
-        scored = model.transform(serve_features(kept, ctx))
-        return scored.select("kept.*", F.col("prediction").alias("raw_price"))
+        kept = {c: f"kept_{i}" for i, c in enumerate(df.columns)}
+        carried = df.select("*", *[F.col(f"`{c}`").alias(k) for c, k in kept.items()])
+        scored = model.transform(serve_features(carried, ctx))
+        return scored.select(*[F.col(k).alias(c) for c, k in kept.items()], F.col("prediction").alias("raw_price"))
 
     return predict
 

@@ -123,6 +123,22 @@ def test_first_resolving_column_wins(spark):
     assert got == {1: "beta", 2: "khan alpha", 3: ""}
 
 
+def test_predictor_carries_only_what_is_read(spark, ctx, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    spark.createDataFrame([(1, 50.0, 2, 1, "Villa", 0.1, "a note")],
+                          "request_id int, size_sqm double, bedrooms int, bathrooms int, kind string, freq double, note string"
+                          ).write.parquet(f"{tmp_path}/asked")
+    asked = spark.read.parquet(f"{tmp_path}/asked")
+    model = PipelineModel([SQLTransformer(statement="SELECT *, total_rooms + rand(1) * 0 AS prediction FROM __THIS__")])
+    out = S.model_predictor(model, ctx)(asked)
+    assert out.columns == [*asked.columns, "raw_price"]
+    assert out.first().asDict() == asked.first().asDict() | {"raw_price": 3.0}
+    read = out.select("request_id", "bedrooms", "raw_price").where(F.col("raw_price") > 0)
+    assert "note" not in read._jdf.queryExecution().executedPlan().toString()
+
+
 def test_context_round_trip(spark, ctx, tmp_path):
     X.save_context(ctx, str(tmp_path))
     again = X.load_context(spark, str(tmp_path))

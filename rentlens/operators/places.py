@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from rentlens import vocab
 from rentlens.functions import text as T
+from rentlens.operators.clean import evaluate_once
 from rentlens.operators.lookup import fits_broadcast, lookup_join
 from rentlens.session import stage
 
@@ -146,18 +147,19 @@ def resolve_district(
 ) -> DataFrame:
     """Add ``district_key``: the first of ``columns`` that resolves to a key of ``districts``.
 
-    ``districts`` has ``district_key`` and its number of rows ``n``. Only distinct texts are matched.
+    ``districts`` has ``district_key`` and its number of rows ``n``. Only distinct texts are cleaned and matched.
     With token groups in ``scoped_to``, a district in that scope takes every row.
     """
     keys = stage(key_texts(districts), "keys")
-    texts = df.select(F.explode(F.array(*[T.geo_clean(F.col(c)) for c in columns])).alias("text"))
-    texts = texts.where(F.col("text") != "").distinct()
-    matched = stage(match_texts(texts, keys, cutoff), "matched")
+    given = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("given")).distinct()
+    given = stage(evaluate_once(given, {"text": T.geo_clean(F.col("given"))}).where(F.col("text") != ""), "given")
+    found = stage(match_texts(given.select("text").distinct(), keys, cutoff), "found")
+    matched = stage(given.join(found, "text").select("given", "district_key"), "matched")
     small = fits_broadcast(matched)
     out = df
     for c in columns:
-        part = matched.select(F.col("text").alias(f"text_{c}"), F.col("district_key").alias(f"match_{c}"))
-        out = lookup_join(out.withColumn(f"text_{c}", T.geo_clean(F.col(c))), part, [f"text_{c}"], small=small)
+        part = matched.select(F.col("given").alias(f"text_{c}"), F.col("district_key").alias(f"match_{c}"))
+        out = lookup_join(out.withColumn(f"text_{c}", F.col(c).cast("string")), part, [f"text_{c}"], small=small)
     key = F.coalesce(*[F.col(f"match_{c}") for c in columns], F.lit(""))
     if scoped_to is not None:
         first = districts.where(T.in_scope(F.col("district_key"), scoped_to)).agg(

@@ -287,19 +287,27 @@ def room_monotone(df: DataFrame, predict: Predictor, ctx: MarketContext) -> Data
     ))
 
 
-def _impacts(digits: int) -> Column:
-    """Share of each single-field change in the sum of the changes, largest first."""
-    gaps = [F.abs(F.col("price") - F.col(f"impact_{i}")) for i in range(len(vocab.IMPACT_LABELS))]
+def with_impacts(df: DataFrame, digits: int) -> DataFrame:
+    """Add ``impacts``: share of each single-field change in the sum of the changes, largest first.
+
+    Sorted once a row, without lambda functions, which are interpreted; a filter that the optimizer infers from
+    exploding the impacts does not repeat them.
+    """
+    places = range(len(vocab.IMPACT_LABELS))
+    gaps = [F.abs(F.col("price") - F.col(f"impact_{i}")) for i in places]
     total = sum(gaps[1:], gaps[0])
-    ordered = F.array_sort(F.array(*[
+    ordered = F.sort_array(F.array(*[
         F.struct((-gap).alias("order"), F.lit(i).alias("position"), F.lit(label).alias("label"))
         for i, (gap, label) in enumerate(zip(gaps, vocab.IMPACT_LABELS, strict=True))
     ]))
-    shares = F.transform(ordered, lambda x: F.struct(
-        x["label"].alias("feature"), round_even(-x["order"] / total * 100.0, digits).alias("weight")
-    ))
+    df = evaluate_once(df, {"ordered_gaps": ordered, "total_gap": total})
+    gap = lambda i: F.get("ordered_gaps", F.lit(i))
+    shares = F.array(*[F.struct(
+        gap(i)["label"].alias("feature"), round_even(-gap(i)["order"] / F.col("total_gap") * 100.0, digits).alias("weight")
+    ) for i in places])
     fixed = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(w).alias("weight")) for n, w in vocab.DEFAULT_IMPACTS])
-    return F.when(total > 0, shares).otherwise(fixed)
+    impacts = F.when(F.col("total_gap") > 0, shares).otherwise(fixed)
+    return evaluate_once(df, {"impacts": impacts}).drop("ordered_gaps", "total_gap")
 
 
 def score_requests(
@@ -329,7 +337,7 @@ def score_requests(
                    for i, size in enumerate(sizes)]
     out = _each_row(rows.groupBy("request_id", "row_key").agg(*folded))
     if impacts:
-        out = out.withColumn("impacts", _impacts(impact_digits))
+        out = with_impacts(out, impact_digits)
     if curve:
         points = [F.struct(F.lit(float(size)).alias("size"), round_even(F.col(f"curve_{i}"), 2).alias("price"))
                   for i, size in enumerate(sizes)]

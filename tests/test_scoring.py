@@ -123,6 +123,32 @@ def test_first_resolving_column_wins(spark):
     assert got == {1: "beta", 2: "khan alpha", 3: ""}
 
 
+def test_places_are_cleaned_once_a_distinct_text(spark):
+    districts = spark.createDataFrame([("alpha", 5)], "district_key string, n long")
+    texts = ["Alpha", " alpha ", "ALPHA,", None, "", "zzzz", "Alpha"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, district string")
+    out = resolve_district(rows, districts, ["district"])
+    assert [r["district_key"] for r in out.sort("i").collect()] == ["alpha", "alpha", "alpha", "", "", "", "alpha"]
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_impacts_are_sorted_once_a_row(spark):
+    names = ["price", *[f"impact_{i}" for i in range(4)]]
+    rows = spark.createDataFrame([(100.0, 90.0, 130.0, 100.0, 90.0), (100.0, 100.0, 100.0, 100.0, 100.0), (None, 1.0, 2.0, 3.0, 4.0)],
+                                 ", ".join(f"{n} double" for n in names))
+    first, *rest = [r[0] for r in S.with_impacts(rows, 1).select("impacts").collect()]
+    assert [(x["feature"], x["weight"]) for x in first] == [
+        ("Size (sqm)", 60.0), ("Property Type", 20.0), ("Bathrooms", 20.0), ("Bedrooms", 0.0)]
+    assert all([(x["feature"], x["weight"]) for x in r] == S.vocab.DEFAULT_IMPACTS for r in rest)
+
+
+def test_feature_impact_sorts_the_changes_once(spark, small):
+    from rentlens import catalog
+
+    plan = catalog.queries()["feature_impact"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1 and "array_sort(" not in plan
+
+
 def test_predictor_carries_only_what_is_read(spark, ctx, tmp_path):
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import SQLTransformer

@@ -44,8 +44,9 @@ def to_double(c: Column) -> Column:
 def money_text(c: Column, mode: str = "class") -> Column:
     """Rent text without its decoration. ``class`` removes every character of the set ``$ , / m o n t h``
     and blanks; ``tokens`` removes ``$``, ``,`` and the words ``/month`` and ``permonth``."""
-    patterns = {"class": rf"[\$,/month]|{BLANK}", "tokens": r"[\$,]|/month|permonth"}
-    return F.regexp_replace(c.cast("string"), patterns[mode], "")
+    if mode == "class":
+        return F.translate(c.cast("string"), f"$,/month{BLANKS}", "")
+    return F.regexp_replace(c.cast("string"), r"[\$,]|/month|permonth", "")
 
 
 def parse_money(c: Column, mode: str = "class") -> Column:
@@ -63,11 +64,15 @@ def first_number(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Upper-case the first letter of each run of letters, lower-case the others."""
+    """Upper-case the first letter of each run of letters, lower-case the others.
+
+    ASCII words between spaces, the usual case, need no pattern that cuts the runs.
+    """
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(
+    cut = F.array_join(
         F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), ""
     )
+    return F.when(F.rlike(c, F.lit("^[A-Za-z ]*$")), F.initcap(c)).otherwise(cut)
 
 
 def lookup(key: Column, table: Mapping[str, object]) -> Column:

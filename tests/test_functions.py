@@ -74,6 +74,19 @@ def test_title_case_starts_words_after_any_other_character(spark):
         "Link-House", "O'Neil", "2Bed", "A  B", ""]
 
 
+def test_title_case_of_plain_words_and_others(spark):
+    texts = ["fully furnished", "  a  bC ", "ÉTÉ chaud", "x\ty", "FLAT", "ab\n", None]
+    assert values(spark, T.title_case(F.col("x")), texts) == ["Fully Furnished", "  A  Bc ", "Été Chaud", "X\tY", "Flat", "Ab\n", None]
+
+
+def test_money_characters_go_without_a_pattern(spark):
+    texts = [f"a{b}1{b}{b}2" for b in T.BLANKS] + ["$month/,o", "5\x00", "៥$", "", None]
+    want = ["a12"] * len(T.BLANKS) + ["", "5\x00", "៥", "", None]
+    assert values(spark, T.money_text(F.col("x")), texts) == want
+    rows = spark.createDataFrame([("1",)], "x string").select(T.money_text(F.col("x")))
+    assert "regexp" not in rows._jdf.queryExecution().analyzed().toString()
+
+
 def test_furnished(spark):
     texts = ["fully furnished", "", None, "nan", "None", " Furnished "]
     assert values(spark, T.normalize_furnished(F.col("x")), texts) == [
